@@ -41,15 +41,22 @@ def normal(seed, *parts) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def random_unit_vector(seed, dim, *parts) -> Column:
-    """``dim`` keyed normals divided by their norm (a zero norm divides by 1)."""
+def random_normals(seed, dim, *parts) -> Column:
+    """``dim`` keyed standard normals (component i keyed by ``parts + (i,)``)."""
     dim_col = dim if isinstance(dim, Column) else F.lit(int(dim))
-    raw = F.transform(
-        F.sequence(F.lit(0), dim_col - 1),
-        lambda i: normal(seed, *parts, i),
-    )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return F.transform(F.sequence(F.lit(0), dim_col - 1), lambda i: normal(seed, *parts, i))
+
+
+def with_random_unit_vector(df, out: str, seed, dim, *parts):
+    """Add ``out``: keyed normals divided by their norm (a zero norm divides by 1).
+
+    Draws, norm and division are separate projections, so each normal is drawn
+    once per component rather than once per component per component.
+    """
+    raw = df.withColumn("_rv_raw", random_normals(seed, dim, *parts))
+    normed = raw.withColumn("_rv_norm", F.sqrt(F.aggregate("_rv_raw", F.lit(0.0), lambda acc, x: acc + x * x)))
+    guard = F.when(F.col("_rv_norm") == 0, F.lit(1.0)).otherwise(F.col("_rv_norm"))
+    return normed.withColumn(out, F.transform("_rv_raw", lambda x: x / guard)).drop("_rv_raw", "_rv_norm")
 
 
 # ---- the same draws in plain Python (for per-group pandas code and tests) ----

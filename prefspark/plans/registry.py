@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "profiles"]
+_MODULES = ["retrieval", "profiles", "recommendation", "flagship"]
 
 
 def _load():

@@ -61,6 +61,33 @@ def q_first_similar_slot(spark: SparkSession, sf: str) -> DataFrame:
 _SQDIST = "(list_inner_product(q.query::DOUBLE[], q.query::DOUBLE[]) + list_inner_product(i.embedding::DOUBLE[], i.embedding::DOUBLE[]) - 2 * list_inner_product(q.query::DOUBLE[], i.embedding::DOUBLE[]))"
 _DOT = "list_inner_product(q.query::DOUBLE[], i.embedding::DOUBLE[])"
 
+
+def sql_knn_unseen_ctes(q_cte: str) -> dict[str, str]:
+    """CTEs of the C5 oracle over query CTE ``q_cte`` (user_id, query)."""
+    return {
+        "qk": f"""SELECT q.*, least({2 * K_CANDIDATES}, (SELECT count(*) FROM items) - coalesce(n.n_seen, 0)) AS k
+                  FROM {q_cte} q LEFT JOIN (SELECT user_id, count(*) AS n_seen FROM seen GROUP BY user_id) n USING (user_id)
+                  WHERE (SELECT count(*) FROM items) - coalesce(n.n_seen, 0) > 0""",
+    }
+
+
+def sql_knn_unseen(q_cte: str, cols: list[str]) -> str:
+    """C5 in SQL: first unseen among the min(2k, available) nearest, else the lowest available id."""
+    sel = ", ".join({"user_id": "u.user_id", "item_id": "coalesce(h.item_id, f.first_available) AS item_id",
+                     "fallback": "h.item_id IS NULL AS fallback"}.get(c, f"u.{c}") for c in cols)
+    return f"""SELECT {sel}
+            FROM qk u
+            LEFT JOIN (SELECT user_id, arg_min(item_id, rank) AS item_id FROM (
+                  SELECT q.user_id, i.item_id,
+                         row_number() OVER (PARTITION BY q.user_id ORDER BY {_SQDIST}, i.item_id) AS rank, q.k
+                  FROM qk q, items i) c
+                WHERE rank <= k AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = c.user_id AND s.item_id = c.item_id)
+                GROUP BY user_id) h USING (user_id)
+            LEFT JOIN (SELECT u2.user_id, min(i.item_id) AS first_available FROM qk u2, items i
+                WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u2.user_id AND s.item_id = i.item_id)
+                GROUP BY u2.user_id) f USING (user_id)"""
+
+
 ORACLES = {
     "knn_l2": T.with_views(
         f"""SELECT user_id, item_id, rank, round(sq_dist, 6) AS sq_dist FROM (
@@ -88,24 +115,8 @@ ORACLES = {
         "items", "reactions", "seen", extra={"lq": LIKED_QUERIES_SQL},
     ),
     "knn_unseen": T.with_views(
-        f"""SELECT u.user_id, coalesce(h.item_id, f.first_available) AS item_id, h.item_id IS NULL AS fallback
-            FROM qk u
-            LEFT JOIN (SELECT user_id, arg_min(item_id, rank) AS item_id FROM (
-                  SELECT q.user_id, i.item_id,
-                         row_number() OVER (PARTITION BY q.user_id ORDER BY {_SQDIST}, i.item_id) AS rank, q.k
-                  FROM qk q, items i) c
-                WHERE rank <= k AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = c.user_id AND s.item_id = c.item_id)
-                GROUP BY user_id) h USING (user_id)
-            LEFT JOIN (SELECT u2.user_id, min(i.item_id) AS first_available FROM qk u2, items i
-                WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u2.user_id AND s.item_id = i.item_id)
-                GROUP BY u2.user_id) f USING (user_id)""",
-        "items", "reactions", "seen",
-        extra={
-            "lq": LIKED_QUERIES_SQL,
-            "qk": f"""SELECT lq.*, least({2 * K_CANDIDATES}, (SELECT count(*) FROM items) - coalesce(n.n_seen, 0)) AS k
-                      FROM lq LEFT JOIN (SELECT user_id, count(*) AS n_seen FROM seen GROUP BY user_id) n USING (user_id)
-                      WHERE (SELECT count(*) FROM items) - coalesce(n.n_seen, 0) > 0""",
-        },
+        sql_knn_unseen("lq", ["user_id", "item_id", "fallback"]), "items", "reactions", "seen",
+        extra={"lq": LIKED_QUERIES_SQL, **sql_knn_unseen_ctes("lq")},
     ),
     "available_items": T.with_views(
         """SELECT s.user_id, CAST(s.n_seen AS BIGINT) AS n_seen,
