@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "profiles", "recommendation", "flagship"]
+_MODULES = ["retrieval", "profiles", "recommendation", "flagship", "evaluation"]
 
 
 def _load():
