@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "profiles", "recommendation", "flagship", "evaluation"]
+_MODULES = ["retrieval", "profiles", "recommendation", "flagship", "evaluation", "ingestion"]
 
 
 def _load():
