@@ -68,11 +68,11 @@ def hashing_embed(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_c
     return counts.select(id_col, "bucket", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w))).alias("weight"))
 
 
-def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id") -> DataFrame:
-    """Long ``(id, bucket, weight)`` to one ``array<float>`` per id (zeros elsewhere)."""
+def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE) -> DataFrame:
+    """Long ``(id, bucket, weight)`` to one vector per id (zeros elsewhere); float32 at rest by default."""
     per = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
     vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return per.select(id_col, vec.cast(VECTOR_TYPE).alias("embedding"))
+    return per.select(id_col, vec.cast(vector_type).alias("embedding"))
 
 
 def embed_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
