@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "profiles", "recommendation", "flagship", "evaluation", "ingestion", "catalogue"]
+_MODULES = ["retrieval", "profiles", "recommendation", "flagship", "evaluation", "ingestion", "catalogue", "streams"]
 
 
 def _load():
