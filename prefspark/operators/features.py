@@ -22,6 +22,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.session import ship_package
+
 
 def standardise_fit(items: DataFrame, col: str = "embedding") -> DataFrame:
     """B2 fit: per-dimension mean and population std, one row per dimension.
@@ -99,6 +101,7 @@ def project_2d(profile: DataFrame) -> DataFrame:
 
     Groups are one user's profile, bounded by ``max_embeddings + 1`` slots.
     """
+    ship_package(profile.sparkSession)
     return profile.select("user_id", "slot", "embedding").groupBy("user_id").applyInPandas(
         _project_fn, "user_id long, slot long, x double, y double"
     )

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefspark.session import ship_package
+
 DEFAULT_QUERY_BLOCK = 2048
 DEFAULT_ITEM_BLOCK = 8192
 _CHUNK = 256  # query rows per matrix product inside a block (bounds memory)
@@ -95,6 +97,7 @@ def block_topk(
     if metric not in ("l2", "dot"):
         raise ValueError(f"unknown metric {metric}")
     qid_cols = qid_cols or ["user_id"]
+    ship_package(queries.sparkSession)
     k_col = F.col(k) if isinstance(k, str) else F.lit(int(k))
     q = queries.select(*qid_cols, F.col(query_col).alias("qvec"), k_col.cast("long").alias("k"))
     it = items.select("item_id", F.col(item_vec_col).alias("ivec"))
@@ -261,6 +264,7 @@ def first_similar_slot(events: DataFrame, profile: DataFrame, gamma: float, chun
     Each group is one matrix product; ``-1`` when nothing matches.
     """
     keep = [c for c in events.columns if c != "vec"]
+    ship_package(events.sparkSession)
     nb = split_hot_keys(events.select("user_id"), "user_id", chunk)
     ev = events.join(nb, "user_id").withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.col("_nb")).cast("int")).drop("_nb")
     prof = profile.select("user_id", "slot", "embedding").join(nb, "user_id").select(

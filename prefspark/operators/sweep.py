@@ -28,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from prefspark.session import ship_package
 from pyspark.sql import types as Ty
 
 from prefspark.functions.draws import py_uniform
@@ -86,6 +88,7 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
             for j in range(len(pdf)):
                 v_full = np.asarray(vecs[j], dtype=np.float64)
                 cat, r, eid = cats[j], float(rewards[j]), int(eids[j])
+                by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # n_components -> (vector, unit)
                 for ci, c in enumerate(mine):
                     if errors[ci] is not None:
                         continue
@@ -93,29 +96,26 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
                     cell[0] += 1
                     try:
                         n_comp = int(c["n_components"])
-                        v = v_full
-                        if 0 < n_comp < len(v_full):
-                            v = v_full[:n_comp]
-                            nv = math.sqrt(float(v @ v))
-                            v = v / nv if nv else v
+                        if n_comp not in by_dim:
+                            v = v_full[:n_comp] if 0 < n_comp < len(v_full) else v_full
+                            by_dim[n_comp] = (v, ProfileState.unit_of(v))
+                        v, u = by_dim[n_comp]
                         st = states[ci]
                         cid = int(c["config_id"])
                         if not st.prefs or py_uniform(seed, cid, user, eid, "gate") < c["exp_rate"]:
                             accept = True
                         else:
                             probs = st.probabilities()
-                            u = py_uniform(seed, cid, user, eid, "slot")
+                            draw = py_uniform(seed, cid, user, eid, "slot")
                             cum, chosen = 0.0, len(probs) - 1
                             for si, pr in enumerate(probs):
                                 cum += pr
-                                if cum > u:
+                                if cum > draw:
                                     chosen = si
                                     break
-                            nv = math.sqrt(float(v @ v))
-                            cos = float(st.unit[chosen] @ v) / nv if nv else 0.0
-                            accept = cos >= st.p.gamma
+                            accept = float(st.unit[chosen] @ u) >= st.p.gamma
                         if accept:
-                            st.react(v, r)
+                            st.react(v, r, None, u)
                             cell[1] += 1
                             cell[2] += r
                             cell[3] += r * r
@@ -142,6 +142,7 @@ def sweep_replay(
     (one row per event and profile, see ``evaluate.bernoulli_reward``).
     """
     spark = events.sparkSession
+    ship_package(spark)
     n_blocks = max(1, math.ceil(len(configs) / configs_per_task))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = events.select(
@@ -158,34 +159,43 @@ def sweep_replay(
 
 
 def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> DataFrame:
-    """F4-F8 per (config, profile) from per-(config, profile, user, category) sums."""
-    per_cat = cells.where(F.col("category").isNotNull()).groupBy("config_id", "profile", "category").agg(
+    """F4-F8 per (config, profile) from per-(config, profile, user, category) sums.
+
+    The grouped-map output has a single consumer (one aggregate), and each
+    (config, profile) row then carries its bounded per-category list, so the
+    replay runs exactly once; alignment, diversity and the zero-filled counts are
+    array expressions on that row.
+    """
+    per_cat = cells.groupBy("config_id", "profile", "category").agg(
         F.sum("n_events").alias("n_events"), F.sum("n_accepted").alias("n_acc"),
-        F.sum("sum_reward").alias("s"), F.sum("sum_sq_reward").alias("s2"),
+        F.sum("sum_reward").alias("s"), F.sum("sum_sq_reward").alias("s2"), F.max("error").alias("error"),
     )
-    errs = cells.groupBy("config_id", "profile").agg(F.max("error").alias("error"))
-    prefs = F.broadcast(preferences.select("profile", "category", "p"))
-    tot = per_cat.groupBy("config_id", "profile").agg(
-        F.sum("n_events").alias("n_events"), F.sum("n_acc").alias("n_accepted"),
-        F.sum("s").alias("total_reward"), F.sum("s2").alias("_s2"),
+    per_run = per_cat.groupBy("config_id", "profile").agg(
+        F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "n_events", "n_acc", "s", "s2"))).alias("cats"),
+        F.max("error").alias("error"),
     )
-    q = per_cat.join(tot.select("config_id", "profile", "n_accepted"), ["config_id", "profile"]).select(
-        "config_id", "profile", "category", "n_acc", F.try_divide(F.col("n_acc"), F.col("n_accepted")).alias("q")
+    prof = preferences.groupBy("profile").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "p"))).alias("p_map"),
+        F.sum(F.col("p") * F.col("p")).alias("sum_p2"),
+        F.array_sort(F.collect_set("category")).alias("all_cats"),
     )
-    p2 = preferences.groupBy("profile").agg(F.sum(F.col("p") * F.col("p")).alias("sum_p2"))
-    qp = q.join(prefs, ["profile", "category"], "left").fillna(0.0, ["p"])
-    shape = qp.groupBy("config_id", "profile").agg(
-        F.sum(F.col("q") * F.col("q") - 2 * F.col("p") * F.col("q")).alias("_part"),
-        (-F.sum(F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q"))).otherwise(F.lit(0.0)))).alias("diversity_score"),
-        F.map_from_entries(F.collect_list(F.struct("category", "n_acc"))).alias("_obs"),
-    )
-    cats = preferences.groupBy("profile").agg(F.array_sort(F.collect_set("category")).alias("_cats"))
+    cats = F.col("cats")
+
+    def total(field):
+        return F.aggregate(cats, F.lit(0.0), lambda acc, c: acc + c[field].cast("double"))
+
+    n_acc = total("n_acc")
+    q = lambda c: c["n_acc"] / n_acc
+    part = F.aggregate(cats, F.lit(0.0), lambda acc, c: acc + q(c) * q(c) - 2 * F.coalesce(F.col("p_map")[c["category"]], F.lit(0.0)) * q(c))
+    entropy = F.aggregate(F.filter(cats, lambda c: c["n_acc"] > 0), F.lit(0.0), lambda acc, c: acc + q(c) * F.log(q(c)))
+    obs = F.map_from_entries(F.transform(cats, lambda c: F.struct(c["category"], c["n_acc"])))
     avg = F.try_divide(F.col("total_reward"), F.col("n_accepted"))
     var = F.try_divide(F.col("_s2"), F.col("n_accepted")) - avg * avg
     params = F.struct(*[F.col(p) for p in PARAM_ORDER]).alias("params")
-    res = (
-        tot.join(shape, ["config_id", "profile"]).join(p2, "profile").join(F.broadcast(cats), "profile").join(errs, ["config_id", "profile"])
-        .join(F.broadcast(grid), "config_id")
+    res = per_run.join(F.broadcast(prof), "profile").join(F.broadcast(grid), "config_id").select(
+        "*",
+        total("s").alias("total_reward"), total("s2").alias("_s2"),
+        n_acc.cast("long").alias("n_accepted"), total("n_events").cast("long").alias("n_events"),
     )
     return res.select(
         "config_id",
@@ -194,11 +204,11 @@ def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> Data
         "total_reward",
         avg.alias("avg_reward"),
         F.sqrt(F.greatest(var, F.lit(0.0))).alias("reward_std"),
-        F.when(F.col("n_accepted") > 0, -(F.col("sum_p2") + F.col("_part"))).alias("preference_alignment"),
-        F.coalesce(F.col("diversity_score"), F.lit(0.0)).alias("diversity_score"),
-        F.map_from_arrays(F.col("_cats"), F.transform("_cats", lambda c: F.coalesce(F.col("_obs")[c], F.lit(0)))).alias(
-            "result_preferences"
-        ),
+        F.when(F.col("n_accepted") > 0, -(F.col("sum_p2") + part)).alias("preference_alignment"),
+        F.when(F.col("n_accepted") > 0, -entropy).otherwise(F.lit(0.0)).alias("diversity_score"),
+        F.map_from_arrays(
+            F.col("all_cats"), F.transform("all_cats", lambda k: F.coalesce(obs[k], F.lit(0)).cast("long"))
+        ).alias("result_preferences"),
         "n_accepted",
         "n_events",
         "error",

@@ -8,12 +8,15 @@ from prefspark.operators import recommend as R
 from prefspark.plans import profiles as PP
 from prefspark.plans import recommendation as RP
 from prefspark.plans.retrieval import K_CANDIDATES
+from prefspark.session import materialize
 from prefspark.sources import tables as T
 
 
 def recommend_from_fold(spark: SparkSession, sf: str) -> DataFrame:
     """E5 over the real D8 snapshot (recommender defaults): one row per user."""
-    snap = PP.folded(spark, sf, PP.DEFAULT)
+    # The snapshot is written once to the shared folder; recommendation reads it
+    # (it is used by several branches of the plan and must not be re-folded).
+    snap = materialize(PP.folded(spark, sf, PP.DEFAULT), "profile-snapshot")
     rec = R.recommend_batch(
         RP.users(spark, sf), snap, T.items(spark, sf), T.seen(spark, sf), T.n_items(spark, sf),
         RP.catalogue_dim(spark, sf), PP.DEFAULT.beta, RP.EXP_RATE, RP.SEED, RP.STEP, K_CANDIDATES,

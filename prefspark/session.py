@@ -70,3 +70,38 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_PACKAGE_ZIP: str | None = None
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``prefspark`` importable in Python workers (``addPyFile``, once per context).
+
+    Grouped maps and ``mapInPandas`` functions refer to this package's code; on a
+    cluster the executors only have it if it is shipped, exactly like
+    ``spark-submit --py-files``.
+    """
+    global _PACKAGE_ZIP
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    if _PACKAGE_ZIP is None:
+        import zipfile
+
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        fd, path = tempfile.mkstemp(prefix="prefspark-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for dirpath, _dirs, files in os.walk(pkg_dir):
+                if "__pycache__" in dirpath:
+                    continue
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        zf.write(full, os.path.relpath(full, root))
+        _PACKAGE_ZIP = path
+    sc.addPyFile(_PACKAGE_ZIP)
+    _SHIPPED.add(id(sc))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from prefspark.functions import draws
+from prefspark.session import ship_package
 
 VECTOR_TYPE = "array<float>"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -101,6 +102,7 @@ def embed_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
                     out_err.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({id_col: pdf[id_col].astype("int64"), "embedding": out_vec, "error": out_err})
 
+    ship_package(docs.sparkSession)
     return docs.select(id_col, text_col).mapInPandas(run, schema)
 
 

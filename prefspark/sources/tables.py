@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefspark.session import ship_package
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -20,6 +22,7 @@ REWARD_BY_EVENT = {"purchase": 10.0, "click": 5.0, "view": 1.0, "signup": 0.0, "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)  # the plans built on these tables may run this package's code in Python workers
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

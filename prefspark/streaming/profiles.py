@@ -27,6 +27,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from prefspark.operators.profile import FoldParams, ProfileState
+from prefspark.session import ship_package
 
 STATE_SCHEMA = Ty.StructType([
     Ty.StructField("item_ids", Ty.ArrayType(Ty.LongType())),
@@ -112,6 +113,7 @@ def _stream_fold_fn(p: FoldParams):
 
 def profile_stream(reactions: DataFrame, p: FoldParams) -> DataFrame:
     """A streaming DataFrame of versioned profile snapshots."""
+    ship_package(reactions.sparkSession)
     return reactions.groupBy("user_id").applyInPandasWithState(
         _stream_fold_fn(p), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
