@@ -41,26 +41,32 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_item_category_join(spark: SparkSession, sf: str) -> DataFrame:
+    """each reaction with its item's category."""
     return events_with_category(spark, sf).select("event_id", "user_id", "item_id", "category")
 
 
 def q_bernoulli_reward(spark: SparkSession, sf: str) -> DataFrame:
+    """F2: each reaction scored under each preference profile (+10 / -10)."""
     return scored(spark, sf).select("profile", "event_id", "category", "sim_reward")
 
 
 def q_validate_profile_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """how each profile's keys differ from the category set."""
     return EV.validate_profile_keys(T.preferences(spark, sf), T.items(spark, sf).select("category"))
 
 
 def q_category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """zero-filled reaction counts per user and category."""
     return EV.category_counts(events_with_category(spark, sf), ["user_id"], T.items(spark, sf).select("category"))
 
 
 def q_reward_history(spark: SparkSession, sf: str) -> DataFrame:
+    """ordered steps with category and reward per (profile, user)."""
     return EV.reward_history(scored(spark, sf), RUN)
 
 
 def q_reward_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """total, mean and population std of rewards per (profile, user)."""
     s = EV.reward_summary(scored(spark, sf), RUN)
     return s.select(*RUN, "total_reward", rnd("avg_reward").alias("avg_reward"), rnd("reward_std").alias("reward_std"))
 
@@ -70,11 +76,13 @@ def _observed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_preference_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """squared-error alignment of observed shares with the profile."""
     a = EV.alignment_and_diversity(_observed_counts(spark, sf), RUN, T.preferences(spark, sf), F.col("profile"))
     return a.select(*RUN, rnd("preference_alignment").alias("preference_alignment"))
 
 
 def q_diversity_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: entropy of each user's category shares."""
     a = EV.alignment_and_diversity(_observed_counts(spark, sf), RUN, T.preferences(spark, sf), F.col("profile"))
     return a.where(F.col("profile") == "balanced").select("user_id", rnd("diversity_score").alias("diversity_score"))
 
@@ -100,26 +108,31 @@ def _flat_accept_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_flatten_results(spark: SparkSession, sf: str) -> DataFrame:
+    """sweep results (accept-all grid) with flat parameter columns."""
     return _flat_accept_all(spark, sf)
 
 
 def q_best_config(spark: SparkSession, sf: str) -> DataFrame:
+    """the best configuration per preference type."""
     return EV.best_config(_flat_accept_all(spark, sf))
 
 
 def q_param_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """mean average reward by value of each parameter."""
     return EV.param_impact(_flat_accept_all(spark, sf)).select(
         "param", "value", rnd("mean_avg_reward").alias("mean_avg_reward"), "n"
     )
 
 
 def q_boxplot_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """quartiles, whiskers and outliers of average reward per preference type."""
     b = EV.boxplot_stats(_flat_accept_all(spark, sf))
     return b.select("preference_type", *[rnd(c).alias(c) for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")],
                     "n_outliers", "n")
 
 
 def q_correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Pearson correlation of parameters and metrics (NULL for constant columns)."""
     return EV.correlation_matrix(_flat_accept_all(spark, sf)).select("col_a", "col_b", (rnd("corr") + F.lit(0.0)).alias("corr"))
 
 
