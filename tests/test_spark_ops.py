@@ -204,3 +204,35 @@ def test_resume_equals_full_fold(spark):
     cols = ["user_id", "slot", "item_id", "rewards_received", "total_rewards"]
     sel = lambda d: sorted(d.select(*cols, F.round("preference", 9)).collect())
     assert sel(resumed) == sel(full)
+
+
+def test_pca_subspace_matches_numpy(spark):
+    from prefspark.operators import features as FE
+
+    _ids, X = _items_np(spark, SF001)
+    k = 8
+    model = FE.fit_catalogue(T.items(spark, SF001), k)
+    pc = FE.pca_components(model)  # d x k
+    Z = (X - X.mean(0)) / np.where(X.std(0) == 0, 1, X.std(0))
+    w, v = np.linalg.eigh(np.cov(Z, rowvar=False))
+    top = v[:, np.argsort(w)[::-1][:k]]
+    assert np.allclose(pc @ pc.T, top @ top.T, atol=1e-8)  # same subspace, signs free
+    cat = FE.transform_catalogue(model, T.items(spark, SF001)).select("embedding").collect()
+    assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-5 and len(r.embedding) == k for r in cat)
+
+
+def test_project_2d_matches_numpy(spark):
+    from prefspark.operators import features as FE
+
+    prof = spark.createDataFrame(
+        [(1, i, [float(i), float(i * i % 5), 1.0]) for i in range(6)] + [(2, 0, [1.0, 2.0, 3.0])],
+        "user_id long, slot long, embedding array<float>",
+    )
+    got = {(r.user_id, r.slot): (r.x, r.y) for r in FE.project_2d(prof).collect()}
+    assert got[(2, 0)] == (0.0, 0.0)
+    X = np.array([[float(i), float(i * i % 5), 1.0] for i in range(6)])
+    C = X - X.mean(0)
+    _, _, vt = np.linalg.svd(C)
+    proj = C @ vt[:2].T
+    for i in range(6):
+        assert abs(abs(got[(1, i)][0]) - abs(proj[i, 0])) < 1e-6 and abs(abs(got[(1, i)][1]) - abs(proj[i, 1])) < 1e-6
