@@ -63,7 +63,12 @@ def with_random_unit_vector(df, out: str, seed, dim, *parts):
 
 def py_uniform(seed, *parts) -> float:
     text = ":".join(str(p) for p in (seed, *parts))
-    return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:13], 16) / TWO_POW_52
+    return py_uniform_text(text)
+
+
+def py_uniform_text(text: str) -> float:
+    """``u`` of an already joined key (first 52 bits of the md5 digest)."""
+    return (int.from_bytes(hashlib.md5(text.encode("utf-8")).digest()[:7], "big") >> 4) / TWO_POW_52
 
 
 def py_normal(seed, *parts) -> float:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from prefspark.session import ship_package
 from pyspark.sql import types as Ty
 
-from prefspark.functions.draws import py_uniform
+from prefspark.functions.draws import py_uniform_text
 from prefspark.operators.profile import FoldParams, ProfileState
 
 PARAM_ORDER = ["alpha", "gamma", "beta", "max_embeddings", "exp_rate", "n_components"]
@@ -74,6 +74,8 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
         profile, block, user = key[0], int(key[1]), int(key[2])
         mine = configs[block * per_task : (block + 1) * per_task]
         states, errors, acc = [], [], []
+        # Key prefixes of the keyed draws, ``seed:config:user:``.
+        prefixes = [f"{seed}:{int(c['config_id'])}:{user}:" for c in mine]
         for c in mine:
             p = FoldParams(alpha=c["alpha"], gamma=c["gamma"], beta=c["beta"], max_embeddings=int(c["max_embeddings"]),
                            min_samples=min_samples)
@@ -101,12 +103,19 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
                             by_dim[n_comp] = (v, ProfileState.unit_of(v))
                         v, u = by_dim[n_comp]
                         st = states[ci]
-                        cid = int(c["config_id"])
-                        if not st.prefs or py_uniform(seed, cid, user, eid, "gate") < c["exp_rate"]:
+                        rate = c["exp_rate"]
+                        if rate >= 1.0:
+                            # Every event is accepted whatever the profile says, so the profile
+                            # can never influence a result: count the event and skip the fold.
+                            cell[1] += 1
+                            cell[2] += r
+                            cell[3] += r * r
+                            continue
+                        if not st.prefs or (rate > 0.0 and py_uniform_text(f"{prefixes[ci]}{eid}:gate") < rate):
                             accept = True
                         else:
                             probs = st.probabilities()
-                            draw = py_uniform(seed, cid, user, eid, "slot")
+                            draw = py_uniform_text(f"{prefixes[ci]}{eid}:slot")
                             cum, chosen = 0.0, len(probs) - 1
                             for si, pr in enumerate(probs):
                                 cum += pr
