@@ -85,11 +85,14 @@ def category_counts(runs: DataFrame, run_cols: list[str], categories: DataFrame)
 
 
 def reward_history(runs: DataFrame, run_cols: list[str], reward_col: str = "sim_reward") -> DataFrame:
-    """ordered (step, category, reward) per run."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*run_cols).orderBy("ts", "event_id")
-    return runs.select(*run_cols, F.row_number().over(w).cast("long").alias("step"), "category", F.col(reward_col).alias("reward"))
+    """ordered (step, category, reward) per run, by a distributed ordered scan
+    (a run with a huge history is spread over many tasks)."""
+    from prefspark.operators.scan import ordered_scan
+
+    keyed = runs.select(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in run_cols]).alias("_run"), *run_cols,
+                        "ts", "event_id", "category", F.col(reward_col).alias("reward"))
+    scanned = ordered_scan(keyed, "_run", ["ts", "event_id"])
+    return scanned.select(*run_cols, (F.col("position") + 1).alias("step"), "category", "reward")
 
 
 def reward_summary(runs: DataFrame, run_cols: list[str], reward_col: str = "sim_reward") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefspark.operators import profile as P
+from prefspark.operators.scan import ordered_scan
 from prefspark.plans.common import rnd
 from prefspark.sources import tables as T
 
@@ -47,11 +48,10 @@ def q_profile_fold(spark: SparkSession, sf: str) -> DataFrame:
 def q_profile_fold_resume(spark: SparkSession, sf: str) -> DataFrame:
     """Fold each user's first half, store, resume with the second half."""
     r = reactions_with_vec(spark, sf)
-    w = Window.partitionBy("user_id")
-    pos = F.row_number().over(w.orderBy("ts", "event_id"))
-    halves = r.select("*", pos.alias("_pos"), F.count(F.lit(1)).over(w).alias("_n"))
-    first = halves.where(F.col("_pos") * 2 <= F.col("_n")).drop("_pos", "_n")
-    second = halves.where(F.col("_pos") * 2 > F.col("_n")).drop("_pos", "_n")
+    n = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    halves = ordered_scan(r, "user_id", ["ts", "event_id"]).join(n, "user_id")
+    first = halves.where((F.col("position") + 1) * 2 <= F.col("_n")).drop("position", "_n")
+    second = halves.where((F.col("position") + 1) * 2 > F.col("_n")).drop("position", "_n")
     snap = P.fold_profiles(first, EXACT)
     return _slot_cols(P.resume_profiles(snap, second, EXACT))
 
@@ -85,8 +85,9 @@ def q_running_reward_avg(spark: SparkSession, sf: str) -> DataFrame:
 def q_preference_decay(spark: SparkSession, sf: str) -> DataFrame:
     """D2 closed form: a slot's preference after the user's later reactions decay it."""
     r = T.reactions(spark, sf)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pos = r.select("user_id", "item_id", F.row_number().over(w).alias("pos"))
+    pos = ordered_scan(r.select("user_id", "ts", "event_id", "item_id"), "user_id", ["ts", "event_id"]).select(
+        "user_id", "item_id", (F.col("position") + 1).alias("pos")
+    )
     last = pos.groupBy("user_id", "item_id").agg(F.max("pos").alias("last_pos"))
     n = pos.groupBy("user_id").agg(F.max("pos").alias("n_events"))
     prof = T.sql_profile(spark, sf).join(last, ["user_id", "item_id"]).join(n, "user_id")

@@ -236,3 +236,25 @@ def test_project_2d_matches_numpy(spark):
     proj = C @ vt[:2].T
     for i in range(6):
         assert abs(abs(got[(1, i)][0]) - abs(proj[i, 0])) < 1e-6 and abs(abs(got[(1, i)][1]) - abs(proj[i, 1])) < 1e-6
+
+
+def test_ordered_scan_with_hot_key_matches_window(spark):
+    from pyspark.sql import Window
+
+    from prefspark.operators.scan import mean_before, ordered_scan
+
+    # key 0 holds 6,000 of 6,300 rows: it must span several range partitions.
+    df = spark.range(6300).select(
+        F.when(F.col("id") < 6000, F.lit(0)).otherwise(F.col("id") % 7 + 1).cast("long").alias("k"),
+        (F.col("id") * 7919 % 6300).alias("t"),
+        (F.col("id") % 13).cast("double").alias("v"),
+    )
+    got = ordered_scan(df, "k", ["t"], "v", partitions=9).select("k", "t", "position", mean_before().alias("m"))
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.select("k", "t", (F.row_number().over(w) - 1).alias("position"),
+                     F.coalesce(F.avg("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("m"))
+    g = sorted((r.k, r.t, r.position, round(r.m, 9)) for r in got.collect())
+    e = sorted((r.k, r.t, r.position, round(r.m, 9)) for r in want.collect())
+    assert g == e
+    pids = df.repartitionByRange(9, "k", "t").where("k = 0").select(F.spark_partition_id()).distinct().count()
+    assert pids > 1
