@@ -6,7 +6,8 @@ range-partitioned on ``(key, order...)``, so a hot key spans many partitions.
 Each partition computes positions and running sums of its own rows (the rows
 arrive sorted), and per-(partition, key) totals give every partition's offset
 within the key.  That table has at most partitions + keys rows, and the offset
-window over it sees one key's partitions only.
+window over it sees one key's partitions only.  The scanned rows are written to
+the shared folder once, so every later branch sees the same partition ids.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from prefspark.session import ship_package
+from prefspark.session import materialize, ship_package
 
 
 def _local_scan(key: str, value: str | None):
@@ -65,10 +66,13 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], value: str | None =
     fields = list(with_pid.schema.fields) + [Ty.StructField("_local", Ty.LongType())]
     if value:
         fields.append(Ty.StructField("_local_sum", Ty.DoubleType()))
-    scanned = with_pid.mapInPandas(_local_scan(key, value), Ty.StructType(fields))
+    # Written once to the shared folder: partition ids and local positions are then
+    # stored values, so the totals and the join below read the same rows however
+    # often Spark re-plans them (a recomputed range exchange may bucket differently).
+    scanned = materialize(with_pid.mapInPandas(_local_scan(key, value), Ty.StructType(fields)), "ordered-scan")
 
-    totals = with_pid.groupBy("_pid", key).agg(
-        F.count(F.lit(1)).alias("_cnt"), *( [F.sum(value).alias("_sum")] if value else [] )
+    totals = scanned.groupBy("_pid", key).agg(
+        F.count(F.lit(1)).alias("_cnt"), *([F.sum(value).alias("_sum")] if value else [])
     )
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

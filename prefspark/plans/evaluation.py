@@ -18,6 +18,7 @@ from prefspark.operators import profile as P
 from prefspark.operators import sweep as SW
 from prefspark.plans.common import rnd
 from prefspark.sources import tables as T
+from prefspark.sources.profiles import NEWSGROUP_PROFILES, preferences_from_dict, preferences_sql
 
 SEED = 42
 GRID = {
@@ -55,6 +56,12 @@ def q_validate_profile_keys(spark: SparkSession, sf: str) -> DataFrame:
     return EV.validate_profile_keys(T.preferences(spark, sf), T.items(spark, sf).select("category"))
 
 
+def q_validate_newsgroup_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 on the evaluation's four newsgroup profiles against the corpus's categories."""
+    prefs = preferences_from_dict(spark, NEWSGROUP_PROFILES)
+    return EV.validate_profile_keys(prefs, T.table(spark, sf, "documents").select(F.col("source").alias("category")))
+
+
 def q_category_counts(spark: SparkSession, sf: str) -> DataFrame:
     """zero-filled reaction counts per user and category."""
     return EV.category_counts(events_with_category(spark, sf), ["user_id"], T.items(spark, sf).select("category"))
@@ -217,6 +224,13 @@ ORACLES = {
            LEFT JOIN (SELECT DISTINCT category FROM items) i USING (category) GROUP BY profile""",
         "items", "preferences",
     ),
+    "validate_newsgroup_profiles": f"""WITH prefs AS ({preferences_sql(NEWSGROUP_PROFILES)}),
+          cats AS (SELECT DISTINCT source AS category FROM documents)
+        SELECT profile, CAST(count(*) AS BIGINT) AS n_given, CAST((SELECT count(*) FROM cats) AS BIGINT) AS n_expected,
+               CAST((SELECT count(*) FROM cats) - count(c.category) AS BIGINT) AS n_missing,
+               CAST(count(*) - count(c.category) AS BIGINT) AS n_extra,
+               count(*) = count(c.category) AND count(c.category) = (SELECT count(*) FROM cats) AS valid
+        FROM (SELECT DISTINCT profile, category FROM prefs) p LEFT JOIN cats c USING (category) GROUP BY profile""",
     "category_counts": _q(
         """SELECT u.user_id, c.category, CAST(coalesce(o.n, 0) AS BIGINT) AS n
            FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (SELECT DISTINCT category FROM items) c
@@ -274,6 +288,7 @@ QUERIES = {
     "item_category_join": q_item_category_join,
     "bernoulli_reward": q_bernoulli_reward,
     "validate_profile_keys": q_validate_profile_keys,
+    "validate_newsgroup_profiles": q_validate_newsgroup_profiles,
     "category_counts": q_category_counts,
     "reward_history": q_reward_history,
     "reward_summary": q_reward_summary,

@@ -77,6 +77,37 @@ def q_profile_fold_evicting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_profile_step(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 + D7: each user's latest reaction applied to the profile of all earlier ones.
+
+    ``action`` is ``update`` (the reaction matched a slot: in-place gradient step) or
+    ``add`` (a new slot, after evicting one when the profile was full).  Run at the
+    SQL-derivable settings, so the outcome is checkable; eviction is covered by
+    ``profile_fold_evicting``.
+    """
+    r = reactions_with_vec(spark, sf)
+    n = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    scanned = ordered_scan(r, "user_id", ["ts", "event_id"]).join(n, "user_id")
+    earlier = scanned.where(F.col("position") + 1 < F.col("_n")).drop("position", "_n")
+    latest = scanned.where(F.col("position") + 1 == F.col("_n")).drop("position", "_n")
+    before_snap = P.fold_profiles(earlier, EXACT)
+    after_snap = P.resume_profiles(before_snap, latest, EXACT)
+    before = before_snap.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_slots_before"), F.first("matches").alias("_m0"), F.first("evictions").alias("_e0"),
+    )
+    after = after_snap.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_slots_after"), F.first("matches").alias("_m1"), F.first("evictions").alias("_e1"),
+        F.first("total_rewards").alias("total_rewards"),
+    )
+    j = after.join(before, "user_id", "left").fillna(0, ["n_slots_before", "_m0", "_e0"])
+    return j.select(
+        "user_id",
+        F.when(F.col("_m1") > F.col("_m0"), F.lit("update")).otherwise(F.lit("add")).alias("action"),
+        (F.col("_e1") > F.col("_e0")).alias("evicted"),
+        F.col("n_slots_before").cast("long").alias("n_slots_before"), "n_slots_after", "total_rewards",
+    )
+
+
 def q_running_reward_avg(spark: SparkSession, sf: str) -> DataFrame:
     """Baseline before each reaction (mean of the user's earlier rewards)."""
     return P.running_reward_avg(T.reactions(spark, sf)).select("user_id", "event_id", rnd("baseline").alias("baseline"))
@@ -127,6 +158,18 @@ ORACLES = {
            FROM reactions GROUP BY user_id""",
         "reactions",
     ),
+    "profile_step": T.with_views(
+        """SELECT l.user_id, CASE WHEN sb.item_id IS NOT NULL THEN 'update' ELSE 'add' END AS action, false AS evicted,
+                  CAST(coalesce(e.nb, 0) AS BIGINT) AS n_slots_before,
+                  CAST(coalesce(e.nb, 0) + CASE WHEN sb.item_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_slots_after,
+                  CAST(l.n AS BIGINT) AS total_rewards
+           FROM (SELECT user_id, item_id, n FROM r WHERE pos = n) l
+           LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS nb FROM r WHERE pos < n GROUP BY user_id) e USING (user_id)
+           LEFT JOIN (SELECT DISTINCT user_id, item_id FROM r WHERE pos < n) sb ON sb.user_id = l.user_id AND sb.item_id = l.item_id""",
+        "reactions",
+        extra={"r": """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
+                              count(*) OVER (PARTITION BY user_id) AS n FROM reactions"""},
+    ),
     "running_reward_avg": T.with_views(
         """SELECT user_id, event_id, round(coalesce(avg(reward) OVER (PARTITION BY user_id ORDER BY ts, event_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS baseline FROM reactions""",
@@ -169,6 +212,7 @@ QUERIES = {
     "profile_fold_resume": q_profile_fold_resume,
     "profile_stats": q_profile_stats,
     "profile_fold_evicting": q_profile_fold_evicting,
+    "profile_step": q_profile_step,
     "running_reward_avg": q_running_reward_avg,
     "preference_decay": q_preference_decay,
     "action_probability": q_action_probability,

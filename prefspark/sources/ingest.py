@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from prefspark.functions import draws
-from prefspark.session import ship_package
+from prefspark.session import materialize, ship_package
 
 VECTOR_TYPE = "array<float>"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -173,12 +173,15 @@ def assign_positions(df: DataFrame, order: list[Column], name: str = "position",
     Range partitioning + a sort inside each partition gives increasing
     ``monotonically_increasing_id`` values (partition index in the high bits); the
     per-partition row counts (one row per partition) give each partition's
-    offset.  One shuffle, no single-partition window.
+    offset.  One shuffle, no single-partition window; the numbered rows are
+    written to the shared folder once so the offsets and the rows agree.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    mid = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    # Stored once: the ids are physical (partition index, row index), so both uses
+    # below must read the same rows rather than two recomputations of the exchange.
+    mid = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "positions")
     parts = mid.select((F.col("_mid") / F.lit(1 << 33)).cast("long").alias("_pid"), "_mid")
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
