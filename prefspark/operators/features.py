@@ -10,7 +10,6 @@ normalisation removes it, so the catalogue is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
