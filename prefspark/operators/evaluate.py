@@ -16,6 +16,7 @@ from prefspark.functions import draws
 
 REWARD_MAX = 10.0
 MAX_CATEGORIES = 100_000  # bound on the category dimension before it is broadcast
+MAX_LOOKUP_ROWS = 2_000_000  # item -> category lookup (~30 bytes a row) broadcast only up to ~60 MB
 
 
 def checked_broadcast(dim: DataFrame, max_rows: int = MAX_CATEGORIES) -> DataFrame:
@@ -28,7 +29,7 @@ def checked_broadcast(dim: DataFrame, max_rows: int = MAX_CATEGORIES) -> DataFra
 
 def item_category_join(reactions: DataFrame, items: DataFrame) -> DataFrame:
     """attach each reacted item's category (broadcast dimension, size checked)."""
-    cats = checked_broadcast(items.select("item_id", "category"), 50_000_000)
+    cats = checked_broadcast(items.select("item_id", "category"), MAX_LOOKUP_ROWS)
     return reactions.join(cats, "item_id")
 
 
@@ -75,9 +76,12 @@ def category_counts(runs: DataFrame, run_cols: list[str], categories: DataFrame)
     (a small dimension) per run, so the output is runs x categories by definition
     but no join product is formed.
     """
+    cats = categories.select("category").distinct()
+    if cats.count() > MAX_CATEGORIES:
+        raise ValueError("category dimension too large to zero-fill per run")
     obs = runs.groupBy(*run_cols, "category").agg(F.count(F.lit(1)).alias("n"))
     per_run = obs.groupBy(*run_cols).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_m"))
-    cat_arr = categories.select(F.array_sort(F.collect_set("category"))).scalar()
+    cat_arr = cats.select(F.array_sort(F.collect_set("category"))).scalar()
     filled = per_run.select(*run_cols, "_m", cat_arr.alias("_cats")).select(
         *run_cols, F.explode(F.col("_cats")).alias("category"), F.col("_m")
     )
