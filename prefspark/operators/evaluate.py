@@ -46,6 +46,16 @@ def bernoulli_reward(events: DataFrame, preferences: DataFrame, seed: int, rewar
     )
 
 
+def bernoulli_reward_map(events: DataFrame, preferences: DataFrame, seed: int, reward_max: float = REWARD_MAX) -> DataFrame:
+    """F2 for every profile at once: ``rewards`` = map profile -> +-R (same draws as
+    ``bernoulli_reward``), one row per event instead of one per (event, profile)."""
+    by_cat = preferences.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("profile", "p"))).alias("_p"))
+    j = events.join(checked_broadcast(by_cat), "category")
+    u = lambda prof: draws.uniform(seed, prof, F.col("event_id"), "reward")
+    rewards = F.transform_values("_p", lambda prof, p: F.when(u(prof) < p, F.lit(reward_max)).otherwise(F.lit(-reward_max)))
+    return j.withColumn("rewards", rewards).drop("_p")
+
+
 def validate_profile_keys(preferences: DataFrame, categories: DataFrame) -> DataFrame:
     """per profile, how its keys differ from the category set (both ways).
 

@@ -9,9 +9,10 @@ drawn slot (cosine >= gamma).  Accepted events are scored with the profile's
 Bernoulli reward and folded into the state; the rest are skipped (replay
 evaluation at slot granularity).
 
-Layout: reactions are shuffled once per (profile, configuration block); each
-group streams one user's events in order through the iterator grouped map and
-runs every configuration of its block side by side.  Configuration blocks split
+Layout: reactions (with one reward per profile in a map) are shuffled once per
+configuration block; each group streams one user's events in order through the
+iterator grouped map and runs every (configuration, profile) of its block side
+by side.  Configuration blocks split
 a hot user over several tasks; the per-configuration state is bounded by
 ``max_embeddings + 1``.  Output is per (config, profile, user, category) sums,
 aggregated to one row per (config, profile) in SQL.
@@ -71,39 +72,34 @@ _OUT_SCHEMA = (
 
 def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        profile, block, user = key[0], int(key[1]), int(key[2])
+        block, user = int(key[0]), int(key[1])
         mine = configs[block * per_task : (block + 1) * per_task]
-        states, errors, acc = [], [], []
-        # Key prefixes of the keyed draws, ``seed:config:user:``.
+        # Key prefixes of the keyed draws, ``seed:config:user:`` (shared by all profiles).
         prefixes = [f"{seed}:{int(c['config_id'])}:{user}:" for c in mine]
-        for c in mine:
-            p = FoldParams(alpha=c["alpha"], gamma=c["gamma"], beta=c["beta"], max_embeddings=int(c["max_embeddings"]),
-                           min_samples=min_samples)
-            states.append(ProfileState(p))
-            errors.append(None)
-            acc.append({})  # category -> [n_events, n_accepted, sum, sum_sq]
+        params = [FoldParams(alpha=c["alpha"], gamma=c["gamma"], beta=c["beta"], max_embeddings=int(c["max_embeddings"]),
+                             min_samples=min_samples) for c in mine]
+        states: dict[tuple[str, int], ProfileState] = {}
+        errors: dict[tuple[str, int], str | None] = {}
+        acc: dict[tuple[str, int], dict] = {}  # (profile, config) -> category -> [n_events, n_accepted, sum, sum_sq]
         for pdf in batches:
             vecs = pdf["vec"].to_numpy()
             cats = pdf["category"].to_numpy()
-            rewards = pdf["sim_reward"].to_numpy()
+            rewards = pdf["rewards"].to_numpy()
             eids = pdf["event_id"].to_numpy()
             for j in range(len(pdf)):
                 v_full = np.asarray(vecs[j], dtype=np.float64)
-                cat, r, eid = cats[j], float(rewards[j]), int(eids[j])
+                cat, eid = cats[j], int(eids[j])
+                by_profile = dict(rewards[j])
                 by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # n_components -> (vector, unit)
+                gate_u: dict[int, float] = {}
                 for ci, c in enumerate(mine):
-                    if errors[ci] is not None:
-                        continue
-                    cell = acc[ci].setdefault(cat, [0, 0, 0.0, 0.0])
-                    cell[0] += 1
-                    try:
-                        n_comp = int(c["n_components"])
-                        if n_comp not in by_dim:
-                            v = v_full[:n_comp] if 0 < n_comp < len(v_full) else v_full
-                            by_dim[n_comp] = (v, ProfileState.unit_of(v))
-                        v, u = by_dim[n_comp]
-                        st = states[ci]
-                        rate = c["exp_rate"]
+                    rate = c["exp_rate"]
+                    for profile, r in by_profile.items():
+                        k = (profile, ci)
+                        if errors.get(k) is not None:
+                            continue
+                        cell = acc.setdefault(k, {}).setdefault(cat, [0, 0, 0.0, 0.0])
+                        cell[0] += 1
                         if rate >= 1.0:
                             # Every event is accepted whatever the profile says, so the profile
                             # can never influence a result: count the event and skip the fold.
@@ -111,31 +107,44 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
                             cell[2] += r
                             cell[3] += r * r
                             continue
-                        if not st.prefs or (rate > 0.0 and py_uniform_text(f"{prefixes[ci]}{eid}:gate") < rate):
-                            accept = True
-                        else:
-                            probs = st.probabilities()
-                            draw = py_uniform_text(f"{prefixes[ci]}{eid}:slot")
-                            cum, chosen = 0.0, len(probs) - 1
-                            for si, pr in enumerate(probs):
-                                cum += pr
-                                if cum > draw:
-                                    chosen = si
-                                    break
-                            accept = float(st.unit[chosen] @ u) >= st.p.gamma
-                        if accept:
-                            st.react(v, r, None, u)
-                            cell[1] += 1
-                            cell[2] += r
-                            cell[3] += r * r
-                    except Exception as e:  # noqa: BLE001 - a failing configuration is reported, not fatal
-                        errors[ci] = f"{type(e).__name__}: {e}"
+                        try:
+                            st = states.get(k)
+                            if st is None:
+                                st = states[k] = ProfileState(params[ci])
+                            n_comp = int(c["n_components"])
+                            if n_comp not in by_dim:
+                                v = v_full[:n_comp] if 0 < n_comp < len(v_full) else v_full
+                                by_dim[n_comp] = (v, ProfileState.unit_of(v))
+                            v, u = by_dim[n_comp]
+                            if not st.prefs:
+                                accept = True
+                            else:
+                                if ci not in gate_u:
+                                    gate_u[ci] = py_uniform_text(f"{prefixes[ci]}{eid}:gate") if rate > 0.0 else 1.0
+                                if gate_u[ci] < rate:
+                                    accept = True
+                                else:
+                                    probs = st.probabilities()
+                                    draw = py_uniform_text(f"{prefixes[ci]}{eid}:slot")
+                                    cum, chosen = 0.0, len(probs) - 1
+                                    for si, pr in enumerate(probs):
+                                        cum += pr
+                                        if cum > draw:
+                                            chosen = si
+                                            break
+                                    accept = float(st.unit[chosen] @ u) >= st.p.gamma
+                            if accept:
+                                st.react(v, r, None, u)
+                                cell[1] += 1
+                                cell[2] += r
+                                cell[3] += r * r
+                        except Exception as e:  # noqa: BLE001 - a failing configuration is reported, not fatal
+                            errors[k] = f"{type(e).__name__}: {e}"
         rows = []
-        for ci, c in enumerate(mine):
-            for cat, (ne, na, s, s2) in acc[ci].items():
-                rows.append((int(c["config_id"]), profile, user, cat, ne, na, s, s2, errors[ci]))
-            if not acc[ci]:
-                rows.append((int(c["config_id"]), profile, user, None, 0, 0, 0.0, 0.0, errors[ci]))
+        for (profile, ci), per_cat in acc.items():
+            cid = int(mine[ci]["config_id"])
+            for cat, (ne, na, s, s2) in per_cat.items():
+                rows.append((cid, profile, user, cat, ne, na, s, s2, errors.get((profile, ci))))
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in _OUT_SCHEMA.split(", ")])
 
     return run
@@ -147,21 +156,22 @@ def sweep_replay(
 ) -> DataFrame:
     """one result row per (configuration, preference profile).
 
-    ``events``: user_id, ts, event_id, item_id, vec, category, profile, sim_reward
-    (one row per event and profile, see ``evaluate.bernoulli_reward``).
+    ``events``: user_id, ts, event_id, vec, category, ``rewards`` (map profile ->
+    reward, see ``evaluate.bernoulli_reward_map``): one row per event, so each
+    event and its vector are shuffled once per configuration block only.
     """
     spark = events.sparkSession
     ship_package(spark)
     n_blocks = max(1, math.ceil(len(configs) / configs_per_task))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = events.select(
-        "profile", "user_id", "ts", "event_id", "vec", "category", "sim_reward",
+        "user_id", "ts", "event_id", "vec", "category", "rewards",
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cfg_block"),
     )
     cells = (
-        rows.repartition(n, "profile", "cfg_block", "user_id")
-        .sortWithinPartitions("profile", "cfg_block", "user_id", "ts", "event_id")
-        .groupBy("profile", "cfg_block", "user_id")
+        rows.repartition(n, "cfg_block", "user_id")
+        .sortWithinPartitions("cfg_block", "user_id", "ts", "event_id")
+        .groupBy("cfg_block", "user_id")
         .applyInPandas(_replay_fn(configs, configs_per_task, seed, min_samples), _OUT_SCHEMA)
     )
     return summarise(cells, preferences, grid_frame(spark, configs))

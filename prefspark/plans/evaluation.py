@@ -95,7 +95,8 @@ def q_diversity_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, sf: str, grid: dict) -> DataFrame:
-    ev = P.attach_vectors(scored(spark, sf), T.items(spark, sf))
+    ev = P.attach_vectors(events_with_category(spark, sf), T.items(spark, sf))
+    ev = EV.bernoulli_reward_map(ev, T.preferences(spark, sf), SEED)
     return SW.sweep_replay(ev, T.preferences(spark, sf), SW.param_grid(grid), SEED)
 
 
