@@ -258,3 +258,35 @@ def test_ordered_scan_with_hot_key_matches_window(spark):
     assert g == e
     pids = df.repartitionByRange(9, "k", "t").where("k = 0").select(F.spark_partition_id()).distinct().count()
     assert pids > 1
+
+
+def test_sweep_invariants(spark):
+    from prefspark.plans import evaluation as EP
+
+    res = EP.sweep(spark, SF001, {**EP.GRID, "alpha": [0.2], "beta": [2.0]}).collect()
+    assert len(res) == 3 * 2 * 2  # gamma x exp_rate x profile
+    totals = {r.profile: (r.n, r.s) for r in EP.scored(spark, SF001).groupBy("profile").agg(
+        F.count("*").alias("n"), F.sum("sim_reward").alias("s")).collect()}
+    for r in res:
+        assert r.n_accepted <= r.n_events and r.error is None
+        assert sum(r.result_preferences.values()) == r.n_accepted
+        if r.params.exp_rate == 1.0:
+            assert (r.n_accepted, r.total_reward) == totals[r.preference_type]
+        else:
+            assert r.n_accepted < r.n_events
+
+
+def test_stream_counts_late_events(spark, tmp_path):
+    from prefspark.streaming import profiles as S
+
+    base = PP.reactions_with_vec(spark, SF001).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
+    cut = base.approxQuantile("event_id", [0.5], 0.0)[0]
+    src = str(tmp_path / "src")
+    # Newer half first, older half second: the older rows arrive late.
+    base.where(F.col("event_id") >= cut).coalesce(1).write.parquet(src)
+    base.where(F.col("event_id") < cut).coalesce(1).write.mode("append").parquet(src)
+    S.run_profile_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), PP.EXACT)
+    snap = S.latest_snapshot(spark.read.parquet(str(tmp_path / "out")))
+    late = snap.groupBy("user_id").agg(F.first("late_events").alias("late"), F.first("total_rewards").alias("t"))
+    r = late.agg(F.sum("late"), F.sum("t")).first()
+    assert r[1] == base.count() and r[0] > 0
