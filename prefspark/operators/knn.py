@@ -37,6 +37,7 @@ def _block_fn(metric: str, qid_cols: list[str]):
         if Q.shape[1] != X.shape[1]:
             raise ValueError("query and item vectors differ in dimension")
         kq = np.minimum(qpdf["k"].to_numpy(dtype=np.int64), len(ids))
+        excl = qpdf["ex_ids"].to_numpy() if "ex_ids" in qpdf.columns else None
         xx = np.einsum("ij,ij->i", X, X)
         out_rows, out_ids, out_scores = [], [], []
         for start in range(0, len(Q), _CHUNK):
@@ -51,6 +52,12 @@ def _block_fn(metric: str, qid_cols: list[str]):
                 if k <= 0:
                     continue
                 row = key[r]
+                if excl is not None and excl[start + r] is not None and len(excl[start + r]):
+                    row = row.copy()
+                    row[np.isin(ids, np.asarray(excl[start + r], dtype=np.int64))] = np.inf  # seen: never chosen
+                    k = min(k, int(np.count_nonzero(np.isfinite(row))))
+                    if k <= 0:
+                        continue
                 if k < len(row):
                     thr = np.partition(row, k - 1)[k - 1]
                     cand = np.nonzero(row <= thr)[0]  # keeps every tie at the cut
@@ -87,12 +94,16 @@ def block_topk(
     item_vec_col: str = "embedding",
     query_block: int = DEFAULT_QUERY_BLOCK,
     item_block: int = DEFAULT_ITEM_BLOCK,
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-``k`` items per query row.
 
     ``metric='l2'``: squared Euclidean distance ascending; ``'dot'``: inner product
     descending; ties broken by ``item_id``.  ``k`` is an int or a column name of
-    ``queries`` (per-query k).  Returns ``qid_cols + [item_id, score, rank]``.
+    ``queries`` (per-query k).  ``exclude`` (``qid_cols + [item_id]``) removes pairs
+    before ranking: each replicated query row carries its excluded ids *of that item
+    block* (at most the block size), so exclusion is exact and bounded even for a
+    query that excludes most of the catalogue.  Returns ``qid_cols + [item_id, score, rank]``.
     """
     if metric not in ("l2", "dot"):
         raise ValueError(f"unknown metric {metric}")
@@ -113,6 +124,11 @@ def block_topk(
         F.pmod(F.xxhash64("item_id"), F.lit(bi)).alias("ib"),
         F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"),
     )
+    if exclude is not None:
+        ex = exclude.select(*qid_cols, "item_id").select(
+            *qid_cols, "item_id", F.pmod(F.xxhash64("item_id"), F.lit(bi)).alias("ib")
+        ).groupBy(*qid_cols, "ib").agg(F.collect_list("item_id").alias("ex_ids"))
+        q_rep = q_rep.join(ex, [*qid_cols, "ib"], "left")
     schema_fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*qid_cols).schema.fields]
     schema = ", ".join(schema_fields + ["item_id long", "score double"])
     cand = (
@@ -165,22 +181,13 @@ def first_available(seen: DataFrame, n_items_col) -> DataFrame:
 
 
 def knn_unseen_exact(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest items a user has not seen (anti join before the final rank).
+    """The k nearest items a user has not seen.
 
-    Over-fetches ``k + n_seen(user)`` per query, which always contains the k best
-    unseen items, then removes seen pairs and re-ranks.  Exact for any history.
+    Seen pairs are removed inside each block before the local top-k (see
+    ``block_topk(exclude=...)``), so every block emits at most k candidates per
+    user, however much of the catalogue the user has already seen.
     """
-    q = queries.join(seen_counts(seen), "user_id", "left").select(
-        "*", (F.lit(k) + F.coalesce(F.col("n_seen"), F.lit(0))).alias("_k")
-    )
-    cand = block_topk(q, items, "_k", metric=metric)
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    w = Window.partitionBy("user_id").orderBy(order, F.col("item_id"))
-    return (
-        cand.join(seen, ["user_id", "item_id"], "left_anti")
-        .withColumn("rank", F.row_number().over(w).cast("long"))
-        .where(F.col("rank") <= k)
-    )
+    return block_topk(queries, items, k, metric=metric, exclude=seen)
 
 
 def knn_cosine(queries: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:

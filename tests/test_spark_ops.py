@@ -290,3 +290,22 @@ def test_stream_counts_late_events(spark, tmp_path):
     late = snap.groupBy("user_id").agg(F.first("late_events").alias("late"), F.first("total_rewards").alias("t"))
     r = late.agg(F.sum("late"), F.sum("t")).first()
     assert r[1] == base.count() and r[0] > 0
+
+
+def test_exclusion_exact_when_most_items_are_seen(spark):
+    ids, X = _items_np(spark, SF001)
+    rng = np.random.default_rng(3)
+    users = list(range(12))
+    seen = {u: set(rng.choice(ids, size=(450 if u == 0 else 30), replace=False).tolist()) for u in users}
+    qv = {u: X[rng.integers(0, len(ids))] for u in users}
+    q = spark.createDataFrame([(u, qv[u].tolist()) for u in users], "user_id long, query array<double>")
+    s = spark.createDataFrame([(u, int(i)) for u in users for i in seen[u]], "user_id long, item_id long")
+    got = knn.block_topk(q, T.items(spark, SF001), 4, metric="l2", query_block=5, item_block=70, exclude=s).collect()
+    res = {}
+    for r in got:
+        res.setdefault(r.user_id, []).append((r.rank, r.item_id))
+    for u in users:
+        d = ((X - qv[u]) ** 2).sum(1)
+        keep = np.array([i not in seen[u] for i in ids])
+        order = np.lexsort((ids[keep], d[keep]))[:4]
+        assert [i for _, i in sorted(res[u])] == list(ids[keep][order])
