@@ -7,7 +7,7 @@ text (``SQL_VIEWS``), which the oracle queries prepend as CTEs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.session import ship_package
@@ -87,26 +87,23 @@ def sql_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     total_rewards, reward_average.  Input for every oracle-checked operator that
     reads a profile; in normal use the fold snapshot takes its place.
     """
+    from prefspark.operators.scan import ordered_scan
+
     r = reactions(spark, sf_dir)
     per_item = r.groupBy("user_id", "item_id").agg(
         F.min(F.struct("ts", "event_id")).alias("first"),
         F.count(F.lit(1)).alias("rewards_received"),
         (F.avg("reward") / 10.0).alias("preference"),
-    )
-    w_user = Window.partitionBy("user_id")
-    slot_w = w_user.orderBy(F.col("first.ts"), F.col("first.event_id"))
-    prof = per_item.select(
-        "user_id",
-        (F.row_number().over(slot_w) - 1).cast("long").alias("slot"),
-        "item_id",
-        "preference",
-        "rewards_received",
-        F.sum("rewards_received").over(w_user).alias("total_rewards"),
-    )
-    stats = r.groupBy("user_id").agg(F.avg("reward").alias("reward_average"))
+    ).select("user_id", "item_id", "rewards_received", "preference",
+             F.col("first.ts").alias("first_ts"), F.col("first.event_id").alias("first_event"))
+    # Slot = first-seen order of the user's items: a distributed ordered scan, so a user
+    # who has reacted to a large part of the catalogue is not one window task.
+    slots = ordered_scan(per_item, "user_id", ["first_ts", "first_event"])
+    stats = r.groupBy("user_id").agg(F.avg("reward").alias("reward_average"), F.count(F.lit(1)).alias("total_rewards"))
     vecs = items(spark, sf_dir).select("item_id", "embedding")
-    return prof.join(stats, "user_id").join(vecs, "item_id").select(
-        "user_id", "slot", "item_id", "embedding", "preference", "rewards_received", "total_rewards", "reward_average"
+    return slots.join(stats, "user_id").join(vecs, "item_id").select(
+        "user_id", F.col("position").alias("slot"), "item_id", "embedding", "preference", "rewards_received",
+        "total_rewards", "reward_average",
     )
 
 
