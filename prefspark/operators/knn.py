@@ -1,13 +1,14 @@
 """Exact nearest-neighbour search and the reference's retrieval operators.
 
 Core: ``block_topk``.  Queries are split into ``Bq`` blocks and items into ``Bi``
-blocks by a hash of their ids; each query row is replicated once per item block
+blocks by a hash of their ids (block sizes from a memory budget and the vector
+width); each query row is replicated once per item block
 and each item row once per query block, and the two sides meet in an equi-join
 (cogroup) on ``(qb, ib)``.  Each group holds at most one query block and one item
 block, whatever the data size, and computes one dense matrix product with a local
 tie-aware top-k.  The per-block candidates (``k`` per query per item block) are
-merged by a window on the query id.  Nothing passes through the driver except two
-row counts used to size the blocks, and no row pairs are materialised.
+merged by a window on the query id.  Nothing passes through the driver except the
+row counts and width used to size the blocks, and no row pairs are materialised.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 from prefspark.session import ship_package
 
-DEFAULT_QUERY_BLOCK = 2048
-DEFAULT_ITEM_BLOCK = 8192
-_CHUNK = 256  # query rows per matrix product inside a block (bounds memory)
+BLOCK_BYTES = 64 << 20  # memory budget of one item block (float64 matrix); query blocks get a quarter
+_CHUNK = 256  # query rows per matrix product inside a block (bounds the score matrix)
 
 
 def _block_fn(metric: str, qid_cols: list[str]):
@@ -92,9 +92,10 @@ def block_topk(
     qid_cols: list[str] | None = None,
     query_col: str = "query",
     item_vec_col: str = "embedding",
-    query_block: int = DEFAULT_QUERY_BLOCK,
-    item_block: int = DEFAULT_ITEM_BLOCK,
+    query_block: int | None = None,
+    item_block: int | None = None,
     exclude: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact top-``k`` items per query row.
 
@@ -113,8 +114,13 @@ def block_topk(
     q = queries.select(*qid_cols, F.col(query_col).alias("qvec"), k_col.cast("long").alias("k"))
     it = items.select("item_id", F.col(item_vec_col).alias("ivec"))
 
+    # Shuffle volume is nq * Bi + ni * Bq rows, so blocks are as large as the memory
+    # budget allows at this vector width (fewer blocks, less replication).
     nq = q.count()
-    ni = it.count()
+    stats = it.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ivec")).alias("d")).first()
+    ni, dim = int(stats["n"] or 0), max(int(stats["d"] or 1), 1)
+    item_block = item_block or max(1024, block_bytes // (dim * 8))
+    query_block = query_block or max(256, block_bytes // 4 // (dim * 8))
     bq = max(1, math.ceil(nq / query_block))
     bi = max(1, math.ceil(ni / item_block))
     qhash = F.xxhash64(*qid_cols)
