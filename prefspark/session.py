@@ -73,7 +73,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 _PACKAGE_ZIP: str | None = None
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -85,7 +85,8 @@ def ship_package(spark: SparkSession) -> None:
     """
     global _PACKAGE_ZIP
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    app = sc.applicationId  # a new context (new application) must be shipped to again
+    if app in _SHIPPED:
         return
     if _PACKAGE_ZIP is None:
         import zipfile
@@ -104,4 +105,4 @@ def ship_package(spark: SparkSession) -> None:
                         zf.write(full, os.path.relpath(full, root))
         _PACKAGE_ZIP = path
     sc.addPyFile(_PACKAGE_ZIP)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(app)

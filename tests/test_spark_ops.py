@@ -309,3 +309,18 @@ def test_exclusion_exact_when_most_items_are_seen(spark):
         keep = np.array([i not in seen[u] for i in ids])
         order = np.lexsort((ids[keep], d[keep]))[:4]
         assert [i for _, i in sorted(res[u])] == list(ids[keep][order])
+
+
+def test_fold_identical_across_tiny_arrow_batches(spark):
+    """A user's rows split over many Arrow batches (the hot-user path) fold the same."""
+    rv = PP.reactions_with_vec(spark, SF001)
+    cols = ["user_id", "slot", "item_id", "rewards_received", "total_rewards", "matches", "evictions"]
+    full = sorted(P.fold_profiles(rv, PP.EVICTING).select(*cols, F.round("preference", 9)).collect())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        tiny = sorted(P.fold_profiles(rv, PP.EVICTING).select(*cols, F.round("preference", 9)).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert tiny == full
