@@ -12,7 +12,7 @@ ROUND = 6
 
 def liked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's latest liked reaction (reward > 0) and that item's vector as query."""
-    r = T.reactions(spark, sf_dir).where(F.col("reward") > 0)
+    r = T.reactions(spark, sf_dir, liked_only=True)
     latest = r.groupBy("user_id").agg(F.max_by("item_id", F.struct("ts", "event_id")).alias("query_item"))
     vecs = T.items(spark, sf_dir).select(F.col("item_id").alias("query_item"), F.col("embedding").alias("query"))
     return latest.join(vecs, "query_item")

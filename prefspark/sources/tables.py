@@ -49,9 +49,20 @@ def n_items(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "embeddings").select(F.count(F.lit(1))).scalar()
 
 
-def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logged reactions: each event maps to item ``event_id % n_items``."""
+def liked_event_types() -> list[str]:
+    """Event types with a positive reward (a raw-column predicate Parquet can apply)."""
+    return [k for k, v in REWARD_BY_EVENT.items() if v > 0]
+
+
+def reactions(spark: SparkSession, sf_dir: str, liked_only: bool = False) -> DataFrame:
+    """Logged reactions: each event maps to item ``event_id % n_items``.
+
+    ``liked_only`` keeps positive rewards with a filter on ``event_type`` itself, so
+    it is pushed into the Parquet scan.
+    """
     ev = table(spark, sf_dir, "events")
+    if liked_only:
+        ev = ev.where(F.col("event_type").isin(*liked_event_types()))
     return ev.select(
         "user_id",
         "ts",
