@@ -32,6 +32,18 @@ def q_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
                        F.round("reward_average", 6).alias("reward_average"))
 
 
+def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """D10 in strict event-time order (watermark, delay 0): the profiles folded from every
+    row the final watermark covers; a user's rows newer than it stay buffered in state."""
+    src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "strict-out"), scratch_path(spark, "strict-ck")
+    staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
+    S.write_time_slices(staged, src, "ts", SLICES)
+    S.run_profile_stream_strict(spark, src, sink, ck, PP.EXACT)
+    snap = S.latest_snapshot(spark.read.parquet(sink))
+    return snap.select("user_id", "slot", "item_id", "rewards_received", "total_rewards",
+                       F.round("reward_average", 6).alias("reward_average"))
+
+
 def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Per-request recommendations from a stored snapshot, answered batch by batch."""
     snapshot = materialize(T.sql_profile(spark, sf), "snapshot")
@@ -48,12 +60,17 @@ def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).select("user_id", "mode", "slot", "item_id", "fallback")
 
 
+# Rows the final watermark covers: event time at or below max(ts) truncated to milliseconds.
+_COVERED_EVENTS = "(SELECT * FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events))"
+
 ORACLES = {
     "profile_stream": PP.ORACLES["profile_fold"],
+    "profile_stream_strict": PP.ORACLES["profile_fold"].replace(" FROM events", f" FROM {_COVERED_EVENTS}", 1),
     "recommend_stream": RP.ORACLES["recommend_batch"],
 }
 
 QUERIES = {
     "profile_stream": q_profile_stream,
+    "profile_stream_strict": q_profile_stream_strict,
     "recommend_stream": q_recommend_stream,
 }

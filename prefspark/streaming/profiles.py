@@ -170,3 +170,96 @@ def run_recommend_stream(spark: SparkSession, requests_dir: str, sink_dir: str,
 
     q = src.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+# ---------------------------------------------------------------------------
+# D10, strict event-time order
+# ---------------------------------------------------------------------------
+
+STRICT_STATE_SCHEMA = Ty.StructType(list(STATE_SCHEMA.fields) + [
+    Ty.StructField("pend_ts", Ty.ArrayType(Ty.LongType())),
+    Ty.StructField("pend_eid", Ty.ArrayType(Ty.LongType())),
+    Ty.StructField("pend_item", Ty.ArrayType(Ty.LongType())),
+    Ty.StructField("pend_reward", Ty.ArrayType(Ty.DoubleType())),
+    Ty.StructField("pend_vec", Ty.ArrayType(Ty.ArrayType(Ty.FloatType()))),
+])
+
+
+def _strict_fold_fn(p: FoldParams):
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        st = ProfileState(p)
+        last, dropped = None, 0
+        pend: list[tuple] = []
+        if state.exists:
+            (item_ids, vecs, prefs, counts, avg, total, matches, evictions, last_ts, last_eid, dropped,
+             p_ts, p_eid, p_item, p_rw, p_vec) = state.get
+            for i in range(len(prefs)):
+                st.restore_slot(vecs[i], item_ids[i], prefs[i], counts[i])
+            st.avg, st.total, st.matches, st.evictions = float(avg), int(total), int(matches), int(evictions)
+            last = (int(last_ts), int(last_eid)) if total else None
+            pend = list(zip(p_ts, p_eid, p_item, p_rw, p_vec))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                ts_us = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+                for t, e, it, r, v in zip(ts_us, pdf["event_id"], pdf["item_id"], pdf["reward"], pdf["vec"]):
+                    if last is not None and (int(t), int(e)) < last:
+                        dropped += 1  # behind what was already folded: counted, not applied
+                    else:
+                        pend.append((int(t), int(e), int(it), float(r), np.asarray(v, dtype=np.float32).tolist()))
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        pend.sort(key=lambda x: (x[0], x[1]))
+        ready = [x for x in pend if x[0] <= wm_us]
+        pend = [x for x in pend if x[0] > wm_us]
+        for t, e, it, r, v in ready:
+            st.react(v, r, it)
+            last = (t, e)
+        state.update((
+            [int(x) for x in st.item_ids], [np.asarray(v, dtype=np.float32).tolist() for v in st.vecs],
+            [float(x) for x in st.prefs], [int(x) for x in st.counts], float(st.avg), int(st.total),
+            int(st.matches), int(st.evictions), last[0] if last else 0, last[1] if last else 0, int(dropped),
+            [x[0] for x in pend], [x[1] for x in pend], [x[2] for x in pend], [x[3] for x in pend], [x[4] for x in pend],
+        ))
+        if pend:
+            # Called again once the watermark passes the oldest buffered row.
+            # (a timeout fires when the watermark passes it; rows are ready at wm_ms * 1000 >= ts_us)
+            due_ms = -(-pend[0][0] // 1000) - 1
+            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+        if not ready:
+            return
+        m = len(st.prefs)
+        yield pd.DataFrame({
+            "user_id": np.full(m, key[0], dtype=np.int64),
+            "slot": np.arange(m, dtype=np.int64),
+            "item_id": np.asarray(st.item_ids, dtype=np.int64),
+            "embedding": [np.asarray(v, dtype=np.float32) for v in st.vecs],
+            "preference": np.asarray(st.prefs, dtype=np.float64),
+            "rewards_received": np.asarray(st.counts, dtype=np.int64),
+            "total_rewards": np.full(m, st.total, dtype=np.int64),
+            "reward_average": np.full(m, st.avg, dtype=np.float64),
+            "matches": np.full(m, st.matches, dtype=np.int64),
+            "evictions": np.full(m, st.evictions, dtype=np.int64),
+            "late_events": np.full(m, dropped, dtype=np.int64),
+        })
+
+    return run
+
+
+def profile_stream_strict(reactions: DataFrame, p: FoldParams, delay: str = "0 seconds") -> DataFrame:
+    """D10 in strict event-time order: rows wait in state until the watermark
+    (``max ts - delay``) passes them, then fold in ``(ts, event_id)`` order; rows
+    behind what a user has already folded are dropped and counted in ``late_events``."""
+    ship_package(reactions.sparkSession)
+    ts = reactions.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
+    return ts.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(
+        _strict_fold_fn(p), OUTPUT_SCHEMA, STRICT_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def run_profile_stream_strict(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
+                              delay: str = "0 seconds", files_per_trigger: int = 1) -> None:
+    src = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    q = (
+        profile_stream_strict(src, p, delay).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir)
+    )
+    q.awaitTermination()
