@@ -246,8 +246,10 @@ def _strict_fold_fn(p: FoldParams):
 
 def profile_stream_strict(reactions: DataFrame, p: FoldParams, delay: str = "0 seconds") -> DataFrame:
     """D10 in strict event-time order: rows wait in state until the watermark
-    (``max ts - delay``) passes them, then fold in ``(ts, event_id)`` order; rows
-    behind what a user has already folded are dropped and counted in ``late_events``."""
+    (``max ts - delay``) passes them, then fold in ``(ts, event_id)`` order.  Rows
+    behind the watermark are dropped by Spark before the state function (reported
+    as ``numRowsDroppedByWatermark``); rows behind a user's folded history but not
+    behind the watermark are dropped here and counted in ``late_events``."""
     ship_package(reactions.sparkSession)
     ts = reactions.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
     return ts.withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(
@@ -256,10 +258,13 @@ def profile_stream_strict(reactions: DataFrame, p: FoldParams, delay: str = "0 s
 
 
 def run_profile_stream_strict(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                              delay: str = "0 seconds", files_per_trigger: int = 1) -> None:
+                              delay: str = "0 seconds", files_per_trigger: int = 1) -> int:
+    """Run strict D10 until caught up; returns the rows Spark dropped as behind the
+    watermark (its standard late-data rule, applied before the state function)."""
     src = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
     q = (
         profile_stream_strict(src, p, delay).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir)
     )
     q.awaitTermination()
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for prog in q.recentProgress for op in prog.get("stateOperators", []))

@@ -327,15 +327,21 @@ def test_fold_identical_across_tiny_arrow_batches(spark):
 
 
 def test_strict_stream_drops_rows_behind_the_fold(spark, tmp_path):
+    import time
+
     from prefspark.streaming import profiles as S
 
     base = PP.reactions_with_vec(spark, SF001).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    cut = base.approxQuantile("event_id", [0.5], 0.0)[0]
+    lo, hi = base.approxQuantile("event_id", [1 / 3, 2 / 3], 0.0)
     src = str(tmp_path / "src")
-    base.where(F.col("event_id") >= cut).coalesce(1).write.parquet(src)  # newer half first
-    base.where(F.col("event_id") < cut).coalesce(1).write.mode("append").parquet(src)  # then the older half
-    S.run_profile_stream_strict(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), PP.EXACT)
+    # Newest third, then the middle third (the watermark now lets users fold past it),
+    # then the oldest third, which is behind every user's folded history.
+    for i, cond in enumerate([F.col("event_id") >= hi, (F.col("event_id") >= lo) & (F.col("event_id") < hi),
+                              F.col("event_id") < lo]):
+        base.where(cond).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # distinct file times: the file source reads oldest first
+    dropped = S.run_profile_stream_strict(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), PP.EXACT)
     snap = S.latest_snapshot(spark.read.parquet(str(tmp_path / "out")))
     per_user = snap.groupBy("user_id").agg(F.first("late_events").alias("late"), F.first("total_rewards").alias("t"))
     late, folded = per_user.agg(F.sum("late"), F.sum("t")).first()
-    assert late > 0 and folded + late <= base.count()
+    assert late + dropped > 0 and folded + late + dropped <= base.count()
