@@ -345,3 +345,18 @@ def test_strict_stream_drops_rows_behind_the_fold(spark, tmp_path):
     per_user = snap.groupBy("user_id").agg(F.first("late_events").alias("late"), F.first("total_rewards").alias("t"))
     late, folded = per_user.agg(F.sum("late"), F.sum("t")).first()
     assert late + dropped > 0 and folded + late + dropped <= base.count()
+
+
+def test_user_without_reactions_explores(spark):
+    from prefspark.operators import recommend as R
+
+    items = T.items(spark, SF001)
+    prof = T.sql_profile(spark, SF001).where("user_id = 0")
+    users = spark.createDataFrame([(0,), (10_000_000,)], "user_id long")
+    seen = spark.createDataFrame([], "user_id long, item_id long")
+    q = {r.user_id: r for r in R.query_vectors(users, prof, 64, 2.0, 0.0, 42, 0).collect()}
+    assert q[10_000_000].mode == "explore" and q[10_000_000].slot == -1
+    assert len(q[10_000_000].query) == 64 and np.linalg.norm(q[10_000_000].query) == pytest.approx(1.0)
+    assert q[0].mode == "exploit"  # exp_rate 0 and a profile: always exploit
+    rec = R.recommend_batch(users, prof, items, seen, T.n_items(spark, SF001), 64, 2.0, 0.0).collect()
+    assert {r.user_id for r in rec} == {0, 10_000_000}
