@@ -10,6 +10,7 @@ from prefspark.operators import features as FE
 from prefspark.operators import mapview as MV
 from prefspark.plans import profiles as PP
 from prefspark.plans.common import LIKED_QUERIES_SQL, liked_queries, rnd
+from prefspark.session import materialize
 from prefspark.sources import tables as T
 
 N_COMPONENTS = 16
@@ -57,6 +58,21 @@ def q_project_2d(spark: SparkSession, sf: str) -> DataFrame:
     return FE.project_2d(snap).select("user_id", "slot", rnd("x").alias("x"), rnd("y").alias("y"))
 
 
+def q_map_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The full plot-ready table of every user's folded profile (x, y, size, colour).
+
+    Rows-only: x and y come from the per-user PCA of the real fold.
+    """
+    snap = materialize(PP.folded(spark, sf, PP.EVICTING), "map-snapshot")
+    xy = FE.project_2d(snap)
+    pts = MV.map_points(snap)
+    return pts.join(xy, ["user_id", "slot"]).select(
+        "user_id", "slot", rnd("x").alias("x"), rnd("y").alias("y"), rnd("preference").alias("preference"),
+        rnd("size_value").alias("size_value"), rnd("point_size").alias("point_size"), rnd("color").alias("color"),
+        "rewards_received",
+    )
+
+
 def q_map_points(spark: SparkSession, sf: str) -> DataFrame:
     """Point size, colour and shifted size value per slot."""
     m = MV.map_points(T.sql_profile(spark, sf))
@@ -117,6 +133,7 @@ QUERIES = {
     "cosine_similarity": q_cosine_similarity,
     "l2_normalise": q_l2_normalise,
     "project_2d": q_project_2d,
+    "map_table": q_map_table,
     "map_points": q_map_points,
     "map_legend": q_map_legend,
 }
