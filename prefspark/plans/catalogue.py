@@ -91,14 +91,14 @@ ORACLES = {
     "standardise_fit": """SELECT CAST(i - 1 AS BIGINT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
         FROM (SELECT unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY i""",
     "catalogue_build": T.with_views(
-        f"SELECT item_id, category, CAST({N_COMPONENTS} AS BIGINT) AS dim, 1.0 AS norm FROM items", "items"
+        f"SELECT item_id, category, CAST({N_COMPONENTS} AS BIGINT) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM items", "items"
     ),
     "cosine_similarity": T.with_views(
         """SELECT p.user_id, p.slot, round(list_cosine_similarity(q.query::DOUBLE[], p.embedding::DOUBLE[]), 6) AS cosine
            FROM sql_profile p JOIN lq q USING (user_id)""",
         "sql_profile", extra={"lq": LIKED_QUERIES_SQL},
     ),
-    "l2_normalise": "SELECT doc_id, 1.0 AS norm, round(sum, 6) AS sum FROM (SELECT doc_id, sum(w) AS sum FROM ("
+    "l2_normalise": "SELECT doc_id, CAST(1.0 AS DOUBLE) AS norm, round(sum, 6) AS sum FROM (SELECT doc_id, sum(w) AS sum FROM ("
     + """SELECT doc_id, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM (
             SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS bucket, count(*) AS tf FROM (
               SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents)
@@ -119,7 +119,7 @@ ORACLES = {
         f"""SELECT user_id, round(CASE WHEN mn <> mx THEN mn END, 6) AS legend_min,
                    round(CASE WHEN mn <> mx THEN (mn + mx) / 2 END, 6) AS legend_mid,
                    round(CASE WHEN mn <> mx THEN mx END, 6) AS legend_max,
-                   n AS total_embeddings, {PP.DEFAULT.gamma} AS similarity_threshold,
+                   n AS total_embeddings, CAST({PP.DEFAULT.gamma} AS DOUBLE) AS similarity_threshold,
                    CAST({PP.DEFAULT.min_samples} AS BIGINT) AS min_samples
             FROM (SELECT user_id, min(preference) AS mn, max(preference) AS mx, count(*) AS n FROM sql_profile GROUP BY user_id)""",
         "sql_profile",

@@ -167,7 +167,7 @@ def _grid_sql(grid: dict) -> str:
 
 _EV_CTES = {
     "ev": "SELECT r.user_id, r.ts, r.event_id, r.item_id, i.category FROM reactions r JOIN items i USING (item_id)",
-    "sim": f"""SELECT e.*, p.profile, p.p, CASE WHEN {_U_REWARD} < p.p THEN 10.0 ELSE -10.0 END AS sim_reward
+    "sim": f"""SELECT e.*, p.profile, p.p, CAST(CASE WHEN {_U_REWARD} < p.p THEN 10.0 ELSE -10.0 END AS DOUBLE) AS sim_reward
                FROM ev e JOIN preferences p USING (category)""",
     "obs": "SELECT profile, user_id, category, count(*) AS n FROM sim GROUP BY profile, user_id, category",
     "run_al": """SELECT o.profile, o.user_id,

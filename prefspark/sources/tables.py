@@ -128,9 +128,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same tables as DuckDB SQL (views are pre-registered under TABLES names).
 # ---------------------------------------------------------------------------
 
-_REWARD_SQL = "CASE event_type " + " ".join(
+_REWARD_SQL = "CAST(CASE event_type " + " ".join(
     f"WHEN '{k}' THEN {v}" for k, v in REWARD_BY_EVENT.items()
-) + " ELSE 0.0 END"
+) + " ELSE 0.0 END AS DOUBLE)"  # DOUBLE like Spark (a bare 10.0 is DECIMAL in DuckDB)
 
 SQL_VIEWS = {
     "items": """SELECT vec_id AS item_id, CAST(vec_id AS VARCHAR) AS item_key,
@@ -139,9 +139,9 @@ SQL_VIEWS = {
         event_id % (SELECT count(*) FROM embeddings) AS item_id, {_REWARD_SQL} AS reward FROM events""",
     "seen": "SELECT DISTINCT user_id, item_id FROM reactions",
     "preferences": """SELECT 'focused' AS profile, category,
-            CASE WHEN category IN ('c0','c1','c2') THEN 0.9 ELSE 0.1 END AS p
+            CAST(CASE WHEN category IN ('c0','c1','c2') THEN 0.9 ELSE 0.1 END AS DOUBLE) AS p
         FROM (SELECT DISTINCT category FROM items)
-        UNION ALL SELECT 'balanced', category, 0.5 FROM (SELECT DISTINCT category FROM items)""",
+        UNION ALL SELECT 'balanced', category, CAST(0.5 AS DOUBLE) FROM (SELECT DISTINCT category FROM items)""",
     "sql_profile": """SELECT p.user_id, p.slot, p.item_id, i.embedding, p.preference, p.rewards_received,
             p.total_rewards, s.reward_average
         FROM (SELECT user_id, item_id,

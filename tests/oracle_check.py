@@ -44,6 +44,32 @@ def digest(cols, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16], lines
 
 
+def _kind(v):
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "bool"
+    if isinstance(v, int):
+        return "int"
+    if isinstance(v, float):
+        return "float"
+    return type(v).__name__
+
+
+def column_type_diff(scols, srows, dcols, drows):
+    """Columns whose Python value types differ between the engines (e.g. Decimal vs float)."""
+    out = {}
+    for c in scols:
+        if c not in dcols:
+            continue
+        i, j = scols.index(c), dcols.index(c)
+        ks = {_kind(r[i]) for r in srows} - {None}
+        kd = {_kind(r[j]) for r in drows} - {None}
+        if ks and kd and ks != kd:
+            out[c] = (sorted(ks), sorted(kd))
+    return out
+
+
 def duck(sf_dir: str):
     from prefspark.sources.tables import TABLES
 
@@ -87,12 +113,15 @@ def main(argv):
             continue
         hs, ls = digest(scols, srows)
         hd, ld = digest(dcols, drows)
-        ok = len(srows) == len(drows) and sorted(scols) == sorted(dcols) and hs == hd
+        type_diff = column_type_diff(scols, srows, dcols, drows)
+        ok = len(srows) == len(drows) and sorted(scols) == sorted(dcols) and hs == hd and not type_diff
         print(f"{'ok  ' if ok else 'FAIL'} {name}: spark {len(srows)} rows, duck {len(drows)} rows ({ts:.1f}s)")
         if not ok:
             bad += 1
             if sorted(scols) != sorted(dcols):
                 print("   cols", sorted(scols), sorted(dcols))
+            if type_diff:
+                print("   value types differ", type_diff)
             diff_s = sorted(set(ls) - set(ld))[:5]
             diff_d = sorted(set(ld) - set(ls))[:5]
             print("   spark-only", diff_s)
