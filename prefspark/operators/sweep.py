@@ -12,8 +12,8 @@ evaluation at slot granularity).
 Layout: reactions (with one reward per profile in a map) are shuffled once per
 configuration block; each group streams one user's events in order through the
 iterator grouped map and runs every (configuration, profile) of its block side
-by side.  Configuration blocks split
-a hot user over several tasks; the per-configuration state is bounded by
+by side.  Block sizes are chosen per user from its event count, so a hot user is
+split over up to one task per configuration; the per-configuration state is bounded by
 ``max_embeddings + 1``.  Output is per (config, profile, user, category) sums,
 aggregated to one row per (config, profile) in SQL.
 """
@@ -70,9 +70,15 @@ _OUT_SCHEMA = (
 )
 
 
-def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
+def _replay_fn(configs: list[dict], seed: int, min_samples: int):
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, user = int(key[0]), int(key[1])
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        per_task = int(first["_cpt"].iat[0])  # this user's configurations per task
+        batches = itertools.chain([first], batches)
         mine = configs[block * per_task : (block + 1) * per_task]
         # Key prefixes of the keyed draws, ``seed:config:user:`` (shared by all profiles).
         prefixes = [f"{seed}:{int(c['config_id'])}:{user}:" for c in mine]
@@ -152,7 +158,7 @@ def _replay_fn(configs: list[dict], per_task: int, seed: int, min_samples: int):
 
 def sweep_replay(
     events: DataFrame, preferences: DataFrame, configs: list[dict], seed: int = 42, configs_per_task: int = 12,
-    min_samples: int = MIN_SAMPLES, partitions: int | None = None,
+    min_samples: int = MIN_SAMPLES, partitions: int | None = None, steps_per_task: int = 2_000_000,
 ) -> DataFrame:
     """one result row per (configuration, preference profile).
 
@@ -162,17 +168,22 @@ def sweep_replay(
     """
     spark = events.sparkSession
     ship_package(spark)
-    n_blocks = max(1, math.ceil(len(configs) / configs_per_task))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = events.select(
-        "user_id", "ts", "event_id", "vec", "category", "rewards",
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cfg_block"),
+    # Configurations per task, per user: a user with many events gets fewer per task
+    # (down to one), so a hot user's replay is spread over up to one task per
+    # configuration; ordinary users keep ``configs_per_task`` and are replicated less.
+    per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    cpt = F.greatest(F.lit(1), F.least(F.lit(configs_per_task), (F.lit(steps_per_task) / F.col("_n")).cast("int")))
+    sized = per_user.select("user_id", cpt.alias("_cpt"))
+    rows = events.join(sized, "user_id").select(
+        "user_id", "ts", "event_id", "vec", "category", "rewards", "_cpt",
+        F.explode(F.sequence(F.lit(0), F.ceil(F.lit(len(configs)) / F.col("_cpt")).cast("int") - 1)).alias("cfg_block"),
     )
     cells = (
         rows.repartition(n, "cfg_block", "user_id")
         .sortWithinPartitions("cfg_block", "user_id", "ts", "event_id")
         .groupBy("cfg_block", "user_id")
-        .applyInPandas(_replay_fn(configs, configs_per_task, seed, min_samples), _OUT_SCHEMA)
+        .applyInPandas(_replay_fn(configs, seed, min_samples), _OUT_SCHEMA)
     )
     return summarise(cells, preferences, grid_frame(spark, configs))
 

@@ -360,3 +360,18 @@ def test_user_without_reactions_explores(spark):
     assert q[0].mode == "exploit"  # exp_rate 0 and a profile: always exploit
     rec = R.recommend_batch(users, prof, items, seen, T.n_items(spark, SF001), 64, 2.0, 0.0).collect()
     assert {r.user_id for r in rec} == {0, 10_000_000}
+
+
+def test_sweep_split_per_configuration_is_identical(spark):
+    """Forcing the hot-user layout (one configuration per task) changes nothing."""
+    from prefspark.operators import sweep as SW
+    from prefspark.plans import evaluation as EP
+
+    grid = {**EP.GRID, "alpha": [0.2, 0.6], "beta": [2.0]}
+    ev = P.attach_vectors(EP.events_with_category(spark, SF001), T.items(spark, SF001))
+    ev = EV.bernoulli_reward_map(ev, T.preferences(spark, SF001), EP.SEED)
+    cols = ["config_id", "preference_type", "total_reward", "n_accepted", "n_events"]
+    a = SW.sweep_replay(ev, T.preferences(spark, SF001), SW.param_grid(grid), EP.SEED).select(*cols, F.round("avg_reward", 9))
+    b = SW.sweep_replay(ev, T.preferences(spark, SF001), SW.param_grid(grid), EP.SEED, steps_per_task=10).select(
+        *cols, F.round("avg_reward", 9))
+    assert sorted(a.collect()) == sorted(b.collect())
