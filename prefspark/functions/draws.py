@@ -23,11 +23,6 @@ def _as_str(c) -> Column:
     return F.lit(str(c))
 
 
-def key(*parts) -> Column:
-    """Concatenate key parts with ':' (ints and strings only, so both engines agree)."""
-    return F.concat_ws(":", *[_as_str(p) for p in parts])
-
-
 def uniform(seed, *parts) -> Column:
     """Uniform [0, 1) from md5 of ``seed:part1:part2...``."""
     h = F.md5(F.concat_ws(":", _as_str(seed), *[_as_str(p) for p in parts]))
@@ -77,13 +72,6 @@ def py_normal(seed, *parts) -> float:
     return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
 
 
-def py_random_unit_vector(seed, dim: int, *parts) -> list[float]:
-    raw = [py_normal(seed, *parts, i) for i in range(dim)]
-    norm = math.sqrt(sum(x * x for x in raw))
-    norm = norm if norm != 0 else 1.0
-    return [x / norm for x in raw]
-
-
 # ---- DuckDB text of the same expressions (oracle SQL) ----
 
 def sql_uniform(seed_sql: str, *parts_sql: str) -> str:

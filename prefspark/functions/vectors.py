@@ -15,10 +15,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def as_double(v) -> Column:
-    return F.transform(_c(v), lambda x: x.cast("double"))
-
-
 def dot(a, b) -> Column:
     """Inner product; NULL when lengths differ (use ``cosine`` for the checked form)."""
     return F.aggregate(
@@ -32,14 +28,6 @@ def norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def sq_l2(a, b) -> Column:
-    return F.aggregate(
-        F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-
-
 def cosine(a, b) -> Column:
     """B1: cosine similarity; error on unequal length, 0 when either norm is 0."""
     a, b = _c(a), _c(b)
@@ -56,7 +44,3 @@ def l2_normalise(v, as_float: bool = True) -> Column:
     n = norm(v)
     out = F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
     return F.transform(out, lambda x: x.cast("float")) if as_float else out
-
-
-def round_array(v, digits: int = 6) -> Column:
-    return F.transform(_c(v), lambda x: F.round(x.cast("double"), digits))

@@ -375,3 +375,21 @@ def test_sweep_split_per_configuration_is_identical(spark):
     b = SW.sweep_replay(ev, T.preferences(spark, SF001), SW.param_grid(grid), EP.SEED, steps_per_task=10).select(
         *cols, F.round("avg_reward", 9))
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_pluggable_encoder_reports_failures(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "boom"), (3, "")], "doc_id long, text string")
+
+    def make_encoder():
+        def enc(texts):
+            if texts[0] == "boom":
+                raise RuntimeError("cannot encode")
+            v = np.zeros(4)
+            v[len(texts[0]) % 4] = 1.0
+            return [v]
+        return enc
+
+    out = {r.doc_id: r for r in I.embed_with(docs, make_encoder, 4).collect()}
+    assert out[1].error is None and out[1].embedding == [0.0, 1.0, 0.0, 0.0]
+    assert out[2].embedding is None and "cannot encode" in out[2].error
+    assert out[3].error is None
