@@ -129,12 +129,19 @@ def alignment_and_diversity(counts: DataFrame, run_cols: list[str], preferences:
 
     w = Window.partitionBy(*run_cols)
     obs = counts.where(F.col("n") > 0).select("*", (F.col("n") / F.sum("n").over(w)).alias("q"))
-    p2 = preferences.groupBy("profile").agg(F.sum(F.col("p") * F.col("p")).alias("sum_p2"))
+    # Sums over a run's categories (a small, bounded list) are taken in one fixed
+    # order, so the result does not depend on how rows reached the aggregate: an
+    # alignment whose exact value sits on a rounding boundary rounds the same way
+    # every run (and in any engine that adds the same terms in the same order).
+    def ordered_sum(term):
+        return F.aggregate(F.array_sort(F.collect_list(term)), F.lit(0.0), lambda acc, x: acc + x)
+
+    p2 = preferences.groupBy("profile").agg(ordered_sum(F.col("p") * F.col("p")).alias("sum_p2"))
     prefs = preferences.select("profile", "category", "p")
     j = obs.withColumn("profile", profile_col).join(prefs, ["profile", "category"], "left").fillna(0.0, ["p"])
     agg = j.groupBy(*run_cols, "profile").agg(
-        F.sum(F.col("q") * F.col("q") - 2 * F.col("p") * F.col("q")).alias("_part"),
-        (-F.sum(F.col("q") * F.log(F.col("q")))).alias("diversity_score"),
+        ordered_sum(F.col("q") * F.col("q") - 2 * F.col("p") * F.col("q")).alias("_part"),
+        (-ordered_sum(F.col("q") * F.log(F.col("q")))).alias("diversity_score"),
     )
     return agg.join(p2, "profile").select(
         *run_cols, (-(F.col("sum_p2") + F.col("_part"))).alias("preference_alignment"), "diversity_score"

@@ -171,11 +171,13 @@ _EV_CTES = {
                FROM ev e JOIN preferences p USING (category)""",
     "obs": "SELECT profile, user_id, category, count(*) AS n FROM sim GROUP BY profile, user_id, category",
     "run_al": """SELECT o.profile, o.user_id,
-                    -(s.sum_p2 + sum(power(o.n / t.n, 2) - 2 * pr.p * o.n / t.n)) AS preference_alignment,
-                    -sum(o.n / t.n * ln(o.n / t.n)) AS diversity_score
+                    -(s.sum_p2 + list_reduce(list_prepend(0.0::DOUBLE, list_sort(list((o.n / t.n) * (o.n / t.n) - 2 * pr.p * (o.n / t.n)))),
+                                              lambda a, b: a + b)) AS preference_alignment,
+                    -list_reduce(list_prepend(0.0::DOUBLE, list_sort(list((o.n / t.n) * ln(o.n / t.n)))), lambda a, b: a + b) AS diversity_score
                  FROM obs o JOIN (SELECT profile, user_id, sum(n) AS n FROM obs GROUP BY profile, user_id) t USING (profile, user_id)
                  JOIN preferences pr ON pr.profile = o.profile AND pr.category = o.category
-                 JOIN (SELECT profile, sum(p * p) AS sum_p2 FROM preferences GROUP BY profile) s ON s.profile = o.profile
+                 JOIN (SELECT profile, list_reduce(list_prepend(0.0::DOUBLE, list_sort(list(p * p))), lambda a, b: a + b) AS sum_p2
+                       FROM preferences GROUP BY profile) s ON s.profile = o.profile
                  GROUP BY o.profile, o.user_id, s.sum_p2""",
     "tot": """SELECT profile, sum(sim_reward) AS total_reward, avg(sim_reward) AS avg_reward,
                      stddev_pop(sim_reward) AS reward_std, count(*) AS n FROM sim GROUP BY profile""",
