@@ -7,11 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 from .conftest import SF001
-from .oracle_check import digest, duck
-
-# The sweep-based and streaming checks take longest; they are covered at sf0.01 by oracle_check.py.
-SLOW = {"flatten_results", "best_config", "param_impact", "boxplot_stats", "correlation_matrix", "json_round_trip",
-        "profile_stream", "recommend_stream"}
+from .oracle_check import column_type_diff, digest, duck
 
 
 def test_entry_runs(spark):
@@ -32,7 +28,7 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql() if k not in SLOW))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
@@ -42,3 +38,4 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+    assert not column_type_diff(df.columns, srows, dcols, drows)
