@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, html_extract, langid, order_minhash, packing, toxicity
+from prefspark.llm import bpe, html_extract, langid, near_dedup, order_minhash, packing, toxicity
 from prefspark.sources.tables import table
 
 
@@ -41,5 +41,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op8_main_text, op9_language_id)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document, and which one of each class stays."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op8_main_text, op9_language_id, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
