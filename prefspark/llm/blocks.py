@@ -46,7 +46,7 @@ def unpacked(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> list[np.nd
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """Which residues of a long column occur, as 2**BITMAP_BITS booleans: a filter of fixed size."""
-    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1  # Spark's bitmaps count from 1
     rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(1 << BITMAP_BITS, bool)
     for row in rows.collect():  # at most 2**BITMAP_BITS / 32768 rows of 4 KB

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from prefspark.llm import blocks
 from prefspark.llm.components import components
+from prefspark.llm.lines import cut_lines, line_units, order_keys
 from prefspark.llm.near_dedup import digest
-from prefspark.llm.shingles import Words, mix, shingles, unit_starts, words
+from prefspark.llm.shingles import mix, shingles, unit_starts, words
 from prefspark.session import materialize
 
 THRESHOLD = 0.8
@@ -40,24 +41,6 @@ MIN_WORDS = 50
 LEAST_SHINGLES = 4
 
 
-def _units(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(unit of each word, first word of each unit): the lines that have words, numbered through a slice."""
-    before = np.concatenate([[0], np.cumsum(w.n_lines)[:-1]])
-    unit = before[w.row] + w.line
-    return unit, unit_starts(unit)
-
-
-def _keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of the words of each unit, in order."""
-    n = len(hashes)
-    place = np.arange(n) - np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
-    out = np.empty((len(starts), 2), np.uint64)
-    for c, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        spread = mix(hashes + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(salt))
-        out[:, c] = mix(np.add.reduceat(spread, starts)) if len(starts) else 0
-    return out
-
-
 def _bands(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(units, BANDS) hashes of the MinHash rows of each unit's shingles."""
     out = np.empty((len(starts), BANDS), np.uint64)
@@ -92,10 +75,10 @@ def _sketch_blocks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(0)):
-                unit, starts = _units(w)
+                unit, starts = line_units(w)
                 if not len(starts):
                     continue
-                keys = _keys(w.hashes, starts)[:, 0]
+                keys = order_keys(w.hashes, starts)[:, 0]
                 h, shingled = shingles(w.hashes, unit)
                 first = unit_starts(shingled)
                 enough = np.diff(np.concatenate([first, [len(h)]])) >= LEAST_SHINGLES
@@ -139,11 +122,11 @@ def _lines(wanted: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatc
         hit = wanted()
         for batch in batches:
             for w in words(batch.column(2)):
-                unit, starts = _units(w)
+                unit, starts = line_units(w)
                 if not len(starts):
                     continue
                 counts = np.diff(np.concatenate([starts, [len(unit)]]))
-                keys = _keys(w.hashes, starts)
+                keys = order_keys(w.hashes, starts)
                 h, shingled = shingles(w.hashes, unit)
                 first = unit_starts(shingled)
                 ends = np.concatenate([first[1:], [len(h)]])
@@ -224,10 +207,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with all its columns, the removed paragraphs cut from the text column."""
-    gone = removals(docs, id_col, text_col, min_words).groupBy("doc_id", "doc").agg(F.collect_set("line").alias("lines"))
-    names = {c: f"paragraph_{i}" for i, c in enumerate(docs.columns)}  # no clash with the decision's columns
-    rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
-    text = F.col(names[text_col])
-    joined = rows.join(gone, F.col(names[id_col]).eqNullSafe(gone["doc_id"]) & (digest(text) == gone["doc"]), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("lines"), i)), "\n")
-    return joined.withColumn(names[text_col], F.when(F.col("lines").isNull(), text).otherwise(kept)).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return cut_lines(docs, removals(docs, id_col, text_col, min_words), id_col, text_col)

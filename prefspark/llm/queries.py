@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, html_extract, langid, near_dedup, order_minhash, packing, toxicity
+from prefspark.llm import bpe, html_extract, langid, near_dedup, order_minhash, packing, paragraph_dedup, toxicity
 from prefspark.sources.tables import table
 
 
@@ -31,6 +31,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeating passages of every document: the lines to remove, and the document in which each stays."""
+    return paragraph_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -46,5 +51,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op8_main_text, op9_language_id, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op5_paragraph_dedup, op8_main_text, op9_language_id, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
