@@ -38,6 +38,7 @@ from prefspark.llm.shingles import Words, mix, shingles, unit_starts, words
 from prefspark.session import materialize
 
 THRESHOLD = 0.8
+LEAST_TOKENS = 4  # smaller sets are similar to at least 0.8 only if they are equal
 COUNT_BITS = 20
 COUNT_PARTS = 64
 TILE = 4096  # lines of a token's group handled against as many others in one group of rows
@@ -99,11 +100,12 @@ def _prefix_blocks(rank_of: Callable[[], np.ndarray], buckets: int) -> Callable[
         for batch in batches:
             for w in words(batch.column(0)):
                 h, starts, _, keys = _token_sets(w, rank)
-                if not len(starts):
-                    continue
                 sizes = np.diff(np.concatenate([starts, [len(h)]]))
                 _, distinct = np.unique(keys[:, 0], return_index=True)  # equal lines of a slice give their entries once
+                distinct = distinct[sizes[distinct] >= LEAST_TOKENS]
                 starts, sizes, key = starts[distinct], sizes[distinct], keys[distinct, 0]
+                if not len(distinct):
+                    continue
                 n = sizes - _least_overlap(sizes) + 1
                 at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 token = h[at]
@@ -183,7 +185,7 @@ def similar_in_group(token: int, left: list[np.ndarray], right: list[np.ndarray]
     rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
     a, b = [left[k] for k in rows], [right[k] for k in columns]
     ids = _shared(a, b)
-    common = _matrix(a, ids) @ _matrix(b, ids).T
+    common = (_matrix(a, ids) @ _matrix(b, ids).T).astype(np.float64)
     out = np.zeros_like(open_)
     out[np.ix_(rows, columns)] = common * (1 + THRESHOLD) >= THRESHOLD * total[np.ix_(rows, columns)] - 1e-6
     return out & open_
@@ -238,7 +240,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each line with words: doc_id, doc (digest of the text), line (from 0), class_id (of lines with equal token sets),
     n_links (similar lines of other classes, each class once) and removed."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(None)).alias("doc_id"), digest(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
+    texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), digest(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
     rank = spark.sparkContext.broadcast(rarity(texts.select("text")))  # 2**COUNT_BITS bytes
     buckets = blocks.n_buckets(spark)
     entries = texts.select("text").mapInArrow(_prefix_blocks(lambda: rank.value, buckets), "bucket int, x binary, y binary, z binary")
