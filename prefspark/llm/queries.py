@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import bpe, html_extract, langid, line_dedup, near_dedup, order_minhash, packing, paragraph_dedup, toxicity
+from prefspark.llm import ann, bpe, html_extract, langid, line_dedup, near_dedup, order_minhash, packing, paragraph_dedup, toxicity
 from prefspark.sources.tables import table
 
 
@@ -36,6 +36,11 @@ def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found vectors of every fiftieth vector, by cosine."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, number of similar lines of other classes and decision of every line of every document."""
     return line_dedup.joined(table(spark, sf_dir, "documents")).select("doc_id", "line", "class_id", "n_links", "removed")
@@ -56,5 +61,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op5_paragraph_dedup, op7_line_dedup, op8_main_text, op9_language_id, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op5_paragraph_dedup, op6_nearest_vectors, op7_line_dedup, op8_main_text, op9_language_id, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
