@@ -3,8 +3,8 @@
 Equal texts are one class from the start (a digest, pre-aggregated), so copies cost nothing
 further. Each distinct text gives occurrence-labelled 5-word shingles. For each of SLOTS hash
 orders the WIDTH minimal ones are taken, put back in text order and hashed; ROWS of these
-tuples make a band. Distinct texts that share a band are paired with the band's least one and
-with their neighbour in the order of another sketch, never with all others. A pair holds if the
+tuples make a band. Distinct texts that share a band are paired with two of its members and with
+a neighbour (see ``pairs_in_bands``), never with all others. A pair holds if the
 longest common subsequence L of the two shingle sequences, by an alignment within a band around
 the diagonal, gives L / (n + m - L) >= THRESHOLD. The band begins narrow and widens up to the
 width that any such alignment can need, so the verdict is exact. Components of verified pairs
@@ -115,7 +115,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(last_key)
             right.append(keys[0].as_py())
         last_band, last_key = band[-1], keys[-1].as_py()
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(left, keys.type), pa.array(right, keys.type)], names=["a", "b"])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -123,12 +123,26 @@ def candidates(rows: DataFrame) -> DataFrame:
     bands = rows.select("key", "text").mapInArrow(_sketches, "key binary, bands array<bigint>")
     bands = materialize(bands.dropDuplicates(["key"]), "near-bands")
     spread = bands.select("key", F.explode("bands").alias("band"), F.element_at("bands", 1).alias("b1"), F.element_at("bands", BANDS).alias("b2"))
-    spread = spread.select("key", "band", F.when(F.col("band") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("other"))
-    shared = spread.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most")
-    spread = spread.join(shared.select("band", "least"), "band")
-    star = spread.where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    chain = spread.select("band", "other", "key").repartitionByRange("band", "other", "key").sortWithinPartitions("band", "other", "key").mapInArrow(_neighbours, "a binary, b binary")
-    return star.unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return pairs_in_bands(spread.select("key", "band", F.when(F.col("band") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("other")))
+
+
+def pairs_in_bands(spread: DataFrame) -> DataFrame:
+    """Pairs (a < b) to verify among distinct rows (band, key, other: a second sketch of the key).
+
+    A band's keys are paired with three of their number, whatever it is: with the key that meets
+    most keys over all its bands (an original meets its copies more often than these meet one
+    another), with the least key, and with the neighbour in the order of ``other``.
+    """
+    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    spread = materialize(spread.join(sizes, "band"), "shared-bands")
+    weights = spread.groupBy("key").agg(F.sum("n").alias("weight"))
+    spread = spread.join(weights, "key")
+    pivots = spread.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
+    star = spread.join(pivots, "band").select("key", F.explode(F.array("pivot", "least")).alias("to")).where("key != to").select(F.col("key").alias("a"), F.col("to").alias("b"))
+    kind = spread.schema["key"].dataType.simpleString()
+    ordered = spread.select("band", "other", "key").repartitionByRange("band", "other", "key").sortWithinPartitions("band", "other", "key")
+    chain = ordered.mapInArrow(_neighbours, f"a {kind}, b {kind}")
+    return star.unionByName(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,10 @@
 
 A paragraph is a line. Paragraphs of equal words are one key from the start. The distinct ones
 are sketched by MinHash over 5-word shingles with BANDS bands of ROWS rows (at a Jaccard of 0.8
-a pair shares a band with probability 1 - (1 - 0.8**4)**12 = 0.998). A band's paragraphs are
-paired with its least one and with their neighbour in the order of another sketch; within a
-batch already, so only one entry of each band and batch is shuffled, whatever its size. Pairs
-hold if the exact Jaccard of their shingle sets is at least THRESHOLD. Components of these pairs
-are the classes.
+a pair shares a band with probability 1 - (1 - 0.8**4)**12 = 0.998). Bands that one paragraph
+alone has are dropped in columnar blocks; in the others paragraphs are paired as
+``near_dedup.pairs_in_bands`` says. Pairs hold if the exact Jaccard of their shingle sets is at
+least THRESHOLD. Components of these pairs are the classes.
 
 A paragraph repeats if its class occurs in an earlier document (by id, nulls last, then by the
 text's digest). A run of repeating paragraphs, one after the other, is removed if it has at
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from prefspark.llm import blocks
 from prefspark.llm.components import components
 from prefspark.llm.lines import cut_lines, line_units, order_keys
-from prefspark.llm.near_dedup import digest
+from prefspark.llm.near_dedup import digest, pairs_in_bands
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
 from prefspark.session import materialize
 
@@ -53,24 +52,8 @@ def _bands(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _paired(band: np.ndarray, key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of keys of each band (with its least, and with the neighbour by ``other``); where each band's least entry is."""
-    order = np.lexsort((key, band))
-    least_at = order[unit_starts(band[order])]
-    run = np.repeat(least_at, np.diff(np.concatenate([unit_starts(band[order]), [len(band)]])))
-    a, b = [key[run]], [key[order]]
-    order = np.lexsort((key, other, band))
-    same = band[order][1:] == band[order][:-1]
-    a.append(key[order][:-1][same])
-    b.append(key[order][1:][same])
-    a, b = np.concatenate(a), np.concatenate(b)
-    real = a != b
-    pairs = np.unique(np.stack([np.minimum(a, b)[real], np.maximum(a, b)[real]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], least_at
-
-
 def _sketch_blocks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Entries (band, key, another band) in blocks, and pairs found within a batch in blocks of negative number."""
+    """Entries (band, key, another band) in blocks; equal paragraphs of a slice give theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,38 +64,28 @@ def _sketch_blocks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 keys = order_keys(w.hashes, starts)[:, 0]
                 h, shingled = shingles(w.hashes, unit)
                 first = unit_starts(shingled)
-                enough = np.diff(np.concatenate([first, [len(h)]])) >= LEAST_SHINGLES
                 _, distinct = np.unique(keys, return_index=True)
-                chosen = np.zeros(len(keys), bool)
-                chosen[distinct] = True
-                chosen &= enough
-                if not chosen.any():
-                    continue
-                bands = _bands(h, first)[chosen]
-                key = np.repeat(keys[chosen], BANDS)
-                band, other = bands.ravel(), np.roll(bands, 1, axis=1).ravel()
-                a, b, least_at = _paired(band, key, other)
-                band, key, other = band[least_at], key[least_at], other[least_at]
-                yield blocks.packed((band % np.uint64(buckets)).astype(np.int64), [band, key, other], ["x", "y", "z"])
-                if len(a):
-                    yield blocks.packed(-1 - (a % np.uint64(buckets)).astype(np.int64), [a, b, b], ["x", "y", "z"])
+                distinct = distinct[np.diff(np.concatenate([first, [len(h)]]))[distinct] >= LEAST_SHINGLES]
+                if len(distinct):
+                    bands = _bands(h, first)[distinct]
+                    band, other = bands.ravel(), np.roll(bands, 1, axis=1).ravel()
+                    yield blocks.packed((band % np.uint64(buckets)).astype(np.int64), [band, np.repeat(keys[distinct], BANDS), other], ["x", "y", "z"])
 
     return run
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entries, found = [], []
-    for batch in batches:
-        inside = pa.array(np.asarray(batch.column(0)) < 0)
-        found.append(batch.filter(inside))
-        entries.append(batch.filter(pa.array(~np.asarray(inside, bool))))
-    done = blocks.unpacked(found, ["<u8"] * 3)
-    band, key, other = blocks.unpacked(entries, ["<u8"] * 3)
-    a, b = done[0], done[1]
-    if len(band):
-        a2, b2, _ = _paired(band, key, other)
-        a, b = np.concatenate([a, a2]), np.concatenate([b, b2])
-    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct entries of the bands that more than one key has."""
+    band, key, other = blocks.unpacked(batches, ["<u8"] * 3)
+    order = np.lexsort((key, band))
+    band, key, other = band[order], key[order], other[order]
+    fresh = np.ones(len(band), bool)
+    fresh[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+    band, key, other = band[fresh], key[fresh], other[fresh]
+    more = np.zeros(len(band), bool)
+    more[1:] = band[1:] == band[:-1]
+    more[:-1] |= more[1:]
+    yield pa.RecordBatch.from_arrays([pa.array(x[more].view(np.int64)) for x in (band, key, other)], names=["band", "key", "other"])
 
 
 def _lines(wanted: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -164,7 +137,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
     buckets = blocks.n_buckets(spark)
     shuffled = texts.select("text").mapInArrow(_sketch_blocks(buckets), "bucket int, x binary, y binary, z binary").repartition("bucket")
-    pairs = materialize(shuffled.mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "paragraph-pairs")
+    pairs = materialize(pairs_in_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint")), "paragraph-pairs")
     wanted = spark.sparkContext.broadcast(blocks.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("half")), "half"))
     kind = texts.schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, doc binary, line int, number int, n_words int, key binary, half bigint, `set` binary"
