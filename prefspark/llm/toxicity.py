@@ -1,8 +1,10 @@
 """Operator 1: toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed 4- and 5-character windows of the folded text (a leading space marks the
-start of a word). A feature's value is its number of occurrences over the square root of the
-number of windows, so that evidence and noise keep their relation in long texts. All grades
+Features are the distinct hashed 5-character windows of the folded text and, at the start of
+words, those of 6 to 10 characters (a leading space marks the start of a word; in a text of over
+a million characters they are distinct within each million). Only features that tell toxic from
+other rows count: each has its z-score as scale, over the fourth root of the text's number of
+features, so that a few words tell in a long text, too. All grades
 share one weight vector w: P(grade > k) = sigmoid(w.x - t_k) with rising thresholds t_k. The
 output is the expected severity, the sum of these probabilities.
 
@@ -27,30 +29,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.grams import chunks, windows
+from prefspark.llm.grams import SPACE, chunks, windows
+from prefspark.session import materialize
 
-SIZES = (4, 5)
+ANYWHERE = 5
+AT_WORDS = (5, 6, 7, 8, 9, 10)  # with the leading space
 BITS = 20
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
-FEATURES = 40_000  # the most telling ones, by the z-score of their document frequencies
+FEATURES = 20_000  # at most, the most telling ones by the z-score of their document frequencies
+LEAST_Z, MOST_Z = 2.5, 8.0  # a feature's least z-score, and the most that counts as its scale
 GRADES = 3
 REJECT_AT = 0.5  # probability of any toxic grade
 
 
 @dataclass
 class OrdinalModel:
-    weight: np.ndarray  # of every bucket, and 0 for windows that don't count
+    weight: np.ndarray  # of every bucket
     thresholds: np.ndarray  # rising
 
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) of each text and threshold."""
         margin, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for codes, starts, rows, counted in chunks(texts, max(SIZES) - 1):
-            for size in SIZES:
-                buckets, valid = _buckets(codes, starts, counted, size)
-                np.add.at(margin, rows, np.add.reduceat(self.weight[buckets], starts))
-                np.add.at(n, rows, np.add.reduceat(valid.astype(np.int64), starts))
-        margin /= np.sqrt(np.maximum(n, 1))
+        for rows, buckets in _found(texts):
+            margin += np.bincount(rows, self.weight[buckets], minlength=len(texts))
+            n += np.bincount(rows, minlength=len(texts))
+        margin /= np.maximum(n, 1) ** 0.25
         return _sigmoid(margin[:, None] - self.thresholds[None, :])
 
 
@@ -58,29 +61,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _buckets(codes: np.ndarray, starts: np.ndarray, counted: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    buckets, valid = windows(codes, starts, counted, size, BITS)
-    return np.where(valid, buckets, 1 << BITS), valid
+def _found(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of the distinct windows of some texts at a time."""
+    for codes, starts, rows, counted in chunks(texts, max(AT_WORDS) - 1):
+        text = np.repeat(rows, np.diff(np.concatenate([starts, [len(codes)]]))).astype(np.uint64) << np.uint64(BITS)
+        keys = []
+        begins = codes == SPACE
+        for size in AT_WORDS:
+            buckets, valid = windows(codes, starts, counted, size, BITS)
+            if size != ANYWHERE:
+                valid &= begins
+            keys.append(text[valid] | buckets[valid])
+        keys = np.unique(np.concatenate(keys))
+        yield (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket: in how many toxic and how many other texts of this task it occurs."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        toxic = np.array(batch.column(0).to_pylist(), bool)
+        for rows, buckets in _found(batch.column(1).to_pylist()):
+            for side, own in enumerate((toxic[rows], ~toxic[rows])):
+                counts[side] += np.bincount(buckets[own], minlength=1 << BITS).astype(np.int32)
+    some = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], names=["bucket", "f1", "f0"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct buckets and their counts of every text, and the number of windows."""
-    for batch in batches:
-        buckets_of, counts_of, n_of = [], [], []
-        for text in batch.column(1).to_pylist():
-            parts = []
-            for codes, starts, _, counted in chunks([text], max(SIZES) - 1):
-                for size in SIZES:
-                    buckets, valid = _buckets(codes, starts, counted, size)
-                    parts.append(buckets[valid])
-            found, counts = np.unique(np.concatenate(parts), return_counts=True)
-            buckets_of.append(found.astype(np.int32))
-            counts_of.append(counts.astype(np.int32))
-            n_of.append(int(counts.sum()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(buckets_of, pa.list_(pa.int32())), pa.array(counts_of, pa.list_(pa.int32())), pa.array(n_of, pa.int64())],
-            names=["toxic", "buckets", "counts", "n"],
-        )
+def _entries(place_of: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chosen features of every text, and its number of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = place_of()
+        for batch in batches:
+            features, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                found = np.concatenate([np.zeros(0, np.int64), *(buckets for _, buckets in _found([text]))])
+                features.append(place[found][place[found] >= 0])
+                sizes.append(max(1, len(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["toxic", "features", "size"])
+
+    return run
 
 
 def severity_grades(toxic: np.ndarray, marked_share: np.ndarray) -> np.ndarray:
@@ -137,32 +158,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = texts.join(F.broadcast(sample), "id")  # at most max_toxic + max_clean pairs
     # Repeated ids in ``docs`` could exceed the bound: it holds for rows, too.
     labelled = labelled.orderBy(F.xxhash64("id"), "id").limit(max_toxic + max_clean).select("toxic", "text")
-    got = labelled.mapInArrow(_features, "toxic boolean, buckets array<int>, counts array<int>, n bigint").toPandas()
-    nothing = OrdinalModel(np.zeros((1 << BITS) + 1, np.float32), np.full(GRADES - 1, 50.0))
-    toxic = got["toxic"].to_numpy(bool)
-    if not toxic.any() or toxic.all():
-        return nothing
-    lengths = got["buckets"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(got)), lengths)
-    buckets = np.concatenate([*got["buckets"], np.zeros(0, np.int32)]).astype(np.int64)
-    values = np.concatenate([*got["counts"], np.zeros(0, np.int32)]) / np.sqrt(np.maximum(got["n"].to_numpy(), 1))[rows]
+    labelled = materialize(labelled.repartition(16), "toxicity-sample")
+    n1, n0 = labelled.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    if not n1 or not n0:
+        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, 50.0))
     # The most telling features, by the z-score of their shares of toxic and of clean rows.
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    f1 = np.bincount(buckets, toxic[rows], minlength=1 << BITS)
-    f0 = np.bincount(buckets, ~toxic[rows], minlength=1 << BITS)
-    share = (f1 + f0 + 1) / (n1 + n0 + 2)
-    z = (f1 / n1 - f0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    used = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    used = used[(f1 + f0)[used] > 0]
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    kept = place[buckets] >= 0
-    rows, features, values = rows[kept], place[buckets[kept]], values[kept]
-    marked = np.bincount(rows, values * (z[used][features] > 4), minlength=len(got))
-    grade = severity_grades(toxic, marked)
-    w, thresholds = fit_ordinal(rows, features, values, grade, len(used))
-    weight = np.zeros((1 << BITS) + 1, np.float32)
-    weight[used] = w
+    present = labelled.mapInArrow(_presence, "bucket int, f1 bigint, f0 bigint").groupBy("bucket").agg(F.sum("f1").alias("f1"), F.sum("f0").alias("f0"))
+    share = (F.col("f1") + F.col("f0") + 1) / (n1 + n0 + 2)
+    z = (F.col("f1") / n1 - F.col("f0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    told = present.where("f1 + f0 > 1").select("bucket", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "bucket").limit(FEATURES).toPandas()
+    place = np.full(1 << BITS, -1, np.int32)
+    place[told["bucket"]] = np.arange(len(told))
+    held = labelled.sparkSession.sparkContext.broadcast(place)
+    got = labelled.mapInArrow(_entries(lambda: held.value), "toxic boolean, features array<int>, size bigint").toPandas()
+    toxic = got["toxic"].to_numpy(bool)
+    rows = np.repeat(np.arange(len(got)), got["features"].map(len).to_numpy())
+    features, scale = np.concatenate(got["features"]).astype(np.int64), np.minimum(told["z"].to_numpy(), MOST_Z)
+    values = scale[features] / (got["size"].to_numpy() ** 0.25)[rows]
+    marked = np.bincount(rows, values * (told["z"].to_numpy()[features] > 4), minlength=len(got))
+    w, thresholds = fit_ordinal(rows, features, values, severity_grades(toxic, marked), len(told))
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[told["bucket"]] = w * scale
     return OrdinalModel(weight, thresholds)
 
 
@@ -172,7 +188,7 @@ def _score(model_of: Callable[[], OrdinalModel]) -> Callable[[Iterator[pa.Record
         for batch in batches:
             above = model.above(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((above >= 0.5).sum(axis=1), pa.int32()), pa.array(above[:, 0] >= REJECT_AT)],
+                [batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((above >= REJECT_AT).sum(axis=1), pa.int32()), pa.array(above[:, 0] >= REJECT_AT)],
                 names=["doc_id", "expected_severity", "toxic_probability", "grade", "toxic"],
             )
 
@@ -180,7 +196,7 @@ def _score(model_of: Callable[[], OrdinalModel]) -> Callable[[Iterator[pa.Record
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Expected severity, probability of any toxic grade, median grade and decision of every row."""
+    """Expected severity, probability of any toxic grade, grade and decision of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = f"doc_id {rows.schema[0].dataType.simpleString()}, expected_severity double, toxic_probability double, grade int, toxic boolean"
