@@ -157,9 +157,10 @@ METRICS = ["avg_reward", "preference_alignment", "diversity_score"]
 
 
 def flatten_results(results: DataFrame) -> DataFrame:
-    """nested ``params`` struct to flat columns."""
-    rest = [c for c in results.columns if c != "params"]
-    return results.select("params.*", *rest)
+    """nested ``params`` struct to flat columns; configurations that failed have no row."""
+    rest = [c for c in results.columns if c not in ("params", "error")]
+    done = results.where("error is null") if "error" in results.columns else results
+    return done.select("params.*", *rest)
 
 
 def best_config(flat: DataFrame) -> DataFrame:

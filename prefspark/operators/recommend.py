@@ -20,7 +20,7 @@ from prefspark.operators.profile import ucb_expr
 def slot_probabilities(profile: DataFrame, beta: float, temperature: float = 1.0) -> DataFrame:
     """Softmax of UCB scores per user with temperature, max shifted."""
     if temperature <= 0:
-        raise ValueError("temperature must be positive")
+        raise ValueError(f"a softmax needs a temperature above 0, not {temperature}")
     w = Window.partitionBy("user_id")
     ucb = ucb_expr(beta)
     z = F.exp((F.col("ucb") - F.max("ucb").over(w)) / F.lit(float(temperature)))

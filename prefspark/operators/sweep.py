@@ -106,13 +106,6 @@ def _replay_fn(configs: list[dict], seed: int, min_samples: int):
                             continue
                         cell = acc.setdefault(k, {}).setdefault(cat, [0, 0, 0.0, 0.0])
                         cell[0] += 1
-                        if rate >= 1.0:
-                            # Every event is accepted whatever the profile says, so the profile
-                            # can never influence a result: count the event and skip the fold.
-                            cell[1] += 1
-                            cell[2] += r
-                            cell[3] += r * r
-                            continue
                         try:
                             st = states.get(k)
                             if st is None:
@@ -215,6 +208,7 @@ def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> Data
         return F.aggregate(cats, F.lit(0.0), lambda acc, c: acc + c[field].cast("double"))
 
     n_acc = total("n_acc")
+    ok = F.col("error").isNull()  # a configuration that failed has no metrics, only its counts so far
     q = lambda c: c["n_acc"] / n_acc
     part = F.aggregate(cats, F.lit(0.0), lambda acc, c: acc + q(c) * q(c) - 2 * F.coalesce(F.col("p_map")[c["category"]], F.lit(0.0)) * q(c))
     entropy = F.aggregate(F.filter(cats, lambda c: c["n_acc"] > 0), F.lit(0.0), lambda acc, c: acc + q(c) * F.log(q(c)))
@@ -231,11 +225,11 @@ def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> Data
         "config_id",
         params,
         F.col("profile").alias("preference_type"),
-        "total_reward",
-        avg.alias("avg_reward"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("reward_std"),
-        F.when(F.col("n_accepted") > 0, -(F.col("sum_p2") + part)).alias("preference_alignment"),
-        F.when(F.col("n_accepted") > 0, -entropy).otherwise(F.lit(0.0)).alias("diversity_score"),
+        F.when(ok, F.col("total_reward")).alias("total_reward"),
+        F.when(ok, avg).alias("avg_reward"),
+        F.when(ok, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("reward_std"),
+        F.when(ok & (F.col("n_accepted") > 0), -(F.col("sum_p2") + part)).alias("preference_alignment"),
+        F.when(ok, F.when(F.col("n_accepted") > 0, -entropy).otherwise(F.lit(0.0))).alias("diversity_score"),
         F.map_from_arrays(
             F.col("all_cats"), F.transform("all_cats", lambda k: F.coalesce(obs[k], F.lit(0)).cast("long"))
         ).alias("result_preferences"),

@@ -2,9 +2,8 @@
 
 F1-F8 treat each (preference profile, user) as a run over all of the user's
 reactions, scored with the profile's Bernoulli reward.  The sweep (F9, F10)
-replays reactions over the FIXTURES grid.  F11-F15 analyse sweep results; they
-are registered over the grid's ``exp_rate = 1`` part, where every event is
-accepted and so the result is SQL-derivable, and the oracle rebuilds it.
+replays reactions over the FIXTURES grid, and F11-F15 analyse its results; the
+oracle replays the grid as recursive SQL (``foldsql``).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from prefspark.operators import evaluate as EV
 from prefspark.operators import profile as P
 from prefspark.operators import sweep as SW
 from prefspark.plans.common import rnd
+from prefspark.plans.foldsql import replay_ctes
 from prefspark.sources import tables as T
 from prefspark.sources.profiles import NEWSGROUP_PROFILES, preferences_from_dict, preferences_sql
 
@@ -29,7 +29,6 @@ GRID = {
     "exp_rate": [0.2, 1.0],
     "n_components": [64],
 }
-ACCEPT_ALL_GRID = {**GRID, "exp_rate": [1.0]}
 RUN = ["profile", "user_id"]
 
 
@@ -101,47 +100,50 @@ def sweep(spark: SparkSession, sf: str, grid: dict) -> DataFrame:
 
 
 def q_sweep_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """F10 on the full grid (rows-only: replay acceptance is not SQL)."""
-    return sweep(spark, sf, GRID)
+    """the replay of every configuration of the grid."""
+    r = sweep(spark, sf, GRID)
+    rounded = ("avg_reward", "reward_std", "preference_alignment", "diversity_score")
+    return r.select("config_id", "preference_type", "total_reward", *[rnd(c).alias(c) for c in rounded],
+                    F.map_values("result_preferences").alias("category_counts"), "n_accepted", "n_events", "error")
 
 
 _FLAT_COLS = ["config_id", *SW.PARAM_ORDER, "preference_type", "total_reward", "avg_reward", "reward_std",
               "preference_alignment", "diversity_score", "n_accepted", "n_events"]
 
 
-def _flat_accept_all(spark: SparkSession, sf: str) -> DataFrame:
-    flat = EV.flatten_results(sweep(spark, sf, ACCEPT_ALL_GRID))
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    flat = EV.flatten_results(sweep(spark, sf, GRID))
     return flat.select(*[rnd(c).alias(c) if c in ("avg_reward", "reward_std", "preference_alignment", "diversity_score") else c
                          for c in _FLAT_COLS])
 
 
 def q_flatten_results(spark: SparkSession, sf: str) -> DataFrame:
-    """sweep results (accept-all grid) with flat parameter columns."""
-    return _flat_accept_all(spark, sf)
+    """sweep results with flat parameter columns."""
+    return _flat(spark, sf)
 
 
 def q_best_config(spark: SparkSession, sf: str) -> DataFrame:
     """the best configuration per preference type."""
-    return EV.best_config(_flat_accept_all(spark, sf))
+    return EV.best_config(_flat(spark, sf))
 
 
 def q_param_impact(spark: SparkSession, sf: str) -> DataFrame:
     """mean average reward by value of each parameter."""
-    return EV.param_impact(_flat_accept_all(spark, sf)).select(
+    return EV.param_impact(_flat(spark, sf)).select(
         "param", "value", rnd("mean_avg_reward").alias("mean_avg_reward"), "n"
     )
 
 
 def q_boxplot_stats(spark: SparkSession, sf: str) -> DataFrame:
     """quartiles, whiskers and outliers of average reward per preference type."""
-    b = EV.boxplot_stats(_flat_accept_all(spark, sf))
+    b = EV.boxplot_stats(_flat(spark, sf))
     return b.select("preference_type", *[rnd(c).alias(c) for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")],
                     "n_outliers", "n")
 
 
 def q_correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Pearson correlation of parameters and metrics (NULL for constant columns)."""
-    return EV.correlation_matrix(_flat_accept_all(spark, sf)).select("col_a", "col_b", (rnd("corr") + F.lit(0.0)).alias("corr"))
+    return EV.correlation_matrix(_flat(spark, sf)).select("col_a", "col_b", (rnd("corr") + F.lit(0.0)).alias("corr"))
 
 
 # ---------------------------------------------------------------------------
@@ -179,19 +181,22 @@ _EV_CTES = {
                  JOIN (SELECT profile, list_reduce(list_prepend(0.0::DOUBLE, list_sort(list(p * p))), lambda a, b: a + b) AS sum_p2
                        FROM preferences GROUP BY profile) s ON s.profile = o.profile
                  GROUP BY o.profile, o.user_id, s.sum_p2""",
-    "tot": """SELECT profile, sum(sim_reward) AS total_reward, avg(sim_reward) AS avg_reward,
-                     stddev_pop(sim_reward) AS reward_std, count(*) AS n FROM sim GROUP BY profile""",
-    "cc": "SELECT profile, category, count(*) AS n FROM sim GROUP BY profile, category",
-    "al": """SELECT pr.profile, -sum(power(pr.p - coalesce(cc.n, 0) / t.n, 2)) AS preference_alignment
-             FROM preferences pr LEFT JOIN cc USING (profile, category) JOIN tot t USING (profile) GROUP BY pr.profile""",
-    "dv": """SELECT cc.profile, -sum(cc.n / t.n * ln(cc.n / t.n)) AS diversity_score
-             FROM cc JOIN tot t USING (profile) GROUP BY cc.profile""",
-    "grid": _grid_sql(ACCEPT_ALL_GRID),
+    **replay_ctes(_grid_sql(GRID), sql_uniform, SEED, SW.MIN_SAMPLES),
+    "tot": """SELECT config_id, profile, sum(reward) FILTER (WHERE accepted) AS total_reward, avg(reward) FILTER (WHERE accepted) AS avg_reward,
+                     stddev_pop(reward) FILTER (WHERE accepted) AS reward_std, count(*) FILTER (WHERE accepted) AS n_accepted, count(*) AS n_events
+              FROM replayed WHERE pos > 0 GROUP BY config_id, profile""",
+    "cc": "SELECT config_id, profile, category, count(*) AS n FROM replayed WHERE accepted GROUP BY config_id, profile, category",
+    "al": """SELECT t.config_id, t.profile, -sum(power(pr.p - coalesce(cc.n, 0) / t.n_accepted, 2)) AS preference_alignment,
+                    list(CAST(coalesce(cc.n, 0) AS BIGINT) ORDER BY pr.category) AS category_counts
+             FROM tot t JOIN preferences pr USING (profile) LEFT JOIN cc ON cc.config_id = t.config_id AND cc.profile = t.profile AND cc.category = pr.category
+             GROUP BY t.config_id, t.profile""",
+    "dv": """SELECT config_id, profile, -sum(cc.n / t.n_accepted * ln(cc.n / t.n_accepted)) AS diversity_score
+             FROM cc JOIN tot t USING (config_id, profile) GROUP BY config_id, profile""",
     "flat": """SELECT g.config_id, g.alpha, g.gamma, g.beta, g.max_embeddings, g.exp_rate, g.n_components,
                       t.profile AS preference_type, t.total_reward, round(t.avg_reward, 6) AS avg_reward,
                       round(t.reward_std, 6) AS reward_std, round(a.preference_alignment, 6) AS preference_alignment,
-                      round(d.diversity_score, 6) AS diversity_score, t.n AS n_accepted, t.n AS n_events
-               FROM grid g, tot t JOIN al a USING (profile) JOIN dv d USING (profile)""",
+                      round(d.diversity_score, 6) AS diversity_score, t.n_accepted, t.n_events
+               FROM grid g JOIN tot t USING (config_id) JOIN al a USING (config_id, profile) JOIN dv d USING (config_id, profile)""",
 }
 
 
@@ -199,7 +204,7 @@ def _q(body: str, *ctes: str) -> str:
     return T.with_views(body, "items", "reactions", "preferences", extra={k: _EV_CTES[k] for k in ctes})
 
 
-_FLAT = ("ev", "sim", "tot", "cc", "al", "dv", "grid", "flat")
+_FLAT = ("ev", "sim", "similarities", "stepped", "grid", "replayed", "tot", "cc", "al", "dv", "flat")
 _CORR_COLS = SW.PARAM_ORDER + EV.METRICS
 
 
@@ -258,6 +263,12 @@ ORACLES = {
         "SELECT user_id, round(diversity_score, 6) AS diversity_score FROM run_al WHERE profile = 'balanced'",
         "ev", "sim", "obs", "run_al",
     ),
+    "sweep_replay": _q(
+        """SELECT f.config_id, f.preference_type, f.total_reward, f.avg_reward, f.reward_std, f.preference_alignment, f.diversity_score,
+                  a.category_counts, f.n_accepted, f.n_events, NULL::VARCHAR AS error
+           FROM flat f JOIN al a ON a.config_id = f.config_id AND a.profile = f.preference_type""",
+        *_FLAT,
+    ),
     "flatten_results": _q("SELECT * FROM flat", *_FLAT),
     "best_config": _q(
         """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY preference_type

@@ -92,7 +92,7 @@ def q_item_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def q_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Sweep results to JSON and back (MAP and STRUCT kept), then flattened."""
     path = scratch_path(spark, "results-json")
-    I.write_results_json(EP.sweep(spark, sf, EP.ACCEPT_ALL_GRID), path)
+    I.write_results_json(EP.sweep(spark, sf, EP.GRID), path)
     flat = EV.flatten_results(I.read_results_json(spark, path))
     return flat.select(*[rnd(c).alias(c) if c in ("avg_reward", "reward_std", "preference_alignment", "diversity_score") else c
                          for c in EP._FLAT_COLS])

@@ -1,9 +1,7 @@
 """Registered profile queries (D1-D11) and their DuckDB oracles.
 
-The real fold is checked in SQL where its result is SQL-derivable: with a
-similarity threshold no two distinct items reach (0.999) and no eviction, the
-slots are exactly each user's distinct items in first-seen order and the counts
-are plain counts.  Profile readers (D3, D5, D6) run over ``sql_profile``, the
+The fold is checked against the same fold as recursive SQL (``foldsql``), with
+matching, eviction and the gradient update's preferences.  Profile readers (D3, D5, D6) run over ``sql_profile``, the
 SQL-derivable profile; in normal use they read the fold snapshot.
 """
 
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from prefspark.operators import profile as P
 from prefspark.operators.scan import ordered_scan
 from prefspark.plans.common import rnd
+from prefspark.plans.foldsql import fold_ctes
+from prefspark.session import materialize
 from prefspark.sources import tables as T
 
 # Settings under which the fold's slots are SQL-derivable (FIXTURES.md section 3).
@@ -37,7 +37,9 @@ def folded(spark: SparkSession, sf: str, params: P.FoldParams) -> DataFrame:
 
 
 def _slot_cols(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "slot", "item_id", "rewards_received", "total_rewards", rnd("reward_average").alias("reward_average"))
+    return df.select(
+        "user_id", "slot", "item_id", rnd("preference").alias("preference"), "rewards_received", "total_rewards", rnd("reward_average").alias("reward_average")
+    )
 
 
 def q_profile_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,8 +54,8 @@ def q_profile_fold_resume(spark: SparkSession, sf: str) -> DataFrame:
     halves = ordered_scan(r, "user_id", ["ts", "event_id"]).join(n, "user_id")
     first = halves.where((F.col("position") + 1) * 2 <= F.col("_n")).drop("position", "_n")
     second = halves.where((F.col("position") + 1) * 2 > F.col("_n")).drop("position", "_n")
-    snap = P.fold_profiles(first, EXACT)
-    return _slot_cols(P.resume_profiles(snap, second, EXACT))
+    snap = materialize(P.fold_profiles(first, EVICTING), "profile-snapshot")
+    return _slot_cols(P.resume_profiles(snap, second, EVICTING))
 
 
 def q_profile_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +71,7 @@ def q_profile_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_profile_fold_evicting(spark: SparkSession, sf: str) -> DataFrame:
-    """D6-D8 with real matching and eviction (rows-only; totals pinned in tests)."""
+    """D6-D8 with real matching and eviction."""
     snap = folded(spark, sf, EVICTING)
     return snap.select(
         "user_id", "slot", "item_id", rnd("preference").alias("preference"), "rewards_received",
@@ -81,30 +83,29 @@ def q_profile_step(spark: SparkSession, sf: str) -> DataFrame:
     """D4 + D7: each user's latest reaction applied to the profile of all earlier ones.
 
     ``action`` is ``update`` (the reaction matched a slot: in-place gradient step) or
-    ``add`` (a new slot, after evicting one when the profile was full).  Run at the
-    SQL-derivable settings, so the outcome is checkable; eviction is covered by
-    ``profile_fold_evicting``.
+    ``add`` (a new slot, after evicting one when the profile was full).
     """
     r = reactions_with_vec(spark, sf)
     n = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     scanned = ordered_scan(r, "user_id", ["ts", "event_id"]).join(n, "user_id")
     earlier = scanned.where(F.col("position") + 1 < F.col("_n")).drop("position", "_n")
     latest = scanned.where(F.col("position") + 1 == F.col("_n")).drop("position", "_n")
-    before_snap = P.fold_profiles(earlier, EXACT)
-    after_snap = P.resume_profiles(before_snap, latest, EXACT)
+    before_snap = materialize(P.fold_profiles(earlier, EVICTING), "profile-snapshot")  # read by both branches, folded once
+    after_snap = P.resume_profiles(before_snap, latest, EVICTING)
     before = before_snap.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_slots_before"), F.first("matches").alias("_m0"), F.first("evictions").alias("_e0"),
     )
     after = after_snap.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_slots_after"), F.first("matches").alias("_m1"), F.first("evictions").alias("_e1"),
         F.first("total_rewards").alias("total_rewards"),
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "preference"))), lambda s: F.round(s["preference"], 6)).alias("preferences"),
     )
     j = after.join(before, "user_id", "left").fillna(0, ["n_slots_before", "_m0", "_e0"])
     return j.select(
         "user_id",
         F.when(F.col("_m1") > F.col("_m0"), F.lit("update")).otherwise(F.lit("add")).alias("action"),
         (F.col("_e1") > F.col("_e0")).alias("evicted"),
-        F.col("n_slots_before").cast("long").alias("n_slots_before"), "n_slots_after", "total_rewards",
+        F.col("n_slots_before").cast("long").alias("n_slots_before"), "n_slots_after", "total_rewards", "preferences",
     )
 
 
@@ -145,12 +146,23 @@ def q_eviction_candidate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_SLOTS_SQL = """SELECT user_id, slot, item_id, rewards_received, total_rewards,
-        round(reward_average, 6) AS reward_average FROM sql_profile"""
+_SLOTS_SQL = """SELECT user_id, slot, item_id, round(preference, 6) AS preference, rewards_received, total_rewards,
+        round(reward_average, 6) AS reward_average FROM fold_slots"""
+
+
+def fold_sql(body: str, params: P.FoldParams) -> str:
+    """``body`` over ``fold`` (every step) and ``fold_slots`` (the final slots) at these settings."""
+    return T.with_views(body, "items", "reactions", extra=fold_ctes(params))
+
 
 ORACLES = {
-    "profile_fold": T.with_views(_SLOTS_SQL, "sql_profile"),
-    "profile_fold_resume": T.with_views(_SLOTS_SQL, "sql_profile"),
+    "profile_fold": fold_sql(_SLOTS_SQL, EXACT),
+    "profile_fold_resume": fold_sql(_SLOTS_SQL, EVICTING),
+    "profile_fold_evicting": fold_sql(
+        """SELECT user_id, slot, item_id, round(preference, 6) AS preference, rewards_received, total_rewards,
+                  round(reward_average, 6) AS reward_average, matches, evictions FROM fold_slots""",
+        EVICTING,
+    ),
     "profile_stats": T.with_views(
         """SELECT user_id, CAST(count(*) AS BIGINT) AS total_rewards, round(avg(reward), 6) AS reward_average,
                   CAST(count(DISTINCT item_id) AS BIGINT) AS n_slots,
@@ -158,17 +170,12 @@ ORACLES = {
            FROM reactions GROUP BY user_id""",
         "reactions",
     ),
-    "profile_step": T.with_views(
-        """SELECT l.user_id, CASE WHEN sb.item_id IS NOT NULL THEN 'update' ELSE 'add' END AS action, false AS evicted,
-                  CAST(coalesce(e.nb, 0) AS BIGINT) AS n_slots_before,
-                  CAST(coalesce(e.nb, 0) + CASE WHEN sb.item_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_slots_after,
-                  CAST(l.n AS BIGINT) AS total_rewards
-           FROM (SELECT user_id, item_id, n FROM r WHERE pos = n) l
-           LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS nb FROM r WHERE pos < n GROUP BY user_id) e USING (user_id)
-           LEFT JOIN (SELECT DISTINCT user_id, item_id FROM r WHERE pos < n) sb ON sb.user_id = l.user_id AND sb.item_id = l.item_id""",
-        "reactions",
-        extra={"r": """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
-                              count(*) OVER (PARTITION BY user_id) AS n FROM reactions"""},
+    "profile_step": fold_sql(
+        """SELECT l.user_id, CASE WHEN l.matches > b.matches THEN 'update' ELSE 'add' END AS action, l.evictions > b.evictions AS evicted,
+                  CAST(len(b.items) AS BIGINT) AS n_slots_before, CAST(len(l.items) AS BIGINT) AS n_slots_after, l.total AS total_rewards,
+                  list_transform(l.prefs, lambda x: round(x, 6)) AS preferences
+           FROM fold_end l JOIN fold b ON b.user_id = l.user_id AND b.pos = l.pos - 1""",
+        EVICTING,
     ),
     "running_reward_avg": T.with_views(
         """SELECT user_id, event_id, round(coalesce(avg(reward) OVER (PARTITION BY user_id ORDER BY ts, event_id

@@ -22,14 +22,12 @@ SLICES = 3
 
 
 def q_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The streamed fold's current profiles (SQL-derivable settings, as ``profile_fold``)."""
+    """The streamed fold's current profiles, with matching and eviction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "profiles-out"), scratch_path(spark, "profiles-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
     S.write_time_slices(staged, src, "ts", SLICES)
-    S.run_profile_stream(spark, src, sink, ck, PP.EXACT)
-    snap = S.latest_snapshot(spark.read.parquet(sink))
-    return snap.select("user_id", "slot", "item_id", "rewards_received", "total_rewards",
-                       F.round("reward_average", 6).alias("reward_average"))
+    S.run_profile_stream(spark, src, sink, ck, PP.EVICTING)
+    return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
 def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,10 +36,8 @@ def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "strict-out"), scratch_path(spark, "strict-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
     S.write_time_slices(staged, src, "ts", SLICES)
-    S.run_profile_stream_strict(spark, src, sink, ck, PP.EXACT)
-    snap = S.latest_snapshot(spark.read.parquet(sink))
-    return snap.select("user_id", "slot", "item_id", "rewards_received", "total_rewards",
-                       F.round("reward_average", 6).alias("reward_average"))
+    S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING)
+    return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
 def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +60,8 @@ def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
 _COVERED_EVENTS = "(SELECT * FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events))"
 
 ORACLES = {
-    "profile_stream": PP.ORACLES["profile_fold"],
-    "profile_stream_strict": PP.ORACLES["profile_fold"].replace(" FROM events", f" FROM {_COVERED_EVENTS}", 1),
+    "profile_stream": PP.ORACLES["profile_fold_resume"],
+    "profile_stream_strict": PP.ORACLES["profile_fold_resume"].replace(" FROM events", f" FROM {_COVERED_EVENTS}", 1),
     "recommend_stream": RP.ORACLES["recommend_batch"],
 }
 

@@ -184,4 +184,4 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
