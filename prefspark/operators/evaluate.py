@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from prefspark.functions import draws
 
 REWARD_MAX = 10.0
-MAX_CATEGORIES = 100_000  # bound on the category dimension before it is broadcast
+MAX_BROADCAST_ROWS = 100_000  # a dimension is broadcast up to this many rows, joined by shuffle beyond
+CATEGORY_BLOCK = 10_000  # categories that are zero-filled from one array
 MAX_LOOKUP_ROWS = 2_000_000  # item -> category lookup (~30 bytes a row) broadcast only up to ~60 MB
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_CATEGORIES) -> DataFrame:
-    """Broadcast a dimension only after proving its size."""
+def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A dimension, marked for broadcast if its size is proven; joined by shuffle otherwise."""
     n = dim.count()
     if n > max_rows:
         return dim
@@ -82,19 +83,18 @@ def validate_profile_keys(preferences: DataFrame, categories: DataFrame) -> Data
 def category_counts(runs: DataFrame, run_cols: list[str], categories: DataFrame) -> DataFrame:
     """zero-filled count per (run, category), long form.
 
-    Observed counts are aggregated first; the zero fill walks the category array
-    (a small dimension) per run, so the output is runs x categories by definition
-    but no join product is formed.
+    Observed counts are aggregated first. The categories lie in blocks (arrays of about
+    CATEGORY_BLOCK of them); each run meets each block and fills it, so the output is
+    runs x categories by definition, whatever their number.
     """
     cats = categories.select("category").distinct()
-    if cats.count() > MAX_CATEGORIES:
-        raise ValueError("category dimension too large to zero-fill per run")
+    n_blocks = max(1, -(-cats.count() // CATEGORY_BLOCK))
+    block = F.pmod(F.xxhash64("category"), F.lit(n_blocks)).cast("int").alias("_block")
+    blocks = cats.groupBy(block).agg(F.array_sort(F.collect_list("category")).alias("_cats"))
     obs = runs.groupBy(*run_cols, "category").agg(F.count(F.lit(1)).alias("n"))
-    per_run = obs.groupBy(*run_cols).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_m"))
-    cat_arr = cats.select(F.array_sort(F.collect_set("category"))).scalar()
-    filled = per_run.select(*run_cols, "_m", cat_arr.alias("_cats")).select(
-        *run_cols, F.explode(F.col("_cats")).alias("category"), F.col("_m")
-    )
+    seen = obs.groupBy(*run_cols, block).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("_m"))
+    every = runs.select(*run_cols).distinct().select(*run_cols, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
+    filled = every.join(blocks, "_block").join(seen, [*run_cols, "_block"], "left").select(*run_cols, F.explode("_cats").alias("category"), "_m")
     return filled.select(*run_cols, "category", F.coalesce(F.col("_m")[F.col("category")], F.lit(0)).cast("long").alias("n"))
 
 

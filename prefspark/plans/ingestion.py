@@ -110,7 +110,7 @@ ORACLES = {
           c AS (SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % {EMBED_DIM} AS bucket, count(*) AS tf
                 FROM tok GROUP BY ALL)
         SELECT doc_id, bucket, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""",
-    "category_from_path": f"""SELECT doc_id, regexp_replace(regexp_extract({_KEY}, '([^/]*)$', 1), '\\.[^.]*$', '') AS file_category
+    "category_from_path": f"""SELECT doc_id, regexp_replace(regexp_extract({_KEY}, '([^/]*)$', 1), '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS file_category
         FROM documents""",
     "csv_round_trip": T.with_views(
         """SELECT item_id, item_key, category, CAST(len(embedding) AS BIGINT) AS dim,

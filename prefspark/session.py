@@ -64,11 +64,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but keeps column statistics and lets later
-    reads prune columns; survives executor loss because the files are shared.
+    reads prune columns; survives executor loss because the files are shared.  The
+    files go when the application ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.parquet(path)
 
 

@@ -69,9 +69,14 @@ def hashing_embed(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_c
     return counts.select(id_col, "bucket", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w))).alias("weight"))
 
 
-def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE) -> DataFrame:
-    """Long ``(id, bucket, weight)`` to one vector per id (zeros elsewhere); float32 at rest by default."""
+def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE, ids: DataFrame | None = None) -> DataFrame:
+    """Long ``(id, bucket, weight)`` to one vector per id (zeros elsewhere); float32 at rest by default.
+
+    ``ids`` names all ids: those without a row (texts without tokens) get the zero vector.
+    """
     per = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
+    if ids is not None:
+        per = ids.select(id_col).distinct().join(per, id_col, "left")
     vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
     return per.select(id_col, vec.cast(vector_type).alias("embedding"))
 
@@ -114,12 +119,13 @@ def write_item_csv(items: DataFrame, path: str) -> None:
     (out.write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
 
 
-def read_item_csv(spark: SparkSession, path, schema: Ty.StructType) -> DataFrame:
-    """A4: typed read with an explicit schema (never inference)."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_item_csv(spark: SparkSession, path, schema: Ty.StructType, multi_line: bool = True) -> DataFrame:
+    """A4: typed read with an explicit schema (never inference). Without ``multi_line`` (no field
+    holds a line break) a large file is split over many tasks."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
-def read_csv_strings(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+def read_csv_strings(spark: SparkSession, paths: list[str], columns: list[str], multi_line: bool = True) -> DataFrame:
     """A5 + A7: every column as string, missing values as ``''``, files aligned by column name.
 
     Each path is read with its own header, then ``unionByName`` aligns columns
@@ -129,7 +135,7 @@ def read_csv_strings(spark: SparkSession, paths: list[str], columns: list[str])
     for p in paths:
         header = spark.read.option("header", True).csv(p).columns
         schema = Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in header])
-        frames.append(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(p))
+        frames.append(spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(p))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -139,9 +145,9 @@ def read_csv_strings(spark: SparkSession, paths: list[str], columns: list[str])
 # -- A6 -------------------------------------------------------------------------
 
 def category_from_path(path: Column) -> Column:
-    """File name without its *last* extension (``alt.atheism.csv`` -> ``alt.atheism``)."""
+    """File name without its *last* extension (``alt.atheism.csv`` -> ``alt.atheism``); dots that begin a name begin none."""
     base = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.regexp_replace(base, r"\.[^.]*$", "")
+    return F.regexp_replace(base, r"^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def with_category_from_file(df: DataFrame) -> DataFrame:

@@ -393,3 +393,43 @@ def test_pluggable_encoder_reports_failures(spark):
     assert out[1].error is None and out[1].embedding == [0.0, 1.0, 0.0, 0.0]
     assert out[2].embedding is None and "cannot encode" in out[2].error
     assert out[3].error is None
+
+
+def test_names_that_begin_with_dots_keep_them(spark):
+    from prefspark.sources import ingest as I
+
+    names = {"a/b/.hidden": ".hidden", "alt.atheism.csv": "alt.atheism", "x": "x", "a..b": "a.", "..c": "..c", ".d.txt": ".d"}
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", I.category_from_path(F.col("name")).alias("c")).collect()
+    assert {r.name: r.c for r in rows} == names
+
+
+def test_texts_without_tokens_get_the_zero_vector(spark):
+    from prefspark.sources import ingest as I
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "..."), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.embedding for r in I.dense_vectors(I.hashing_embed(docs, 8), 8, ids=docs).collect()}
+    assert set(rows) == {1, 2, 3} and any(rows[1]) and not any(rows[2]) and not any(rows[3])
+
+
+def test_zero_fill_in_blocks(spark, monkeypatch):
+    from prefspark.operators import evaluate as EV
+
+    monkeypatch.setattr(EV, "CATEGORY_BLOCK", 3)
+    runs = spark.createDataFrame([(1, "c0"), (1, "c0"), (2, "c7")], "user_id long, category string")
+    cats = spark.createDataFrame([(f"c{k}",) for k in range(10)], "category string")
+    got = {(r.user_id, r.category): r.n for r in EV.category_counts(runs, ["user_id"], cats).collect()}
+    assert len(got) == 20 and got[1, "c0"] == 2 and got[2, "c7"] == 1 and sum(got.values()) == 3
+
+
+def test_failed_configuration_has_no_metrics(spark):
+    from prefspark.operators import evaluate as EV
+    from prefspark.operators import sweep as SW
+
+    ev = [(1, k, k, [1.0, float(k)] if k != 5 else [1.0], "c0", {"p": 10.0}) for k in range(8)]
+    events = spark.createDataFrame(ev, "user_id long, ts long, event_id long, vec array<double>, category string, rewards map<string,double>")
+    prefs = spark.createDataFrame([("p", "c0", 1.0)], "profile string, category string, p double")
+    grid = SW.param_grid({"alpha": [0.2], "gamma": [0.9], "beta": [2.0], "max_embeddings": [5], "exp_rate": [1.0], "n_components": [0]})
+    results = SW.sweep_replay(events, prefs, grid)
+    row = results.first()
+    assert row.error and row.avg_reward is None and row.total_reward is None
+    assert EV.flatten_results(results).count() == 0
