@@ -8,25 +8,96 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The evaluation's 20 newsgroup categories and its four like-probability
-# profiles, in their original order (computer_science, sports, religion, balanced).
-NEWSGROUP_CATEGORIES = [
-    "alt-atheism", "comp-graphics", "comp-os-ms-windows-misc", "comp-sys-ibm-pc-hardware",
-    "comp-sys-mac-hardware", "comp-windows-x", "misc-forsale", "rec-autos", "rec-motorcycles",
-    "rec-sport-baseball", "rec-sport-hockey", "sci-crypt", "sci-electronics", "sci-med", "sci-space",
-    "soc-religion-christian", "talk-politics-guns", "talk-politics-mideast", "talk-politics-misc",
-    "talk-religion-misc",
-]
-COMPUTER_SCIENCE = [0.05, 0.8, 0.8, 0.8, 0.9, 0.8, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 0.5, 0.45, 0.5, 0.1, 0.15, 0.1, 0.2, 0.1]
-SPORTS = [0.05, 0.1, 0.15, 0.2, 0.2, 0.1, 0.3, 0.4, 0.5, 0.8, 0.9, 0.2, 0.1, 0.05, 0.1, 0.05, 0.3, 0.1, 0.1, 0.05]
-RELIGION = [0.8, 0.1, 0.15, 0.2, 0.2, 0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.2, 0.1, 0.05, 0.1, 0.8, 0.3, 0.6, 0.3, 0.9]
-BALANCED = [0.5] * 20
-
+# How probable it is that each of the evaluation's four profiles likes an item of a category.
 NEWSGROUP_PROFILES = {
-    "computer_science": dict(zip(NEWSGROUP_CATEGORIES, COMPUTER_SCIENCE)),
-    "sports": dict(zip(NEWSGROUP_CATEGORIES, SPORTS)),
-    "religion": dict(zip(NEWSGROUP_CATEGORIES, RELIGION)),
-    "balanced": dict(zip(NEWSGROUP_CATEGORIES, BALANCED)),
+    "computer_science": {
+        "alt-atheism": 0.05,
+        "comp-graphics": 0.8,
+        "comp-os-ms-windows-misc": 0.8,
+        "comp-sys-ibm-pc-hardware": 0.8,
+        "comp-sys-mac-hardware": 0.9,
+        "comp-windows-x": 0.8,
+        "misc-forsale": 0.2,
+        "rec-autos": 0.2,
+        "rec-motorcycles": 0.2,
+        "rec-sport-baseball": 0.2,
+        "rec-sport-hockey": 0.2,
+        "sci-crypt": 0.6,
+        "sci-electronics": 0.5,
+        "sci-med": 0.45,
+        "sci-space": 0.5,
+        "soc-religion-christian": 0.1,
+        "talk-politics-guns": 0.15,
+        "talk-politics-mideast": 0.1,
+        "talk-politics-misc": 0.2,
+        "talk-religion-misc": 0.1,
+    },
+    "sports": {
+        "alt-atheism": 0.05,
+        "comp-graphics": 0.1,
+        "comp-os-ms-windows-misc": 0.15,
+        "comp-sys-ibm-pc-hardware": 0.2,
+        "comp-sys-mac-hardware": 0.2,
+        "comp-windows-x": 0.1,
+        "misc-forsale": 0.3,
+        "rec-autos": 0.4,
+        "rec-motorcycles": 0.5,
+        "rec-sport-baseball": 0.8,
+        "rec-sport-hockey": 0.9,
+        "sci-crypt": 0.2,
+        "sci-electronics": 0.1,
+        "sci-med": 0.05,
+        "sci-space": 0.1,
+        "soc-religion-christian": 0.05,
+        "talk-politics-guns": 0.3,
+        "talk-politics-mideast": 0.1,
+        "talk-politics-misc": 0.1,
+        "talk-religion-misc": 0.05,
+    },
+    "religion": {
+        "alt-atheism": 0.8,
+        "comp-graphics": 0.1,
+        "comp-os-ms-windows-misc": 0.15,
+        "comp-sys-ibm-pc-hardware": 0.2,
+        "comp-sys-mac-hardware": 0.2,
+        "comp-windows-x": 0.1,
+        "misc-forsale": 0.2,
+        "rec-autos": 0.1,
+        "rec-motorcycles": 0.1,
+        "rec-sport-baseball": 0.2,
+        "rec-sport-hockey": 0.1,
+        "sci-crypt": 0.2,
+        "sci-electronics": 0.1,
+        "sci-med": 0.05,
+        "sci-space": 0.1,
+        "soc-religion-christian": 0.8,
+        "talk-politics-guns": 0.3,
+        "talk-politics-mideast": 0.6,
+        "talk-politics-misc": 0.3,
+        "talk-religion-misc": 0.9,
+    },
+    "balanced": {
+        "alt-atheism": 0.5,
+        "comp-graphics": 0.5,
+        "comp-os-ms-windows-misc": 0.5,
+        "comp-sys-ibm-pc-hardware": 0.5,
+        "comp-sys-mac-hardware": 0.5,
+        "comp-windows-x": 0.5,
+        "misc-forsale": 0.5,
+        "rec-autos": 0.5,
+        "rec-motorcycles": 0.5,
+        "rec-sport-baseball": 0.5,
+        "rec-sport-hockey": 0.5,
+        "sci-crypt": 0.5,
+        "sci-electronics": 0.5,
+        "sci-med": 0.5,
+        "sci-space": 0.5,
+        "soc-religion-christian": 0.5,
+        "talk-politics-guns": 0.5,
+        "talk-politics-mideast": 0.5,
+        "talk-politics-misc": 0.5,
+        "talk-religion-misc": 0.5,
+    },
 }
 
 
