@@ -29,11 +29,16 @@ def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
 
 
 def item_category_join(reactions: DataFrame, items: DataFrame) -> DataFrame:
-    """attach each reacted item's category (broadcast dimension, size checked)."""
+    """attach each reacted item's category (broadcast dimension, size checked); ``unmatched`` has the rest."""
     cats = checked_broadcast(items.select("item_id", "category"), MAX_LOOKUP_ROWS)
     return reactions.join(cats, "item_id")
 
 
+def unmatched(rows: DataFrame, dimension: DataFrame, key: str, reason: str) -> DataFrame:
+    """Rows whose ``key`` the dimension doesn't have: what F1 and F2 leave out, with the reason."""
+    return rows.join(checked_broadcast(dimension.select(key).distinct(), MAX_LOOKUP_ROWS), key, "left_anti").withColumn("reason", F.lit(reason))
+
+
 def bernoulli_reward(events: DataFrame, preferences: DataFrame, seed: int, reward_max: float = REWARD_MAX) -> DataFrame:
     """per (profile, event): ``+R`` with probability ``p(category)``, else ``-R``.
 

@@ -50,6 +50,16 @@ def q_bernoulli_reward(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("profile", "event_id", "category", "sim_reward")
 
 
+def q_unmatched_reactions(spark: SparkSession, sf: str) -> DataFrame:
+    """reactions that find no item in a catalogue without its every seventh item, or no probability in a
+    profile without one category."""
+    items = T.items(spark, sf)
+    lost_item = EV.unmatched(T.reactions(spark, sf), items.where("item_id % 7 != 0"), "item_id", "no such item")
+    given = T.preferences(spark, sf).where("profile = 'focused' and category != 'c1'")
+    lost_category = EV.unmatched(events_with_category(spark, sf), given, "category", "no such category")
+    return lost_item.select("event_id", "item_id", "reason").unionByName(lost_category.select("event_id", "item_id", "reason"))
+
+
 def q_validate_profile_keys(spark: SparkSession, sf: str) -> DataFrame:
     """how each profile's keys differ from the category set."""
     return EV.validate_profile_keys(T.preferences(spark, sf), T.items(spark, sf).select("category"))
@@ -222,6 +232,12 @@ def _corr_sql() -> str:
 ORACLES = {
     "item_category_join": _q("SELECT event_id, user_id, item_id, category FROM ev", "ev"),
     "bernoulli_reward": _q("SELECT profile, event_id, category, sim_reward FROM sim", "ev", "sim"),
+    "unmatched_reactions": _q(
+        """SELECT event_id, item_id, 'no such item' AS reason FROM reactions WHERE item_id % 7 = 0
+           UNION ALL SELECT event_id, item_id, 'no such category' AS reason FROM ev
+           WHERE category NOT IN (SELECT category FROM preferences WHERE profile = 'focused' AND category <> 'c1')""",
+        "ev",
+    ),
     "validate_profile_keys": T.with_views(
         """SELECT profile, CAST(count(*) AS BIGINT) AS n_given,
                   CAST((SELECT count(DISTINCT category) FROM items) AS BIGINT) AS n_expected,
@@ -301,6 +317,7 @@ ORACLES = {
 QUERIES = {
     "item_category_join": q_item_category_join,
     "bernoulli_reward": q_bernoulli_reward,
+    "unmatched_reactions": q_unmatched_reactions,
     "validate_profile_keys": q_validate_profile_keys,
     "validate_newsgroup_profiles": q_validate_newsgroup_profiles,
     "category_counts": q_category_counts,
