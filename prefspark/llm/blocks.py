@@ -7,6 +7,7 @@ buckets as numpy arrays, a share of 1 / partitions of the whole.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefspark.session import materialize
+
 BITMAP_BITS = 24
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, then let Spark's cleaner remove the shuffle files that led to it: after a
+    collection nothing refers to them any more, and a long job holds its current step on disk only."""
+    kept = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
+
+
 def n_buckets(spark: SparkSession) -> int:
     """Buckets: a few for each shuffle partition, so that more partitions mean smaller tasks."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ size - ceil(THRESHOLD * size) + 1 tokens of either, so lines are matched on thes
    products. A pair counts in the group of its first common token only (positional filter: the
    tokens that are left after it bound the overlap), and holds by its exact Jaccard.
 
-A line is removed if an earlier line (by document id, nulls last, the text's digest, and line)
+A line is removed if an earlier line (by document id, nulls last, the text's hash, and line)
 is similar to it; earlier lines count whether or not they are removed themselves.
 
 Edge cases: lines without words are no lines here and stay; null text has none and stays null;
@@ -32,10 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.llm import blocks
-from prefspark.llm.lines import cut_lines, line_units
-from prefspark.llm.near_dedup import digest
+from prefspark.llm.lines import cut_lines, document_hash, line_units
 from prefspark.llm.shingles import Words, mix, shingles, unit_starts, words
-from prefspark.session import materialize
 
 THRESHOLD = 0.8
 LEAST_TOKENS = 4  # smaller sets are similar to at least 0.8 only if they are equal
@@ -108,15 +106,21 @@ def _prefix_blocks(rank_of: Callable[[], np.ndarray], buckets: int) -> Callable[
                     continue
                 n = sizes - _least_overlap(sizes) + 1
                 at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                token = h[at]
-                yield blocks.packed((token % np.uint64(buckets)).astype(np.int64), [token, np.repeat(key, n), np.repeat(np.minimum(sizes, 0xFFFF).astype("<u2"), n)], ["x", "y", "z"])
+                # The bucket comes from the token's lower half, so the upper half is enough within it.
+                bucket = ((h[at] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+                yield blocks.packed(bucket, [(h[at] >> np.uint64(32)).astype("<u4"), np.repeat(key, n), np.repeat(np.minimum(sizes, 0xFFFF).astype("<u2"), n)], ["x", "y", "z"])
 
     return run
 
 
 def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, half of a key) where another class with the token passes the length filter."""
-    token, key, size = blocks.unpacked(batches, ["<u8", "<u8", "<u2"])
+    """(token, first half of a key) where another class with the token passes the length filter."""
+    buckets, held = [], []
+    for batch in batches:
+        held.append(batch)
+        buckets.append(np.repeat(batch.column(0).to_numpy(), [len(raw) // 4 for raw in batch.column(1).to_pylist()]))
+    token, key, size = blocks.unpacked(held, ["<u4", "<u8", "<u2"])
+    token = token.astype(np.uint64) | (np.concatenate([*buckets, np.zeros(0, np.int32)]).astype(np.uint64) << np.uint64(32))
     order = np.lexsort((key, size, token))
     token, key, size = token[order], key[order], size[order].astype(np.int64)
     fresh = np.ones(len(token), bool)
@@ -126,7 +130,7 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     joined = np.zeros(len(token), bool)
     joined[1:] |= near
     joined[:-1] |= near
-    yield pa.RecordBatch.from_arrays([pa.array(token[joined].view(np.int64)), pa.array(key[joined].view(np.int64))], names=["token", "half"])
+    yield pa.RecordBatch.from_arrays([pa.array(token[joined].view(np.int64)), pa.array(key[joined].view(np.int64))], names=["token", "k1"])
 
 
 def _lines(rank_of: Callable[[], np.ndarray], wanted: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -146,8 +150,8 @@ def _lines(rank_of: Callable[[], np.ndarray], wanted: Callable[[], np.ndarray])
                 for k in np.flatnonzero(hit[(keys[:, 0] & np.uint64(len(hit) - 1)).astype(np.int64)]):
                     sets[k] = low[starts[k] : ends[k]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(w.line[word_starts], pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys[:, 0].view(np.int64)), pa.array(sets, pa.binary())],
-                    names=["doc_id", "doc", "line", "key", "half", "tokens"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(w.line[word_starts], pa.int32()), pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array(sets, pa.binary())],
+                    names=["doc_id", "doc", "line", "k1", "k2", "tokens"],
                 )
 
     return run
@@ -191,11 +195,11 @@ def similar_in_group(token: int, left: list[np.ndarray], right: list[np.ndarray]
     return out & open_
 
 
-def _group_links(token: int, side: list[int], keys: list[bytes], order: list[tuple], tokens: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(token: int, side: list[int], order: list[tuple], tokens: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row and whether one goes to an earlier row; ``side`` is 0 or 1 if two tiles meet."""
-    links, earlier = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    ranked = np.empty(len(keys), np.int64)
-    ranked[sorted(range(len(keys)), key=order.__getitem__)] = np.arange(len(keys))
+    links, earlier = np.zeros(len(side), np.int64), np.zeros(len(side), bool)
+    ranked = np.empty(len(side), np.int64)
+    ranked[sorted(range(len(side)), key=order.__getitem__)] = np.arange(len(side))
     first = [k for k, s in enumerate(side) if s == 0]
     second = first if same else [k for k, s in enumerate(side) if s == 1]
     step = max(16, min(1024, CELLS // max(1, max(map(len, tokens)) * 64)))
@@ -215,14 +219,14 @@ def _group_links(token: int, side: list[int], keys: list[bytes], order: list[tup
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, i, j, side, key, unnamed, doc_id, doc, line, tokens), sorted by group: links of each key in each group."""
+    """Rows (token, i, j, side, k1, k2, unnamed, doc_id, doc, line, tokens), sorted by group: links of each key in each group."""
 
     def done(group: tuple, rows: list[tuple]) -> pa.RecordBatch:
         token, i, j = group
-        keys = [r[1] for r in rows]
-        links, earlier = _group_links(token >> 32 & 0xFFFFFFFF, [r[0] for r in rows], keys, [r[2:6] for r in rows], [np.frombuffer(r[6], "<u4") for r in rows], i == j)
+        keys = np.array([r[1:3] for r in rows], np.int64)
+        links, earlier = _group_links(token & 0xFFFFFFFF, [r[0] for r in rows], [r[3:7] for r in rows], [np.frombuffer(r[7], "<u4") for r in rows], i == j)
         found = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(pa.array(found)), pa.array(links[found]), pa.array(earlier[found])], names=["key", "links", "earlier"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[found, 0]), pa.array(keys[found, 1]), pa.array(links[found]), pa.array(earlier[found])], names=["k1", "k2", "links", "earlier"])
 
     group, rows = None, []
     for batch in batches:
@@ -237,35 +241,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line with words: doc_id, doc (digest of the text), line (from 0), class_id (of lines with equal token sets),
+    """One row for each line with words: doc_id, doc (hash of the text), line (from 0), class_id (of lines with equal token sets),
     n_links (similar lines of other classes, each class once) and removed."""
     spark = docs.sparkSession
-    texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), digest(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
+    text = docs[text_col]
+    texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), document_hash(text).alias("doc"), text.alias("text")).where("text is not null")
     rank = spark.sparkContext.broadcast(rarity(texts.select("text")))  # 2**COUNT_BITS bytes
     buckets = blocks.n_buckets(spark)
     entries = texts.select("text").mapInArrow(_prefix_blocks(lambda: rank.value, buckets), "bucket int, x binary, y binary, z binary")
-    active = materialize(entries.repartition("bucket").mapInArrow(_active, "token bigint, half bigint"), "line-active")
-    wanted = spark.sparkContext.broadcast(blocks.bitmap(active, "half"))  # 2**BITMAP_BITS bytes
-    schema = "doc_id bigint, doc binary, line int, key binary, half bigint, tokens binary"
-    lines = materialize(texts.mapInArrow(_lines(lambda: rank.value, lambda: wanted.value), schema), "lines")
+    active = blocks.settle(entries.repartition("bucket").mapInArrow(_active, "token bigint, k1 bigint"), "line-active")
+    wanted = spark.sparkContext.broadcast(blocks.bitmap(active, "k1"))  # 2**BITMAP_BITS bytes
+    schema = "doc_id bigint, doc bigint, line int, k1 bigint, k2 bigint, tokens binary"
+    lines = blocks.settle(texts.mapInArrow(_lines(lambda: rank.value, lambda: wanted.value), schema), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "doc", "line")
-    classes = lines.groupBy("key").agg(F.min(place).alias("first"))
-    sets = lines.where("tokens is not null").select("key", "half", "tokens").dropDuplicates(["key"]).join(classes, "key")
+    # Only lines that equal another one, or may be similar to one, have anything to decide.
+    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.col("tokens").isNotNull()).alias("may"))
+    classes = blocks.settle(classes.where("n > 1 or may"), "line-classes")
+    sets = lines.where("tokens is not null").select("k1", "k2", "tokens").dropDuplicates(["k1", "k2"]).join(classes.select("k1", "k2", "first"), ["k1", "k2"])
     # Tiles: each member of a group of n meets all ceil(n / TILE) tiles.
     sizes = active.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    members = active.join(sets, "half").join(sizes, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    members = members.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = active.join(sets, "k1").join(sizes, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     grouped = members.select(
-        "token", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "key",
+        "token", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "k1", "k2",
         F.col("first.unnamed").alias("unnamed"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "tokens",
     )
-    found = grouped.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_verified, "key binary, links bigint, earlier boolean")
-    found = found.groupBy("key").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
-    decided = classes.join(found, "key", "left")
-    out = lines.drop("tokens").join(decided, "key")
-    return out.select(
-        "doc_id", "doc", "line", F.col("half").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.coalesce("earlier", F.lit(False)) | (place != F.col("first"))).alias("removed")
-    )
+    found = grouped.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_verified, "k1 bigint, k2 bigint, links bigint, earlier boolean")
+    found = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
+    decided = classes.select("k1", "k2", "first").join(found, ["k1", "k2"], "left")
+    out = lines.drop("tokens").join(decided, ["k1", "k2"], "left")
+    removed = F.coalesce("earlier", F.lit(False)) | F.coalesce(place != F.col("first"), F.lit(False))
+    return out.select("doc_id", "doc", "line", F.col("k1").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), removed.alias("removed"))
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.near_dedup import digest
 from prefspark.llm.shingles import Words, mix, unit_starts
 
 
@@ -28,12 +27,17 @@ def order_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def document_hash(text: Column) -> Column:
+    """Long that tells apart the texts under one id."""
+    return F.xxhash64(text)
+
+
 def cut_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the lines that ``gone`` (doc_id, doc: the text's digest, line) names."""
+    """``docs`` with all its columns, without the lines that ``gone`` (doc_id, doc: the text's hash, line) names."""
     per_doc = gone.groupBy("doc_id", "doc").agg(F.collect_set("line").alias("lines"))
     names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}  # no clash with the names here
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
     text = F.col(names[text_col])
-    joined = rows.join(per_doc, F.col(names[id_col]).eqNullSafe(per_doc["doc_id"]) & (digest(text) == per_doc["doc"]), "left")
+    joined = rows.join(per_doc, F.col(names[id_col]).eqNullSafe(per_doc["doc_id"]) & (document_hash(text) == per_doc["doc"]), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
     return joined.withColumn(names[text_col], F.when(F.col("lines").isNull(), text).otherwise(kept)).select(*[F.col(n).alias(c) for c, n in names.items()])
