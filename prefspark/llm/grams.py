@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK_CHARS = 1_000_000  # code points handled at once; a longer text is handled in overlapping slices
+CHUNK_CHARS = 300_000  # code points handled at once; a longer text is handled in overlapping slices
 SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)

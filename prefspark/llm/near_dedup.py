@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.llm.blocks import settle
 from prefspark.llm.components import components
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
-from prefspark.session import materialize
 
 THRESHOLD = 0.8
 BANDS, ROWS, WIDTH = 16, 2, 2
@@ -121,7 +121,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of keys of ``rows`` (key, text; equal texts have equal keys) that share a band."""
     bands = rows.select("key", "text").mapInArrow(_sketches, "key binary, bands array<bigint>")
-    bands = materialize(bands.dropDuplicates(["key"]), "near-bands")
+    bands = settle(bands.dropDuplicates(["key"]), "near-bands")
     spread = bands.select("key", F.explode("bands").alias("band"), F.element_at("bands", 1).alias("b1"), F.element_at("bands", BANDS).alias("b2"))
     return pairs_in_bands(spread.select("key", "band", F.when(F.col("band") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("other")))
 
@@ -134,7 +134,7 @@ def pairs_in_bands(spread: DataFrame) -> DataFrame:
     another), with the least key, and with the neighbour in the order of ``other``.
     """
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-    spread = materialize(spread.join(sizes, "band"), "shared-bands")
+    spread = settle(spread.join(sizes, "band"), "shared-bands")
     weights = spread.groupBy("key").agg(F.sum("n").alias("weight"))
     spread = spread.join(weights, "key")
     pivots = spread.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
@@ -223,14 +223,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(rows: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of keys of ``rows`` (key, doc_id, text; equal texts have equal keys)."""
-    pairs = materialize(candidates(rows), "near-pairs")
+    pairs = settle(candidates(rows), "near-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # One row of each text goes on: that with the least id.
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first")).join(ends, "key", "left_semi")
     r, f = rows.alias("r"), first.alias("f")
     chosen = r.join(f, (F.col("r.key") == F.col("f.key")) & F.col("r.doc_id").eqNullSafe(F.col("f.first")), "left_semi")
     sequences = chosen.select("key", "text").mapInArrow(_sequences, "key binary, sequence binary").dropDuplicates(["key"])
-    sequences = materialize(sequences, "near-sequences")
+    sequences = settle(sequences, "near-sequences")
     left = pairs.join(sequences.select(F.col("key").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("key").alias("b"), F.col("sequence").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
@@ -242,7 +242,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].alias("doc_id"), digest(text).alias("key"), text.alias("text"))
     keys = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     roots = components(links(rows)).select(F.col("node").alias("key"), "root")
-    rooted = materialize(keys.join(roots, "key", "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root")), "near-roots")
+    rooted = settle(keys.join(roots, "key", "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root")), "near-roots")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     classes = rooted.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
@@ -258,7 +258,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, without all but one row of each class."""
-    decided = materialize(_decided(docs, id_col, text_col), "near-decisions")
+    decided = settle(_decided(docs, id_col, text_col), "near-decisions")
     names = {c: f"near_{i}" for i, c in enumerate(docs.columns)}  # no clash with the decision's columns
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()]).withColumn("key", digest(F.col(names[text_col])))
     same = rows["key"].eqNullSafe(decided["key"]) & rows[names[id_col]].eqNullSafe(decided["doc_id"])

@@ -8,7 +8,7 @@ alone has are dropped in columnar blocks; in the others paragraphs are paired as
 least THRESHOLD. Components of these pairs are the classes.
 
 A paragraph repeats if its class occurs in an earlier document (by id, nulls last, then by the
-text's digest). A run of repeating paragraphs, one after the other, is removed if it has at
+text's hash). A run of repeating paragraphs, one after the other, is removed if it has at
 least MIN_WORDS words: shorter repeats are no passages, and stay.
 
 Edge cases: lines without words are neither paragraphs nor gaps of a run, and stay; a null text
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 
 from prefspark.llm import blocks
 from prefspark.llm.components import components
-from prefspark.llm.lines import cut_lines, line_units, order_keys
-from prefspark.llm.near_dedup import digest, pairs_in_bands
+from prefspark.llm.lines import cut_lines, document_hash, line_units, order_keys
+from prefspark.llm.near_dedup import pairs_in_bands
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
-from prefspark.session import materialize
 
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
@@ -132,16 +131,16 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(all paragraphs: doc_id, doc (digest of the text), line, number, n_words, key; key and root of those in a larger class)."""
+    """(all paragraphs: doc_id, doc (hash of the text), line, number, n_words, key; key and root of those in a larger class)."""
     spark = docs.sparkSession
-    texts = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
+    texts = docs.select(docs[id_col].alias("doc_id"), document_hash(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
     buckets = blocks.n_buckets(spark)
     shuffled = texts.select("text").mapInArrow(_sketch_blocks(buckets), "bucket int, x binary, y binary, z binary").repartition("bucket")
-    pairs = materialize(pairs_in_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint")), "paragraph-pairs")
+    pairs = blocks.settle(pairs_in_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint")), "paragraph-pairs")
     wanted = spark.sparkContext.broadcast(blocks.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("half")), "half"))
     kind = texts.schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, doc binary, line int, number int, n_words int, key binary, half bigint, `set` binary"
-    lines = materialize(texts.mapInArrow(_lines(lambda: wanted.value), schema), "paragraphs")
+    schema = f"doc_id {kind}, doc bigint, line int, number int, n_words int, key binary, half bigint, `set` binary"
+    lines = blocks.settle(texts.mapInArrow(_lines(lambda: wanted.value), schema), "paragraphs")
     sets = lines.where("`set` is not null").select("key", "half", "set").dropDuplicates(["key"])
     left = pairs.join(sets.select(F.col("half").alias("a"), F.col("key").alias("p"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("half").alias("b"), F.col("key").alias("q"), F.col("set").alias("y")), "b")
@@ -168,7 +167,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     gone = removals(docs, id_col, text_col, min_words)
     item = F.struct("line", F.hex("class").alias("class"), "kept_in")
     per_doc = gone.groupBy("doc_id", "doc").agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum("n_words").alias("removed_words"))
-    rows = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("doc"))
+    rows = docs.select(docs[id_col].alias("doc_id"), document_hash(docs[text_col]).alias("doc"))
     r, g = rows.alias("r"), per_doc.alias("g")
     joined = r.join(g, F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.doc") == F.col("g.doc")), "left")
     items = F.coalesce(F.col("items"), F.array().cast("array<struct<line:int,class:string,kept_in:bigint>>"))

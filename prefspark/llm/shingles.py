@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-SLICE_BYTES = 2_000_000  # texts handled at once, and bytes hashed at once
+SLICE_BYTES = 500_000  # texts handled at once, and bytes hashed at once
 _R = 0x2545F4914F6CDD1D  # odd, so powers of it have an inverse modulo 2**64
 _R_INVERSE = pow(_R, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -2,7 +2,7 @@
 
 Features are the distinct hashed 5-character windows of the folded text and, at the start of
 words, those of 6 to 10 characters (a leading space marks the start of a word; in a text of over
-a million characters they are distinct within each million). Only features that tell toxic from
+``grams.CHUNK_CHARS`` characters they are distinct within each such slice). Only features that tell toxic from
 other rows count: each has its z-score as scale, over the fourth root of the text's number of
 features, so that a few words tell in a long text, too. All grades
 share one weight vector w: P(grade > k) = sigmoid(w.x - t_k) with rising thresholds t_k. The

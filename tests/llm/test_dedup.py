@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 from collections import defaultdict
@@ -10,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -20,6 +20,11 @@ from tests.conftest import SF001, SF01
 SCHEMA = "doc_id bigint, text string, key string, line int, n bigint, root string, column_1 int"
 
 
+def text_hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def shingle_set(text: str) -> frozenset:
     w = text.split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
@@ -176,7 +181,7 @@ def test_near_dedup_edges(spark):
 
 def repeated_lines(rows, min_words=50) -> dict:
     """Lines to remove of each (id, text), by definition."""
-    order = sorted({(i is None, i or 0, hashlib.md5((t or "").encode()).digest(), t or "") for i, t in rows if t is not None})
+    order = sorted({(i is None, i or 0, text_hash(t or ""), t or "") for i, t in rows if t is not None})
     lines = [((unnamed, i, digest), n, number, tuple(line.split())) for unnamed, i, digest, t in order for number, (n, line) in enumerate((n, x) for n, x in enumerate(t.split("\n")) if x.split())]
     place = {}
     for *_, w in lines:
@@ -221,7 +226,7 @@ def test_passage_edges(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
     want = []
     for unnamed, i, t in texts:
-        lines = expected.get((unnamed, i, hashlib.md5(t.encode()).digest()), ())
+        lines = expected.get((unnamed, i, text_hash(t)), ())
         want.append((unnamed, i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lines)))
     assert got == sorted(want)
     assert any("p0w0" in t and i == 40 for _, i, t in got) and not any("p0w0" in t and 40 < i < 60 for _, i, t in got)
@@ -234,7 +239,7 @@ def test_passage_edges(spark):
 
 
 def line_decisions(rows) -> dict:
-    order = sorted({(i is None, i or 0, hashlib.md5((t or "").encode()).digest(), t or "") for i, t in rows if t is not None})
+    order = sorted({(i is None, i or 0, text_hash(t or ""), t or "") for i, t in rows if t is not None})
     lines = [((unnamed, i, digest, n), shingle_set(x)) for unnamed, i, digest, t in order for n, x in enumerate(t.split("\n")) if x.split()]
     first = {}
     for place, s in lines:
@@ -253,7 +258,7 @@ def test_lines_against_brute_force(spark, monkeypatch, tile):
     source = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in source.collect()] + [(10_000 + (i or 0), t) for i, t in hard_rows()]
     docs = frame(spark, rows)
-    got = {(r.doc_id is None, r.doc_id or 0, bytes(r.doc), r.line): (r.n_links, r.removed) for r in line_dedup.joined(docs).collect()}
+    got = {(r.doc_id is None, r.doc_id or 0, r.doc, r.line): (r.n_links, r.removed) for r in line_dedup.joined(docs).collect()}
     expected = line_decisions(rows)
     assert any(n for n, _ in expected.values()) and got == expected
 
@@ -267,7 +272,7 @@ def test_line_edges(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
     want = []
     for i, t in rows:
-        key = (i is None, i or 0, hashlib.md5((t or "").encode()).digest())
+        key = (i is None, i or 0, text_hash(t or ""))
         want.append((i is None, i or 0, "\n".join(x for n, x in enumerate((t or "").split("\n")) if not expected.get((*key, n), (0, False))[1])))
     assert got == sorted(want)
     assert line_dedup.joined(docs.limit(0)).collect() == []
