@@ -121,8 +121,12 @@ _FLAT_COLS = ["config_id", *SW.PARAM_ORDER, "preference_type", "total_reward", "
               "preference_alignment", "diversity_score", "n_accepted", "n_events"]
 
 
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.flatten_results(sweep(spark, sf, GRID))
+
+
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    flat = EV.flatten_results(sweep(spark, sf, GRID))
+    flat = _raw(spark, sf)
     return flat.select(*[rnd(c).alias(c) if c in ("avg_reward", "reward_std", "preference_alignment", "diversity_score") else c
                          for c in _FLAT_COLS])
 
@@ -139,14 +143,14 @@ def q_best_config(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_param_impact(spark: SparkSession, sf: str) -> DataFrame:
     """mean average reward by value of each parameter."""
-    return EV.param_impact(_flat(spark, sf)).select(
+    return EV.param_impact(_raw(spark, sf)).select(
         "param", "value", rnd("mean_avg_reward").alias("mean_avg_reward"), "n"
     )
 
 
 def q_boxplot_stats(spark: SparkSession, sf: str) -> DataFrame:
     """quartiles, whiskers and outliers of average reward per preference type."""
-    b = EV.boxplot_stats(_flat(spark, sf))
+    b = EV.boxplot_stats(_raw(spark, sf))
     return b.select("preference_type", *[rnd(c).alias(c) for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")],
                     "n_outliers", "n")
 
@@ -202,6 +206,7 @@ _EV_CTES = {
              GROUP BY t.config_id, t.profile""",
     "dv": """SELECT config_id, profile, -sum(cc.n / t.n_accepted * ln(cc.n / t.n_accepted)) AS diversity_score
              FROM cc JOIN tot t USING (config_id, profile) GROUP BY config_id, profile""",
+    "raw": "SELECT g.*, t.profile AS preference_type, t.avg_reward FROM grid g JOIN tot t USING (config_id)",
     "flat": """SELECT g.config_id, g.alpha, g.gamma, g.beta, g.max_embeddings, g.exp_rate, g.n_components,
                       t.profile AS preference_type, t.total_reward, round(t.avg_reward, 6) AS avg_reward,
                       round(t.reward_std, 6) AS reward_std, round(a.preference_alignment, 6) AS preference_alignment,
@@ -214,6 +219,7 @@ def _q(body: str, *ctes: str) -> str:
     return T.with_views(body, "items", "reactions", "preferences", extra={k: _EV_CTES[k] for k in ctes})
 
 
+_RAW = ("ev", "sim", "similarities", "stepped", "grid", "replayed", "tot", "raw")
 _FLAT = ("ev", "sim", "similarities", "stepped", "grid", "replayed", "tot", "cc", "al", "dv", "flat")
 _CORR_COLS = SW.PARAM_ORDER + EV.METRICS
 
@@ -294,10 +300,10 @@ ORACLES = {
     "param_impact": _q(
         " UNION ALL ".join(
             f"SELECT '{p}' AS param, CAST({p} AS DOUBLE) AS value, round(avg(avg_reward), 6) AS mean_avg_reward, "
-            f"count(*) AS n FROM flat GROUP BY {p}"
+            f"count(*) AS n FROM raw GROUP BY {p}"
             for p in SW.PARAM_ORDER
         ),
-        *_FLAT,
+        *_RAW,
     ),
     "boxplot_stats": _q(
         """SELECT q.preference_type, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
@@ -306,10 +312,10 @@ ORACLES = {
                   round(max(CASE WHEN f.avg_reward BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN f.avg_reward END), 6) AS whisker_high,
                   CAST(sum(CASE WHEN f.avg_reward BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
                   count(*) AS n
-           FROM flat f JOIN (SELECT preference_type, quantile_cont(avg_reward, 0.25) AS q1, quantile_cont(avg_reward, 0.5) AS med,
-                                    quantile_cont(avg_reward, 0.75) AS q3 FROM flat GROUP BY preference_type) q USING (preference_type)
+           FROM raw f JOIN (SELECT preference_type, quantile_cont(avg_reward, 0.25) AS q1, quantile_cont(avg_reward, 0.5) AS med,
+                                    quantile_cont(avg_reward, 0.75) AS q3 FROM raw GROUP BY preference_type) q USING (preference_type)
            GROUP BY q.preference_type, q1, med, q3""",
-        *_FLAT,
+        *_RAW,
     ),
     "correlation_matrix": _q(_corr_sql(), *_FLAT),
 }
