@@ -3,8 +3,10 @@
 Equal texts are one class from the start (a digest, pre-aggregated), so copies cost nothing
 further. Each distinct text gives occurrence-labelled 5-word shingles. For each of SLOTS hash
 orders the WIDTH minimal ones are taken, put back in text order and hashed; ROWS of these
-tuples make a band. Distinct texts that share a band are paired with two of its members and with
-a neighbour (see ``pairs_in_bands``), never with all others. A pair holds if the
+tuples make a band. Distinct texts that share a band are all compared, unless they are in one
+class already: a first round pairs each with two of the band's members and with a neighbour (see
+``pairs_in_bands``); in bands that then still hold several components, all pairs across them are
+tried (see ``band_components``). A pair holds if the
 longest common subsequence L of the two shingle sequences, by an alignment within a band around
 the diagonal, gives L / (n + m - L) >= THRESHOLD. The band begins narrow and widens up to the
 width that any such alignment can need, so the verdict is exact. Components of verified pairs
@@ -19,7 +21,7 @@ the id and text columns are read, and ``keep_one`` returns all columns of its in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ THRESHOLD = 0.8
 BANDS, ROWS, WIDTH = 16, 2, 2
 SLOTS = BANDS * ROWS
 CELLS = 2_000_000  # of the alignments done at once
+TILE = 2048  # members of a band handled against as many others in one group of rows
+TILE_BYTES = 8_000_000  # and so many bytes of their sequences
+STEP = 1024  # members whose overlaps are counted at once
+DENSE = 64  # a token that more than one pair in so many has is counted by a matrix product
+PAIRS = 256  # verified at once, between looks at what they have joined
 
 
 def digest(text: Column) -> Column:
@@ -118,23 +125,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, keys.type), pa.array(right, keys.type)], names=["a", "b"])
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of keys of ``rows`` (key, text; equal texts have equal keys) that share a band."""
+def spread_bands(rows: DataFrame) -> DataFrame:
+    """(band, key, other) of each key of ``rows`` (key, text; equal texts have equal keys)."""
     bands = rows.select("key", "text").mapInArrow(_sketches, "key binary, bands array<bigint>")
     bands = settle(bands.dropDuplicates(["key"]), "near-bands")
     spread = bands.select("key", F.explode("bands").alias("band"), F.element_at("bands", 1).alias("b1"), F.element_at("bands", BANDS).alias("b2"))
-    return pairs_in_bands(spread.select("key", "band", F.when(F.col("band") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("other")))
+    return spread.select("key", "band", F.when(F.col("band") == F.col("b1"), F.col("b2")).otherwise(F.col("b1")).alias("other"))
+
+
+def shared_bands(spread: DataFrame) -> DataFrame:
+    """Distinct rows (band, key, other: a second sketch of the key) of the bands of several keys, with their number n and the least key."""
+    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    return settle(spread.join(sizes, "band"), "shared-bands")
 
 
 def pairs_in_bands(spread: DataFrame) -> DataFrame:
-    """Pairs (a < b) to verify among distinct rows (band, key, other: a second sketch of the key).
+    """Pairs (a < b) of ``shared_bands`` to verify first.
 
-    A band's keys are paired with three of their number, whatever it is: with the key that meets
+    A band's keys are paired with three of their number: with the key that meets
     most keys over all its bands (an original meets its copies more often than these meet one
     another), with the least key, and with the neighbour in the order of ``other``.
     """
-    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-    spread = settle(spread.join(sizes, "band"), "shared-bands")
     weights = spread.groupBy("key").agg(F.sum("n").alias("weight"))
     spread = spread.join(weights, "key")
     pivots = spread.groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("pivot"))
@@ -221,9 +232,148 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(holds), batch.column(1).filter(holds)], names=["a", "b"])
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of keys of ``rows`` (key, doc_id, text; equal texts have equal keys)."""
-    pairs = settle(candidates(rows), "near-pairs")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of common elements of sets."""
+    out = np.zeros((len(left), len(right)))
+    tokens, owners = zip(*[(np.concatenate(side), np.repeat(np.arange(len(side)), list(map(len, side)))) for side in (left, right)], strict=True)
+    ids = np.intersect1d(*tokens)
+    if not len(ids):
+        return out
+    entries = []
+    for t, o in zip(tokens, owners, strict=True):
+        at = np.minimum(np.searchsorted(ids, t), len(ids) - 1)
+        hit = ids[at] == t
+        order = np.argsort(at[hit], kind="stable")
+        entries.append((at[hit][order], o[hit][order]))
+    counts = [np.bincount(at, minlength=len(ids)) for at, _ in entries]
+    meetings = counts[0] * counts[1]
+    often = meetings * DENSE > out.size
+    columns = np.flatnonzero(often)
+    for c in range(0, len(columns), STEP):
+        some = columns[c : c + STEP]
+        sides = []
+        for (at, owner), n in zip(entries, out.shape, strict=True):
+            s, e = np.searchsorted(at, [some[0], some[-1] + 1])
+            mine = often[at[s:e]]
+            matrix = np.zeros((n, len(some)), np.float32)
+            matrix[owner[s:e][mine], np.searchsorted(some, at[s:e][mine])] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    rows = np.flatnonzero(~often[entries[0][0]])
+    at, owner = entries[0][0][rows], entries[0][1][rows]
+    first = np.cumsum(counts[1]) - counts[1]  # of each token's entries on the right
+    done = np.cumsum(counts[1][at])
+    s = 0
+    while s < len(at):
+        e = max(s + 1, int(np.searchsorted(done, (done[s - 1] if s else 0) + CELLS, "right")))
+        n = counts[1][at[s:e]]
+        partner = np.repeat(first[at[s:e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(owner[s:e], n) * out.shape[1] + entries[1][1][partner], minlength=out.size).reshape(out.shape)
+        s = e
+    return out
+
+
+Verify = Callable[[list[tuple[np.ndarray, np.ndarray]]], list[bool]]
+
+
+def links_in_group(side: list[int], roots: list, sequences: list[np.ndarray], same: bool, verify_pairs: Verify, threshold: float) -> list[tuple[int, int]]:
+    """Verified pairs of places that join all similar members with different roots; ``side`` is 0 or 1 if two tiles meet.
+
+    No alignment has more matches than the multisets of shingles, so pairs below that bound are left out.
+    """
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    parent = np.arange(len(number))
+    root = np.array([number[r] for r in roots])
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = np.array(list(map(len, sequences)), np.int64)
+    labelled = occurrence_labelled(np.concatenate(sequences).astype(np.uint64) << np.uint64(32), np.repeat(np.arange(len(sequences)), sizes))
+    tokens = np.split(labelled, np.cumsum(sizes)[:-1])
+    # Members of nearly one size are next to one another, so that whole blocks can fail the size filter.
+    places = np.argsort(sizes, kind="stable")
+    sides = np.array(side)
+    first = places[sides[places] == 0]
+    second = first if same else places[sides[places] == 1]
+    found = []
+    for i in range(0, len(first), STEP):
+        for j in range(i if same else 0, len(second), STEP):
+            a, b = first[i : i + STEP], second[j : j + STEP]
+            if sizes[a[-1]] < threshold * sizes[b[0]] or sizes[b[-1]] < threshold * sizes[a[0]]:
+                continue
+            here = np.array([find(x) for x in range(len(parent))])[root]
+            apart = here[a][:, None] != here[b][None, :]
+            if same and i == j:
+                apart &= np.triu(np.ones(apart.shape, bool), 1)
+            rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+            if not len(rows):
+                continue
+            a, b = a[rows], b[columns]
+            common = overlaps([tokens[k] for k in a], [tokens[k] for k in b])
+            likely = apart[np.ix_(rows, columns)] & (common * (1 + threshold) >= threshold * (sizes[a][:, None] + sizes[b][None, :]) - 1e-6)
+            pairs = np.argwhere(likely)
+            for at in range(0, len(pairs), PAIRS):
+                waiting = [(a[x], b[y]) for x, y in pairs[at : at + PAIRS] if find(root[a[x]]) != find(root[b[y]])]
+                for (x, y), holds in zip(waiting, verify_pairs([(sequences[x], sequences[y]) for x, y in waiting]), strict=True):
+                    if holds and find(root[x]) != find(root[y]):
+                        parent[find(root[x])] = find(root[y])
+                        found.append((int(x), int(y)))
+    return found
+
+
+def _band_links(verify_pairs: Verify, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (band, i, j, side, key, root, sequence), sorted by group: links (a, b) between different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: tuple, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            found = links_in_group([r[0] for r in rows], [r[2] for r in rows], [np.frombuffer(r[3], "<u4") for r in rows], group[1] == group[2], verify_pairs, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([rows[pair[k]][1] for pair in found], kind) for k in (0, 1)], names=["a", "b"])
+
+        group, rows, kind = None, [], None
+        for batch in batches:
+            kind = batch.column(4).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != group:
+                    if rows:
+                        yield done(group, rows, kind)
+                    group, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield done(group, rows, kind)
+
+    return run
+
+
+def band_components(shared: DataFrame, links: DataFrame, sequences: DataFrame, verify_pairs: Verify, threshold: float) -> DataFrame:
+    """(node, root) of the components that all similar pairs of ``shared_bands`` make.
+
+    ``links`` (a, b) are the pairs that the first round has verified, ``sequences`` (key, sequence) the
+    shingles of every key. Bands whose members are still in several components are compared whole, in
+    tiles if they are large; only pairs across components can change anything.
+    """
+    roots = components(links)
+    members = shared.where("n > 2").select("band", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    members = settle(members.join(mixed, "band").join(sequences.select("key", F.length("sequence").alias("size")), "key"), "mixed-bands")
+    if not members.head(1):
+        return roots
+    tiles = members.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("size") / TILE_BYTES)).cast("int").alias("tiles"))
+    dealt = members.join(tiles, "band").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("band", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "key", "root")
+    grouped = dealt.join(sequences, "key").select("band", "i", "j", "side", "key", "root", "sequence").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = shared.schema["key"].dataType.simpleString()
+    more = grouped.mapInArrow(_band_links(verify_pairs, threshold), f"a {kind}, b {kind}")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """(node, root) of the classes of keys of ``rows`` (key, doc_id, text; equal texts have equal keys)."""
+    shared = shared_bands(spread_bands(rows))
+    pairs = settle(pairs_in_bands(shared), "near-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # One row of each text goes on: that with the least id.
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first")).join(ends, "key", "left_semi")
@@ -233,7 +383,8 @@ def links(rows: DataFrame) -> DataFrame:
     sequences = settle(sequences, "near-sequences")
     left = pairs.join(sequences.select(F.col("key").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("key").alias("b"), F.col("sequence").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+    links = both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary")
+    return band_components(shared, links, sequences, verify, THRESHOLD)
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -241,7 +392,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), digest(text).alias("key"), text.alias("text"))
     keys = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    roots = components(links(rows)).select(F.col("node").alias("key"), "root")
+    roots = linked(rows).select(F.col("node").alias("key"), "root")
     rooted = settle(keys.join(roots, "key", "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root")), "near-roots")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     classes = rooted.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from prefspark.llm import blocks
 from prefspark.llm.components import components
 from prefspark.llm.lines import cut_lines, document_hash, line_units, order_keys
-from prefspark.llm.near_dedup import pairs_in_bands
+from prefspark.llm.near_dedup import pairs_in_bands, shared_bands
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
 
 THRESHOLD = 0.8
@@ -136,7 +136,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(docs[id_col].alias("doc_id"), document_hash(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
     buckets = blocks.n_buckets(spark)
     shuffled = texts.select("text").mapInArrow(_sketch_blocks(buckets), "bucket int, x binary, y binary, z binary").repartition("bucket")
-    pairs = blocks.settle(pairs_in_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint")), "paragraph-pairs")
+    pairs = blocks.settle(pairs_in_bands(shared_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint"))), "paragraph-pairs")
     wanted = spark.sparkContext.broadcast(blocks.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("half")), "half"))
     kind = texts.schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, doc bigint, line int, number int, n_words int, key binary, half bigint, `set` binary"

@@ -176,6 +176,33 @@ def test_near_dedup_edges(spark):
     assert near_dedup.classes(docs.limit(0)).collect() == [] and near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def template_rows(n_pairs: int) -> list[tuple[int, str]]:
+    """Texts that share 85 of 100 shingles with all others (0.739) and 5 more with one other (0.818)."""
+    template = " ".join(f"t{k}" for k in range(89))
+    return [(2 * p + side, f"{template} " + " ".join([f"p{p}w{k}" for k in range(5)] + [f"p{p}s{side}w{k}" for k in range(10)])) for p in range(n_pairs) for side in (0, 1)]
+
+
+def test_overlaps():
+    draw = np.random.default_rng(1)
+    sides = [[np.unique(np.concatenate([draw.integers(0, 40, 30), draw.integers(0, 5000, n)])).astype(np.uint64) for n in draw.integers(0, 60, m)] for m in (90, 70)]
+    expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sides[1]] for a in sides[0]]
+    for dense, cells in ((0, 1000), (64, 1000), (64, 10), (10**9, 1000)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near_dedup, "DENSE", dense)
+            patch.setattr(near_dedup, "CELLS", cells)
+            patch.setattr(near_dedup, "STEP", 7)
+            assert near_dedup.overlaps(*sides).tolist() == expected
+
+
+@pytest.mark.parametrize("tile", [2048, 100])
+def test_near_pairs_in_crowded_bands(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rows = template_rows(300)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert similar([shingle_set(t) for _, t in rows]) == {(2 * p, 2 * p + 1) for p in range(300)}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 # --- 5: passages ---------------------------------------------------------------------------------
 
 
