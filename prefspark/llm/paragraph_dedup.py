@@ -3,8 +3,8 @@
 A paragraph is a line. Paragraphs of equal words are one key from the start. The distinct ones
 are sketched by MinHash over 5-word shingles with BANDS bands of ROWS rows (at a Jaccard of 0.8
 a pair shares a band with probability 1 - (1 - 0.8**4)**12 = 0.998). Bands that one paragraph
-alone has are dropped in columnar blocks; in the others paragraphs are paired as
-``near_dedup.pairs_in_bands`` says. Pairs hold if the exact Jaccard of their shingle sets is at
+alone has are dropped in columnar blocks; in the others all paragraphs are compared that aren't
+in one class already, as ``near_dedup.band_components`` says. Pairs hold if the exact Jaccard of their shingle sets is at
 least THRESHOLD. Components of these pairs are the classes.
 
 A paragraph repeats if its class occurs in an earlier document (by id, nulls last, then by the
@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm import blocks
-from prefspark.llm.components import components
 from prefspark.llm.lines import cut_lines, document_hash, line_units, order_keys
-from prefspark.llm.near_dedup import pairs_in_bands, shared_bands
+from prefspark.llm.near_dedup import band_components, pairs_in_bands, shared_bands
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
 
 THRESHOLD = 0.8
@@ -119,14 +118,19 @@ def _lines(wanted: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def similar_sets(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[bool]:
+    """Whether each pair of sets has a Jaccard of at least THRESHOLD."""
+    holds = []
+    for a, b in pairs:
+        common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= THRESHOLD * max(len(a), len(b)) else 0
+        holds.append(common >= THRESHOLD * (len(a) + len(b) - common))
+    return holds
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        holds = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-            common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= THRESHOLD * max(len(a), len(b)) else 0
-            holds.append(common >= THRESHOLD * (len(a) + len(b) - common))
-        keep = pa.array(holds, pa.bool_())
+        pairs = [(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        keep = pa.array(similar_sets(pairs), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -136,16 +140,22 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(docs[id_col].alias("doc_id"), document_hash(docs[text_col]).alias("doc"), docs[text_col].alias("text")).where("text is not null")
     buckets = blocks.n_buckets(spark)
     shuffled = texts.select("text").mapInArrow(_sketch_blocks(buckets), "bucket int, x binary, y binary, z binary").repartition("bucket")
-    pairs = blocks.settle(pairs_in_bands(shared_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint"))), "paragraph-pairs")
+    shared = shared_bands(shuffled.mapInArrow(_shared, "band bigint, key bigint, other bigint"))
+    pairs = blocks.settle(pairs_in_bands(shared), "paragraph-pairs")
     wanted = spark.sparkContext.broadcast(blocks.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("half")), "half"))
     kind = texts.schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, doc bigint, line int, number int, n_words int, key binary, half bigint, `set` binary"
     lines = blocks.settle(texts.mapInArrow(_lines(lambda: wanted.value), schema), "paragraphs")
     sets = lines.where("`set` is not null").select("key", "half", "set").dropDuplicates(["key"])
-    left = pairs.join(sets.select(F.col("half").alias("a"), F.col("key").alias("p"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("half").alias("b"), F.col("key").alias("q"), F.col("set").alias("y")), "b")
-    links = both.select("p", "q", "x", "y").mapInArrow(_similar, "a binary, b binary")
-    return lines.drop("set", "half"), components(links).select(F.col("node").alias("key"), "root")
+    # Halves of keys stand for paragraphs until the classes are known.
+    sequences = blocks.settle(sets.groupBy("half").agg(F.min("key").alias("full"), F.min("set").alias("sequence")).withColumnRenamed("half", "key"), "paragraph-sets")
+    left = pairs.join(sequences.select(F.col("key").alias("a"), F.col("sequence").alias("x")), "a")
+    both = left.join(sequences.select(F.col("key").alias("b"), F.col("sequence").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint")
+    roots = band_components(shared, links, sequences.select("key", "sequence"), similar_sets, THRESHOLD)
+    full = sequences.select("key", "full")
+    roots = roots.join(full.select(F.col("key").alias("node"), F.col("full").alias("own")), "node").join(full.select(F.col("key").alias("root"), F.col("full").alias("of")), "root")
+    return lines.drop("set", "half"), roots.select(F.col("own").alias("key"), F.col("of").alias("root"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -262,6 +262,15 @@ def test_passage_edges(spark):
     assert paragraph_dedup.report(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_similar_paragraphs_in_crowded_bands(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rows = template_rows(150)
+    got = {r.doc_id: (r.removed_lines, r.kept_in) for r in paragraph_dedup.report(frame(spark, rows)).collect()}
+    assert repeated_lines(rows).keys() == {(False, i, text_hash(t)) for i, t in rows if i % 2}
+    assert got == {i: ([0], [i - 1]) if i % 2 else ([], []) for i, _ in rows}
+
+
 # --- 7: lines ------------------------------------------------------------------------------------
 
 
