@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page. A line's weight is the length of
 its text; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments (known
-by element, role, class or id) and text in links outside an article weigh nothing. Weights are
-summed over windows of WINDOW lines. Going down the page, the sums surge where the main text
+by element, role, class or id; html, body, main and article never by class or id) and text in links outside an article weigh nothing. Weights are
+summed over windows of WINDOW lines with text. Going down the page, the sums surge where the main text
 begins and dive to nothing where it ends; each stretch between a surge and the next dive whose
 highest sum reaches the threshold is kept, from its first to its last weighted line.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,9 @@ AROUND_NAMES = frozenset(
     "breadcrumbs footer comment comments disqus cookie cookies consent gdpr notice newsletter subscribe signup login popup modal "
     "overlay share sharing social related recommended pagination pager widget widgets toolbar masthead".split()
 )
+# Parts after which the rest of a class is a state of the element (no-sidebar, has-comments), and elements no name makes surroundings.
+STATE_WORDS = frozenset("no not non has have with without hide hides hidden show shows".split())
+NEVER_BY_NAME = frozenset("html body main article".split())
 
 
 def _around(tag: str, attributes: str, in_article: bool) -> bool:
@@ -62,9 +66,10 @@ def _around(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            parts = set(_NAME_PART.findall(value))
-            if parts & AROUND_NAMES or "side" in parts and "bar" in parts or not in_article and parts & {"header"} and tag not in ("body", "main", "article"):
-                return True
+            for token in value.split() if tag not in NEVER_BY_NAME else ():
+                parts = set(takewhile(lambda part: part not in STATE_WORDS, _NAME_PART.findall(token)))
+                if parts & AROUND_NAMES or "side" in parts and "bar" in parts or not in_article and "header" in parts:
+                    return True
         elif name == "role" and value in AROUND_ROLES:
             return True
         elif name == "hidden" and tag not in ("body", "html") or name == "aria-hidden" and value == "true":
@@ -165,7 +170,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str | None) -> str:
     """Blocks of the main text, joined by an empty line."""
-    lines = lines_of(html or "")
+    lines = [line for line in lines_of(html or "") if line[0]]  # nested blocks leave empty lines
     has_article = any(inside and weight for _, weight, inside in lines)
     weights = [weight if inside or not has_article else 0 for _, weight, inside in lines]
     sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights) + WINDOW - 1)]

@@ -237,6 +237,22 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "Long enough a text to be the main one of any page, with some commas, and more words than a menu has. " * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body class='single no-sidebar'><p>{LONG}</p></body>", LONG.strip()),
+        (f"<body class='sidebar-left'><article class='post has-comments'><p>{LONG}</p></article><div class='comments'>me too</div></body>", LONG.strip()),
+        (f"<body><div class='layout no-sidebar'><main id='menu'><p>{LONG}</p><div class='share-bar--no-count'>Share</div></main></div></body>", LONG.strip()),
+        (f"<body><div><div><div><h1>Title</h1></div></div></div><div><div><div><div><p>{LONG}</p></div></div></div></div></body>", f"Title\n\n{LONG.strip()}"),
+    ],
+)
+def test_names_of_states_and_nested_blocks_lose_no_text(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_main_text_keeps_rows(spark):
     pages = spark.createDataFrame([(1, None, "<p>a</p>", "x"), (1, None, "<p>a</p>", "x"), (None, "u", None, "y")], "page_id bigint, url string, html string, text string")
     assert sorted(r.text for r in html_extract.extract(pages).collect()) == ["", "a", "a"]
