@@ -9,7 +9,8 @@ least THRESHOLD. Components of these pairs are the classes.
 
 A paragraph repeats if its class occurs in an earlier document (by id, nulls last, then by the
 text's hash). A run of repeating paragraphs, one after the other, is removed if it has at
-least MIN_WORDS words: shorter repeats are no passages, and stay.
+least MIN_WORDS words: shorter repeats are no passages, and stay. Equal passages that begin or
+end within a line are found by ``passages``, by their words alone.
 
 Edge cases: lines without words are neither paragraphs nor gaps of a run, and stay; a null text
 has no paragraphs and stays null; rows that repeat id and text are one document, so they don't
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from prefspark.llm import blocks
 from prefspark.llm.lines import cut_lines, document_hash, line_units, order_keys
 from prefspark.llm.near_dedup import band_components, pairs_in_bands, shared_bands
+from prefspark.llm.passages import cut_passages, passages
 from prefspark.llm.shingles import mix, shingles, unit_starts, words
 
 THRESHOLD = 0.8
@@ -173,10 +175,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_removed, removed_words, removed_lines (from 0),
-    classes and kept_in (for each removed line: its class, and the document in which it stays)."""
+    classes and kept_in (for each removed line: its class, and the document in which it stays);
+    passages (first_word from 0, n_words, kept_in), which may lie in removed lines too."""
     gone = removals(docs, id_col, text_col, min_words)
     item = F.struct("line", F.hex("class").alias("class"), "kept_in")
     per_doc = gone.groupBy("doc_id", "doc").agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum("n_words").alias("removed_words"))
+    spans = passages(docs, id_col, text_col, min_words).groupBy("doc_id", "doc").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words", "kept_in"))).alias("passages"))
+    per_doc = per_doc.join(spans.withColumnsRenamed({"doc_id": "s_id", "doc": "s_doc"}), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("doc") == F.col("s_doc")), "full")
+    per_doc = per_doc.withColumn("doc_id", F.coalesce("doc_id", "s_id")).withColumn("doc", F.coalesce("doc", "s_doc")).drop("s_id", "s_doc")
     rows = docs.select(docs[id_col].alias("doc_id"), document_hash(docs[text_col]).alias("doc"))
     r, g = rows.alias("r"), per_doc.alias("g")
     joined = r.join(g, F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.doc") == F.col("g.doc")), "left")
@@ -184,9 +190,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     return joined.select(
         F.col("r.doc_id").alias("doc_id"), F.size(items).cast("long").alias("n_removed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
         items["line"].alias("removed_lines"), items["class"].alias("classes"), items["kept_in"].alias("kept_in"),
+        F.coalesce("passages", F.array().cast("array<struct<first_word:int,n_words:int,kept_in:bigint>>")).alias("passages"),
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all its columns, the removed paragraphs cut from the text column."""
+    """``docs`` with all its columns, the removed paragraphs (whole lines only) cut from the text column."""
     return cut_lines(docs, removals(docs, id_col, text_col, min_words), id_col, text_col)
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with all its columns, the removed paragraphs and the passages of earlier documents cut from the text column."""
+    return cut_passages(docs, removals(docs, id_col, text_col, min_words), passages(docs, id_col, text_col, min_words), id_col, text_col)

@@ -128,3 +128,10 @@ def shingles(hashes: np.ndarray, unit: np.ndarray, k: int = SHINGLE) -> tuple[np
     valid = left >= k
     valid[starts] = True
     return h[valid], unit[valid]
+
+
+def windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` consecutive words, whatever text they are in."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _table(_R, len(hashes))[: len(hashes)], out=total[1:])
+    return mix((total[n:] - total[: len(total) - n]) * _table(_R_INVERSE, len(hashes))[: len(total) - n])

@@ -271,6 +271,30 @@ def test_similar_paragraphs_in_crowded_bands(spark, monkeypatch, tile):
     assert got == {i: ([0], [i - 1]) if i % 2 else ([], []) for i, _ in rows}
 
 
+def repeated_words(rows, n=50) -> dict:
+    """Words of each (id, text) in a window of ``n`` words that an earlier document has."""
+    order = sorted({(i is None, i or 0, text_hash(t or ""), t or "") for i, t in rows if t is not None})
+    first, out = {}, {}
+    for *doc, t in order:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - n + 1) if first.setdefault(tuple(w[k : k + n]), doc) != doc for j in range(n)}
+        if gone:
+            out[doc[0], doc[1]] = out.get((doc[0], doc[1]), set()) | gone
+    return out
+
+
+def test_passages_within_lines(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()]
+    part = " ".join(f"q{k}" for k in range(50))
+    own = [" ".join(f"o{n}w{k}" for k in range(60)) for n in range(3)]  # so that no whole lines are similar
+    rows += [(10_000, f"{own[0]} {part} and ends"), (10_001, f"another line\nhere  {part.replace('q27 ', 'q27' + chr(10))} stays\nlast"), (10_002, f"{own[1]} {part[:-4]} of it"), (None, f"{own[2]} {part}"), (10_003, None)]
+    expected = repeated_words(rows)
+    got = {(r.doc_id is None, r.doc_id or 0): {k for p in r.passages for k in range(p.first_word, p.first_word + p.n_words)} for r in paragraph_dedup.report(frame(spark, rows)).collect()}
+    assert {d: s for d, s in got.items() if s} == expected and expected[False, 10_001] == set(range(3, 53))
+    text = {r.doc_id: r.text for r in paragraph_dedup.without_passages(frame(spark, rows)).where("doc_id >= 10000 or doc_id is null").collect()}
+    assert text == {10_000: rows[-5][1], 10_001: "another line\nhere\nstays\nlast", 10_002: rows[-3][1], None: own[2], 10_003: None}
+
+
 # --- 7: lines ------------------------------------------------------------------------------------
 
 
