@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prefspark.llm import ann, bpe, html_extract, langid, line_dedup, near_dedup, order_minhash, packing, paragraph_dedup, toxicity
+from prefspark.llm import ann, bpe, html_extract, langid, line_dedup, near_dedup, order_minhash, packing, paragraph_dedup, simhash_dedup, token_alignment, toxicity, whitening
 from prefspark.sources.tables import table
 
 
@@ -61,5 +61,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op5_paragraph_dedup, op6_nearest_vectors, op7_line_dedup, op8_main_text, op9_language_id, op10_near_dedup)}
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least id of the documents that chains of near fingerprints connect it to."""
+    return simhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document, with the links' corpus-wide counts."""
+    return token_alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four principal components, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_toxicity, op2_byte_bpe, op3_order_minhash, op4_packing, op5_paragraph_dedup, op6_nearest_vectors, op7_line_dedup,
+    op8_main_text, op9_language_id, op10_near_dedup, op11_simhash_dedup, op12_token_alignment, op13_embedding_whitening,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
