@@ -19,11 +19,13 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
@@ -38,37 +40,46 @@ class MinimalPerfectHash:
 
     Keys are grouped in buckets by one half of a 64-bit hash. Larger buckets go first and look
     for a displacement that sends all their keys to free slots; a bucket of one key stores its
-    slot itself (as ``-slot - 1``).
+    slot itself (as ``-slot - 1``). Tries are bounded: a build that finds no displacement for a
+    bucket starts again with another seed and, every few seeds, twice the buckets, until few
+    hold several keys.
     """
 
     PER_BUCKET = 4
+    SEEDS = 4  # for each number of buckets
 
     def __init__(self, keys: list[bytes]):
-        n = len(keys)
-        if n != len(set(keys)):
+        if len(keys) != len(set(keys)):
             raise ValueError("keys of a perfect hash must be distinct")
-        self.n, self.n_buckets = n, max(1, n // self.PER_BUCKET)
+        self.n, self.seed = len(keys), 0
+        self.n_buckets = max(1, self.n // self.PER_BUCKET)
+        while not self._build(keys):
+            self.seed += 1
+            self.n_buckets <<= self.seed % self.SEEDS == 0
+
+    def _build(self, keys: list[bytes]) -> bool:
+        n = self.n
         self.displace = [0] * self.n_buckets
         self.slots: list[tuple[bytes, int] | None] = [None] * n
         buckets: list[list[tuple[int, int]]] = [[] for _ in range(self.n_buckets)]
         for i, key in enumerate(keys):
-            h = xxhash.xxh64_intdigest(key)
+            h = xxhash.xxh64_intdigest(key, self.seed)
             buckets[h % self.n_buckets].append((h, i))
         used = bytearray(n)
         singles = []
         for b in sorted(range(self.n_buckets), key=lambda b: -len(buckets[b])):
             group = buckets[b]
-            if len(group) == 1:
-                singles.append((b, group[0][1]))
+            if len(group) <= 1:
+                singles += [(b, i) for _, i in group]
                 continue
-            d = 0
-            while group:
+            for d in range(n + 64):
                 places = [self._place(h, d) for h, _ in group]
                 if len(set(places)) == len(places) and not any(used[p] for p in places):
                     break
-                d += 1
+            else:
+                return False
             self.displace[b] = d
-            for (_, i), p in zip(group, places if group else [], strict=True):
+            for (_, i), p in zip(group, places, strict=True):
                 used[p] = 1
                 self.slots[p] = (keys[i], i)
         free = (p for p in range(n) if not used[p])
@@ -76,13 +87,16 @@ class MinimalPerfectHash:
             p = next(free)
             self.displace[b] = -p - 1
             self.slots[p] = (keys[i], i)
+        return True
 
     def _place(self, h: int, d: int) -> int:
         return ((h >> 32) + d * ((h >> 20 & 0xFFF) * 2 + 1) + (d * d)) % self.n
 
     def find(self, key: bytes) -> int:
         """Index of ``key`` among the keys, or -1."""
-        h = xxhash.xxh64_intdigest(key)
+        if not self.n:
+            return -1
+        h = xxhash.xxh64_intdigest(key, self.seed)
         d = self.displace[h % self.n_buckets]
         held = self.slots[-d - 1 if d < 0 else self._place(h, d)]
         return held[1] if held[0] == key else -1
@@ -179,6 +193,7 @@ class TextEncoder:
     def __init__(self, words: Callable[[str], list[int]], pattern: str, typecode: str = "I", entries: int = CACHE_ENTRIES):
         self.ids_of, self.typecode = words, typecode
         self.split = regex.compile(pattern).findall
+        self.letters_alone = pattern == public_tokenizers.PATTERN  # in it, a space and letters are one match
         self.words = PieceCache(self._word, entries)
         self.spaced = PieceCache(self._spaced, entries)
 
@@ -187,8 +202,8 @@ class TextEncoder:
 
     def _spaced(self, piece: str) -> bytes | None:
         """Ids of a space and ``piece``; None if its white space may join that around it."""
-        if piece.isalpha() and max(piece) < "\u0250":
-            return self._word(" " + piece)  # letters alone are one match
+        if self.letters_alone and piece.isalpha() and max(piece) < "\u0250":
+            return self._word(" " + piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         first, *rest = self.split(" " + piece)
