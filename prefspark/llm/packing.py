@@ -1,6 +1,6 @@
 """Operator 4: packing along a space-filling curve.
 
-Each text is tokenised, its hashed bag of tokens is projected to three dimensions, and the
+Each text is tokenised (the plain library call's ids, ``rank_encoder``), its hashed bag of tokens is projected to three dimensions, and the
 place there becomes a Hilbert key. Documents are range-sorted by that key, so neighbours on the
 curve are alike, and the ids are laid end to end in this order and cut every ``size`` tokens.
 Sequences are full but for the end of the whole corpus, which is cut into powers of two, where
@@ -27,88 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefspark.llm import rank_encoder
 from prefspark.session import materialize
 
-CACHE_ENTRIES = 150_000  # pieces in one of two generations; memory only, results don't depend on it
-GROUP_CHARS = 500_000  # of the texts whose unknown pieces are encoded in one call
 DIMENSIONS = 3
 KEY_BITS = 16  # of each dimension
 HASHED = 4096  # token ids are hashed to so many features before the projection
 
 
-class LibraryEncoder:
-    """Ids by the ``tokenizers`` library, without special tokens, as packed 16-bit or 32-bit integers.
-
-    A byte-level tokenizer splits before every space between two other characters, so the ids of
-    such a piece don't depend on what stands around it and may be kept. The unknown pieces of
-    many texts are encoded in one call; each begins with its only token that has a space.
-    """
-
-    def __init__(self, json: str, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = "<u2" if n <= 1 << 16 else "<u4"
-        splits = self.tokenizer.pre_tokenizer.pre_tokenize_str("one two3 four,five\nsix  seven") if self.tokenizer.pre_tokenizer else []
-        self.by_piece = self.tokenizer.normalizer is None and [w for w, _ in splits] == ["one", "Ġtwo", "3", "Ġfour", ",", "five", "Ċ", "six", "Ġ", "Ġseven"]
-        self.begins = np.zeros(n, bool)  # tokens that begin with a space
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.begins[i] = token.startswith("Ġ")
-        self.entries, self.known, self.older = entries, {}, {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Keep the ids of the pieces that stand for themselves: those without white space at an end."""
-        if len(self.known) > self.entries:
-            self.older, self.known = self.known, {}
-        unknown = []
-        for piece in pieces:
-            if piece not in self.known:
-                packed = self.older.get(piece)
-                if packed is not None:
-                    self.known[piece] = packed
-                elif piece and not piece[0].isspace() and not piece[-1].isspace():
-                    unknown.append(piece)
-        if unknown:
-            ids = self._ids(" " + " ".join(unknown))
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(unknown):
-                raise ValueError("the tokenizer doesn't begin a token at every space")
-            raw, width = ids.tobytes(), ids.itemsize
-            at = [*(starts * width).tolist(), len(raw)]
-            self.known.update(zip(unknown, (raw[s:e] for s, e in zip(at, at[1:], strict=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out, at = [], 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= GROUP_CHARS):
-                group.append(texts[at].split(" ") if self.by_piece else [texts[at]])
-                size += len(texts[at])
-                at += 1
-            self._learn(set().union(*(pieces[1:] for pieces in group)))
-            for k, pieces in enumerate(group):
-                text = texts[at - len(group) + k]
-                packed = None
-                if len(pieces) > 1 and pieces[0] and not pieces[0][-1].isspace():
-                    try:
-                        packed = self._ids(pieces[0]).tobytes() + b"".join(map(self.known.__getitem__, pieces[1:]))
-                    except KeyError:  # white space next to a space
-                        packed = None
-                out.append(self._ids(text).tobytes() if packed is None else packed)
-        return out
-
-
-@functools.lru_cache(maxsize=1)
-def _encoder(json: str) -> LibraryEncoder:
-    """The Python worker's encoder; what it has learned serves the worker's later tasks, too."""
-    return LibraryEncoder(json)
-
-
 @functools.lru_cache(maxsize=1)
 def projection(n_ids: int, dimensions: int = DIMENSIONS, hashed: int = HASHED, seed: int = 7) -> np.ndarray:
     """Row of each id: its hashed feature's place in a fixed Gaussian projection."""
@@ -148,17 +74,23 @@ def hilbert_key(cells: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     return key
 
 
-def _tokenise(json_of: Callable[[], str], end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def id_type(n_ids: int) -> str:
+    """Packed unsigned integers of 16 or 32 bits."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def _tokenise(file_of: Callable[[], tuple[str, bool]], end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(json_of())
-        table = projection(max(end_id + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True)))
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encoder = rank_encoder.encoder(*file_of(), specials_as_text=False)
+        n_ids = max(end_id + 1, encoder.n_ids)
+        table, dtype = projection(n_ids), id_type(n_ids)
+        end = np.array([end_id], dtype)
         for batch in batches:
-            packed = [ids + end for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            places = np.zeros((len(packed), table.shape[1]))
-            lengths = []
-            for row, raw in enumerate(packed):
-                ids = np.frombuffer(raw, encoder.dtype)
+            packed, lengths = [], []
+            places = np.zeros((len(batch), table.shape[1]))
+            for row, text in enumerate(batch.column(1)):
+                ids = np.concatenate([encoder.encode([text.as_py() or ""])[0].astype(dtype), end])
+                packed.append(ids.tobytes())
                 places[row] = table[ids].sum(axis=0) / np.sqrt(len(ids))
                 lengths.append(len(ids))
             scale = 1 << KEY_BITS
@@ -233,8 +165,8 @@ def pack(docs: DataFrame, json_path: str, size: int = 1024, end_id: int = 0, id_
     spark = docs.sparkSession
     with open(json_path, encoding="utf-8") as f:
         json = f.read()
-    dtype = LibraryEncoder(json).dtype
-    held = spark.sparkContext.broadcast(json)  # the vocabulary file's size, not the data's
+    held = spark.sparkContext.broadcast((json, rank_encoder.is_plain(json)))  # the vocabulary file's size, not the data's
+    dtype = id_type(max(end_id + 1, rank_encoder.encoder(json, False, False).n_ids))
     pairs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = pairs.schema[0].dataType.simpleString()
     tokens = pairs.mapInArrow(_tokenise(lambda: held.value, end_id), f"doc_id {kind}, curve bigint, n bigint, ids binary")

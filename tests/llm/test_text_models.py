@@ -56,7 +56,26 @@ def test_perfect_hash_is_minimal_and_exact(codec):
     assert len(table.slots) == len(keys) and all(table.slots)
     assert [codec.ids[table.find(k)] for k in keys[:5000]] == [codec.rank[k] for k in keys[:5000]]
     assert table.find(b"certainly no token of this vocabulary") == -1
-    assert bpe.MinimalPerfectHash([]).n == 0
+    assert bpe.MinimalPerfectHash([]).n == 0 and bpe.MinimalPerfectHash([]).find(b"a") == -1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 257, 1000, 8000])
+def test_perfect_hash_is_found_at_every_size(n):
+    draw = random.Random(n)
+    for _ in range(3 if n > 1000 else 10):
+        keys = list({draw.randbytes(draw.randint(1, 12)) for _ in range(n)})
+        table = bpe.MinimalPerfectHash(keys)
+        assert [table.find(k) for k in keys] == list(range(len(keys)))
+        assert all(table.slots) and len(table.slots) == len(keys) and table.find(b"not one of the keys") == -1
+
+
+def test_other_patterns_split_as_they_say(codec):
+    capitals = r" ?[A-Z]?[a-z]+| ?[^a-z]"
+    other = bpe.BpeCodec(list(codec.rank.items()), capitals)
+    library = tiktoken.Encoding("own", pat_str=capitals, mergeable_ranks=codec.rank, special_tokens={})
+    encoder = bpe.TextEncoder(other.pretoken, capitals)
+    for text in ("one camelCase andSoOn", "A b CD e", "plain words only", "x Y1 zZ"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
 def test_encoder_equals_the_library(codec):
@@ -93,17 +112,8 @@ def test_hilbert_curve_visits_neighbours(d, bits):
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_library_encoder_equals_the_library():
-    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        encoder = packing.LibraryEncoder(f.read(), entries=50)
-    texts = odd_texts()
-    plain = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode(texts) == plain
-
-
 def packed_ok(docs, pieces, size):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = sorted([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs)
     by_sequence: dict = {}
     for p in pieces:
@@ -131,7 +141,9 @@ def packed_ok(docs, pieces, size):
 def test_pack(spark, edge_docs, no_docs):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     path = P.path("byte_bpe_50k.json")
-    for frame, size in ((docs, 1024), (edge_docs, 64), (docs.limit(1), 1 << 20)):
+    odd = [t.replace("!", "?") for t in ["hello <|endoftext|> world", *odd_texts(60)]]  # "!" has id 0, the end's
+    odd = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")
+    for frame, size in ((docs, 1024), (edge_docs, 64), (odd, 32), (docs.limit(1), 1 << 20)):
         packed_ok(frame.collect(), packing.pack(frame, path, size).collect(), size)
     assert packing.pack(no_docs, path).collect() == []
 
