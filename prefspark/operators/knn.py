@@ -1,14 +1,12 @@
 """Exact nearest-neighbour search and the reference's retrieval operators.
 
-Core: ``block_topk``.  Queries are split into ``Bq`` blocks and items into ``Bi``
-blocks by a hash of their ids (block sizes from a memory budget and the vector
-width); each query row is replicated once per item block
-and each item row once per query block, and the two sides meet in an equi-join
-(cogroup) on ``(qb, ib)``.  Each group holds at most one query block and one item
-block, whatever the data size, and computes one dense matrix product with a local
-tie-aware top-k.  The per-block candidates (``k`` per query per item block) are
-merged by a window on the query id.  Nothing passes through the driver except the
-row counts and width used to size the blocks, and no row pairs are materialised.
+Core: ``block_topk``.  Query vectors are written once and counted there.  While all
+items fit one block (by a memory budget and the vector width), each query block meets
+that block in a cogroup: one dense matrix product with a local tie-aware top-k.
+Larger catalogues go through pivot cells (``knn_cells``), where a query only meets the
+cells that can still hold a nearer item.  Groups hold at most one query block and one
+item block, whatever the data size.  Nothing passes through the driver except row
+counts, the width and the pivots, and no row pairs are materialised.
 """
 
 from __future__ import annotations
@@ -20,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.session import ship_package
+from prefspark.operators import knn_cells
+from prefspark.session import materialize, ship_package
 
 BLOCK_BYTES = 64 << 20  # memory budget of one item block (float64 matrix); query blocks get a quarter
 _CHUNK = 256  # query rows per matrix product inside a block (bounds the score matrix)
@@ -96,15 +95,19 @@ def block_topk(
     item_block: int | None = None,
     exclude: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
+    cells: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Exact top-``k`` items per query row.
 
     ``metric='l2'``: squared Euclidean distance ascending; ``'dot'``: inner product
     descending; ties broken by ``item_id``.  ``k`` is an int or a column name of
     ``queries`` (per-query k).  ``exclude`` (``qid_cols + [item_id]``) removes pairs
-    before ranking: each replicated query row carries its excluded ids *of that item
-    block* (at most the block size), so exclusion is exact and bounded even for a
-    query that excludes most of the catalogue.  Returns ``qid_cols + [item_id, score, rank]``.
+    before ranking: each query row carries its excluded ids *of the item block that it
+    meets* (at most the block size), so exclusion is exact and bounded even for a
+    query that excludes most of the catalogue.  ``cells`` asks for so many pivot cells
+    whatever the number of items; ``written`` says that ``queries`` is already a stored
+    table.  Returns ``qid_cols + [item_id, score, rank]``.
     """
     if metric not in ("l2", "dot"):
         raise ValueError(f"unknown metric {metric}")
@@ -112,43 +115,31 @@ def block_topk(
     ship_package(queries.sparkSession)
     k_col = F.col(k) if isinstance(k, str) else F.lit(int(k))
     q = queries.select(*qid_cols, F.col(query_col).alias("qvec"), k_col.cast("long").alias("k"))
+    q = q if written else materialize(q, "knn-queries")
     it = items.select("item_id", F.col(item_vec_col).alias("ivec"))
-
-    # Shuffle volume is nq * Bi + ni * Bq rows, so blocks are as large as the memory
-    # budget allows at this vector width (fewer blocks, less replication).
     nq = q.count()
     stats = it.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ivec")).alias("d")).first()
     ni, dim = int(stats["n"] or 0), max(int(stats["d"] or 1), 1)
     item_block = item_block or max(1024, block_bytes // (dim * 8))
     query_block = query_block or max(256, block_bytes // 4 // (dim * 8))
+    if cells is None and ni > item_block:
+        cells = knn_cells.cells_for(ni, item_block)
+    if cells and ni:
+        built, placed = knn_cells.build(it, cells, item_block, metric)
+        return knn_cells.topk(q, built, placed, _block_fn(metric, qid_cols), metric, qid_cols, query_block, exclude)
+    # One item block: it is copied to each query block, and a query's candidates are its answer.
     bq = max(1, math.ceil(nq / query_block))
-    bi = max(1, math.ceil(ni / item_block))
-    qhash = F.xxhash64(*qid_cols)
-    q_rep = q.select("*", F.pmod(qhash, F.lit(bq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bi - 1))).alias("ib"))
-    i_rep = it.select(
-        "*",
-        F.pmod(F.xxhash64("item_id"), F.lit(bi)).alias("ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"),
-    )
+    q_rep = q.select("*", F.pmod(F.xxhash64(*qid_cols), F.lit(bq)).alias("qb"))
+    i_rep = it.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"))
     if exclude is not None:
-        ex = exclude.select(*qid_cols, "item_id").select(
-            *qid_cols, "item_id", F.pmod(F.xxhash64("item_id"), F.lit(bi)).alias("ib")
-        ).groupBy(*qid_cols, "ib").agg(F.collect_list("item_id").alias("ex_ids"))
-        q_rep = q_rep.join(ex, [*qid_cols, "ib"], "left")
+        ex = exclude.select(*qid_cols, "item_id").groupBy(*qid_cols).agg(F.collect_list("item_id").alias("ex_ids"))
+        q_rep = q_rep.join(ex, qid_cols, "left")
     schema_fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*qid_cols).schema.fields]
     schema = ", ".join(schema_fields + ["item_id long", "score double"])
-    cand = (
-        q_rep.groupBy("qb", "ib")
-        .cogroup(i_rep.groupBy("qb", "ib"))
-        .applyInPandas(_block_fn(metric, qid_cols), schema)
-    )
+    cand = q_rep.groupBy("qb").cogroup(i_rep.groupBy("qb")).applyInPandas(_block_fn(metric, qid_cols), schema)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy(*qid_cols).orderBy(order, F.col("item_id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("long"))
-    if bi > 1:
-        kq = q.select(*qid_cols, "k")
-        ranked = ranked.join(kq, qid_cols).where(F.col("rank") <= F.col("k")).drop("k")
-    return ranked
+    return cand.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 # ---------------------------------------------------------------------------
@@ -213,9 +204,10 @@ def knn_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, n_items_co
         queries.join(cnt, "user_id", "left")
         .select("*", (n_items_col - F.coalesce(F.col("n_seen"), F.lit(0))).alias("_avail"))
         .where(F.col("_avail") > 0)
-        .select("*", F.least(F.lit(2 * k_candidates), F.col("_avail")).alias("_k"))
+        .select("user_id", "query", F.least(F.lit(2 * k_candidates), F.col("_avail")).alias("_k"))
     )
-    cand = block_topk(q, items, "_k", metric="l2")
+    q = materialize(q, "unseen-queries")  # read by the search and by the fallback
+    cand = block_topk(q, items, "_k", metric="l2", written=True)
     hit = (
         cand.join(seen, ["user_id", "item_id"], "left_anti")
         .groupBy("user_id")

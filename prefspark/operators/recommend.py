@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from prefspark.functions import draws
 from prefspark.operators import knn
 from prefspark.operators.profile import ucb_expr
+from prefspark.session import materialize
 
 
 def slot_probabilities(profile: DataFrame, beta: float, temperature: float = 1.0) -> DataFrame:
@@ -72,7 +73,8 @@ def query_vectors(
     chosen = sample_slot(slot_probabilities(profile, beta, temperature), seed, step)
     slot_vec = profile.select("user_id", "slot", F.col("embedding").alias("_vec"))
     exploit = chosen.join(slot_vec, ["user_id", "slot"])
-    gate = draws.with_random_unit_vector(gate, "_rvec", seed, F.col("_dim"), F.col("user_id"), step, "explore")
+    drawn = F.when(F.col("explore"), F.col("_dim")).otherwise(F.lit(1))  # who exploits needs no random vector
+    gate = draws.with_random_unit_vector(gate.withColumn("_dim", drawn), "_rvec", seed, F.col("_dim"), F.col("user_id"), step, "explore")
     rnd_vec = F.col("_rvec")
     out = gate.join(exploit, "user_id", "left").select(
         "user_id",
@@ -91,7 +93,8 @@ def recommend_batch(
 
     Users with nothing left to recommend get no row.
     """
-    q = query_vectors(users, profile, catalogue_dim, beta, exp_rate, seed, step, temperature)
+    # Written once: the search, its fallback and the answer all read the same draws.
+    q = materialize(query_vectors(users, profile, catalogue_dim, beta, exp_rate, seed, step, temperature), "query-vectors")
     rec = knn.knn_unseen(q.select("user_id", "query"), items, seen, n_items_col, k_candidates)
     return q.select("user_id", "mode", "slot").join(rec, "user_id")
 

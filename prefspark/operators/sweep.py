@@ -10,34 +10,34 @@ Bernoulli reward and folded into the state; the rest are skipped (replay
 evaluation at slot granularity).
 
 Layout: reactions (with one reward per profile in a map) are shuffled once per
-configuration block; each group streams one user's events in order through the
-iterator grouped map and runs every (configuration, profile) of its block side
-by side.  Block sizes are chosen per user from its event count, so a hot user is
-split over up to one task per configuration; the per-configuration state is bounded by
-``max_embeddings + 1``.  Output is per (config, profile, user, category) sums,
-aggregated to one row per (config, profile) in SQL.
+configuration block, behind one row with the block's configurations; a task streams
+its users' events in order and steps all runs of a block at once (``replay``).
+Block sizes are chosen per user from its event count, so a hot user's configurations
+are spread over several tasks. A task adds up its users' sums by (config, profile,
+category) before they are shuffled; SQL makes them one row per (config, profile).
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
-from typing import Any
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefspark.operators.evaluate import MAX_LOOKUP_ROWS, checked_broadcast
+from prefspark.operators.replay import PARAMS, Replay
 from prefspark.session import ship_package
-from pyspark.sql import types as Ty
 
-from prefspark.functions.draws import py_uniform_text
-from prefspark.operators.profile import FoldParams, ProfileState
-
-PARAM_ORDER = ["alpha", "gamma", "beta", "max_embeddings", "exp_rate", "n_components"]
+PARAM_ORDER = PARAMS
 MIN_SAMPLES = 10  # the evaluation fixes min_samples_before_removal at 10
+CONFIGS_PER_TASK = 512
+STEPS_PER_TASK = 20_000_000  # of an event under one configuration
+HELD_CONFIGS = 65_536  # configurations whose sums a task collects before it gives them out
+_WHOLE = ("max_embeddings", "n_components")
 
 
 def param_grid(grid: dict[str, list]) -> list[dict]:
@@ -51,116 +51,103 @@ def param_grid(grid: dict[str, list]) -> list[dict]:
     return out
 
 
-def grid_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
-    """The grid as a small table (configuration, not data)."""
-    schema = Ty.StructType(
-        [Ty.StructField("config_id", Ty.LongType())]
-        + [Ty.StructField(p, Ty.LongType() if p in ("max_embeddings", "n_components") else Ty.DoubleType()) for p in PARAM_ORDER]
-    )
-    rows = [
-        tuple([int(c["config_id"])] + [int(c[p]) if p in ("max_embeddings", "n_components") else float(c[p]) for p in PARAM_ORDER])
-        for c in configs
-    ]
-    return spark.createDataFrame(rows, schema)
+def grid_frame(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
+    """F9 as a table: the parameters' values crossed; ``config_id`` is the position in the product's order."""
+    crossed = spark.range(1)
+    for p in PARAM_ORDER:
+        values = [F.lit(int(v) if p in _WHOLE else float(v)).cast("long" if p in _WHOLE else "double") for v in grid[p]]
+        crossed = crossed.select("*", F.posexplode(F.array(*values)).alias(f"_{p}", p))
+    place = reduce(lambda acc, p: acc * len(grid[p]) + F.col(f"_{p}"), PARAM_ORDER, F.lit(0).cast("long"))
+    return crossed.select(place.alias("config_id"), *PARAM_ORDER)
+
 
+def _listed(spark: SparkSession, configs: list[dict]) -> DataFrame:
+    """Chosen configurations (dicts as ``param_grid`` gives them) as a table."""
+    kinds = ", ".join(f"{p} {'long' if p in _WHOLE else 'double'}" for p in PARAM_ORDER)
+    rows = [(int(c["config_id"]), *(int(c[p]) if p in _WHOLE else float(c[p]) for p in PARAM_ORDER)) for c in configs]
+    return spark.createDataFrame(rows, f"config_id long, {kinds}")
 
-_OUT_SCHEMA = (
-    "config_id long, profile string, user_id long, category string, n_events long, n_accepted long, "
+
+_CELLS = (
+    "config_id long, profile string, category string, n_events long, n_accepted long, "
     "sum_reward double, sum_sq_reward double, error string"
 )
 
 
-def _replay_fn(configs: list[dict], seed: int, min_samples: int):
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, user = int(key[0]), int(key[1])
-        batches = iter(batches)
-        first = next(batches, None)
-        if first is None:
-            return
-        per_task = int(first["_cpt"].iat[0])  # this user's configurations per task
-        batches = itertools.chain([first], batches)
-        mine = configs[block * per_task : (block + 1) * per_task]
-        # Key prefixes of the keyed draws, ``seed:config:user:`` (shared by all profiles).
-        prefixes = [f"{seed}:{int(c['config_id'])}:{user}:" for c in mine]
-        params = [FoldParams(alpha=c["alpha"], gamma=c["gamma"], beta=c["beta"], max_embeddings=int(c["max_embeddings"]),
-                             min_samples=min_samples) for c in mine]
-        states: dict[tuple[str, int], ProfileState] = {}
-        errors: dict[tuple[str, int], str | None] = {}
-        acc: dict[tuple[str, int], dict] = {}  # (profile, config) -> category -> [n_events, n_accepted, sum, sum_sq]
+class _Held:
+    """Sums of one block of configurations over a task's users."""
+
+    def __init__(self, ids: list[int]):
+        self.ids, self.sums, self.errors = ids, {}, {}
+
+    def add(self, replay: Replay) -> None:
+        for key, part in replay.sums().items():
+            self.sums[key] = self.sums.get(key, 0.0) + part
+        for key, error in replay.failures().items():
+            self.errors[key] = max(error, self.errors.get(key, error))
+
+    def rows(self) -> pd.DataFrame:
+        out = []
+        for (profile, category), (n, accepted, total, squares) in self.sums.items():
+            met = np.flatnonzero(n)
+            out.append(pd.DataFrame({
+                "config_id": np.array(self.ids)[met], "profile": profile, "category": pd.Series([category] * len(met), dtype=object),
+                "n_events": n[met].astype(np.int64), "n_accepted": accepted[met].astype(np.int64), "sum_reward": total[met], "sum_sq_reward": squares[met],
+                "error": pd.Series([self.errors.get((profile, c)) for c in met.tolist()], dtype=object),
+            }))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in _CELLS.split(", ")])
+
+
+def _replays(seed: int, min_samples: int):
+    """Rows sorted by (block, user, configurations first, time): every user's replay, summed up over the task's users."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, replay, held, size = None, None, {}, 0
         for pdf in batches:
-            vecs = pdf["vec"].to_numpy()
-            cats = pdf["category"].to_numpy()
-            rewards = pdf["rewards"].to_numpy()
-            eids = pdf["event_id"].to_numpy()
-            for j in range(len(pdf)):
-                v_full = np.asarray(vecs[j], dtype=np.float64)
-                cat, eid = cats[j], int(eids[j])
-                by_profile = dict(rewards[j])
-                by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # n_components -> (vector, unit)
-                gate_u: dict[int, float] = {}
-                for ci, c in enumerate(mine):
-                    rate = c["exp_rate"]
-                    for profile, r in by_profile.items():
-                        k = (profile, ci)
-                        if errors.get(k) is not None:
-                            continue
-                        cell = acc.setdefault(k, {}).setdefault(cat, [0, 0, 0.0, 0.0])
-                        cell[0] += 1
-                        try:
-                            st = states.get(k)
-                            if st is None:
-                                st = states[k] = ProfileState(params[ci])
-                            n_comp = int(c["n_components"])
-                            if n_comp not in by_dim:
-                                v = v_full[:n_comp] if 0 < n_comp < len(v_full) else v_full
-                                by_dim[n_comp] = (v, ProfileState.unit_of(v))
-                            v, u = by_dim[n_comp]
-                            if not st.prefs:
-                                accept = True
-                            else:
-                                if ci not in gate_u:
-                                    gate_u[ci] = py_uniform_text(f"{prefixes[ci]}{eid}:gate") if rate > 0.0 else 1.0
-                                if gate_u[ci] < rate:
-                                    accept = True
-                                else:
-                                    probs = st.probabilities()
-                                    draw = py_uniform_text(f"{prefixes[ci]}{eid}:slot")
-                                    cum, chosen = 0.0, len(probs) - 1
-                                    for si, pr in enumerate(probs):
-                                        cum += pr
-                                        if cum > draw:
-                                            chosen = si
-                                            break
-                                    accept = float(st.unit[chosen] @ u) >= st.p.gamma
-                            if accept:
-                                st.react(v, r, None, u)
-                                cell[1] += 1
-                                cell[2] += r
-                                cell[3] += r * r
-                        except Exception as e:  # noqa: BLE001 - a failing configuration is reported, not fatal
-                            errors[k] = f"{type(e).__name__}: {e}"
-        rows = []
-        for (profile, ci), per_cat in acc.items():
-            cid = int(mine[ci]["config_id"])
-            for cat, (ne, na, s, s2) in per_cat.items():
-                rows.append((cid, profile, user, cat, ne, na, s, s2, errors.get((profile, ci))))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in _OUT_SCHEMA.split(", ")])
+            blocks, users = pdf["cfg_block"].to_numpy(), pdf["user_id"].to_numpy()
+            columns = [pdf[c].to_numpy() for c in ("configs", "vec", "event_id", "category", "rewards")]
+            for j, (configs, vec, event_id, category, rewards) in enumerate(zip(*columns, strict=True)):
+                if (blocks[j], users[j]) == group:
+                    replay.step(np.asarray(vec, np.float64), int(event_id), category, dict(rewards))
+                    continue
+                if replay:
+                    here.add(replay)
+                group = (blocks[j], users[j])
+                ids = [int(c["config_id"]) for c in configs]
+                if (ids[0], len(ids)) not in held:  # blocks are runs of the grid
+                    size += len(ids)
+                    if size > HELD_CONFIGS:
+                        yield from (h.rows() for h in held.values())
+                        held, size = {}, len(ids)
+                    held[ids[0], len(ids)] = _Held(ids)
+                here = held[ids[0], len(ids)]
+                params = np.array([[c[p] for p in PARAM_ORDER] for c in configs], np.float64)
+                replay = Replay(ids, params, [f"{seed}:{i}:{int(users[j])}:" for i in ids], min_samples)
+        if replay:
+            here.add(replay)
+        yield from (h.rows() for h in held.values())
 
     return run
 
 
 def sweep_replay(
-    events: DataFrame, preferences: DataFrame, configs: list[dict], seed: int = 42, configs_per_task: int = 12,
-    min_samples: int = MIN_SAMPLES, partitions: int | None = None, steps_per_task: int = 2_000_000,
+    events: DataFrame, preferences: DataFrame, grid: DataFrame | list[dict], seed: int = 42, configs_per_task: int = CONFIGS_PER_TASK,
+    min_samples: int = MIN_SAMPLES, partitions: int | None = None, steps_per_task: int = STEPS_PER_TASK,
 ) -> DataFrame:
     """one result row per (configuration, preference profile).
 
     ``events``: user_id, ts, event_id, vec, category, ``rewards`` (map profile ->
     reward, see ``evaluate.bernoulli_reward_map``): one row per event, so each
-    event and its vector are shuffled once per configuration block only.
+    event and its vector are shuffled once per configuration block only. ``grid``:
+    the configurations (``grid_frame``), or a list of chosen ones.
+
+    ``n_components`` takes that many leading coordinates of ``vec`` (0: all) and
+    normalises them; over ``features.nested_catalogue`` these are the reduced
+    catalogues of that many components.
     """
     spark = events.sparkSession
     ship_package(spark)
+    grid = _listed(spark, grid) if isinstance(grid, list) else grid
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Configurations per task, per user: a user with many events gets fewer per task
     # (down to one), so a hot user's replay is spread over up to one task per
@@ -168,23 +155,25 @@ def sweep_replay(
     per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     cpt = F.greatest(F.lit(1), F.least(F.lit(configs_per_task), (F.lit(steps_per_task) / F.col("_n")).cast("int")))
     sized = per_user.select("user_id", cpt.alias("_cpt"))
-    rows = events.join(sized, "user_id").select(
-        "user_id", "ts", "event_id", "vec", "category", "rewards", "_cpt",
-        F.explode(F.sequence(F.lit(0), F.ceil(F.lit(len(configs)) / F.col("_cpt")).cast("int") - 1)).alias("cfg_block"),
-    )
-    cells = (
-        rows.repartition(n, "cfg_block", "user_id")
-        .sortWithinPartitions("cfg_block", "user_id", "ts", "event_id")
-        .groupBy("cfg_block", "user_id")
-        .applyInPandas(_replay_fn(configs, seed, min_samples), _OUT_SCHEMA)
+    placed = grid.withColumn("_at", F.row_number().over(Window.orderBy("config_id")) - 1)  # the grid is configuration, not data
+    # One row for each block of each block size that occurs, with its (at most ``configs_per_task``) configurations.
+    blocks = sized.select("_cpt").distinct().crossJoin(placed).groupBy("_cpt", F.floor(F.col("_at") / F.col("_cpt")).cast("int").alias("cfg_block"))
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("config_id", *PARAM_ORDER))).alias("configs"))
+    by_user = sized.join(blocks, "_cpt").select("user_id", "cfg_block", "configs")
+    event_cols = ["ts", "event_id", "vec", "category", "rewards"]
+    kinds = {f.name: f.dataType for f in events.select(*event_cols).schema.fields}
+    heads = by_user.select("cfg_block", "user_id", F.lit(0).alias("kind"), "configs", *[F.lit(None).cast(kinds[c]).alias(c) for c in event_cols])
+    steps = events.join(by_user.select("user_id", "cfg_block"), "user_id").select(
+        "cfg_block", "user_id", F.lit(1).alias("kind"), F.lit(None).cast(heads.schema["configs"].dataType).alias("configs"), *event_cols,
     )
-    return summarise(cells, preferences, grid_frame(spark, configs))
+    ordered = heads.unionByName(steps).repartition(n, "cfg_block", "user_id").sortWithinPartitions("cfg_block", "user_id", "kind", "ts", "event_id")
+    return summarise(ordered.mapInPandas(_replays(seed, min_samples), _CELLS), preferences, grid)
 
 
 def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> DataFrame:
-    """F4-F8 per (config, profile) from per-(config, profile, user, category) sums.
+    """F4-F8 per (config, profile) from the tasks' (config, profile, category) sums.
 
-    The grouped-map output has a single consumer (one aggregate), and each
+    The replay's output has a single consumer (one aggregate), and each
     (config, profile) row then carries its bounded per-category list, so the
     replay runs exactly once; alignment, diversity and the zero-filled counts are
     array expressions on that row.
@@ -202,6 +191,7 @@ def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> Data
         F.sum(F.col("p") * F.col("p")).alias("sum_p2"),
         F.array_sort(F.collect_set("category")).alias("all_cats"),
     )
+    small = preferences.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS  # ``prof`` holds them all, by profile
     cats = F.col("cats")
 
     def total(field):
@@ -216,7 +206,7 @@ def summarise(cells: DataFrame, preferences: DataFrame, grid: DataFrame) -> Data
     avg = F.try_divide(F.col("total_reward"), F.col("n_accepted"))
     var = F.try_divide(F.col("_s2"), F.col("n_accepted")) - avg * avg
     params = F.struct(*[F.col(p) for p in PARAM_ORDER]).alias("params")
-    res = per_run.join(F.broadcast(prof), "profile").join(F.broadcast(grid), "config_id").select(
+    res = per_run.join(F.broadcast(prof) if small else prof, "profile").join(checked_broadcast(grid), "config_id").select(
         "*",
         total("s").alias("total_reward"), total("s2").alias("_s2"),
         n_acc.cast("long").alias("n_accepted"), total("n_events").cast("long").alias("n_events"),

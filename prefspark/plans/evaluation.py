@@ -51,12 +51,9 @@ def q_bernoulli_reward(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_unmatched_reactions(spark: SparkSession, sf: str) -> DataFrame:
-    """reactions that find no item in a catalogue without its every seventh item, or no probability in a
-    profile without one category."""
-    items = T.items(spark, sf)
-    lost_item = EV.unmatched(T.reactions(spark, sf), items.where("item_id % 7 != 0"), "item_id", "no such item")
-    given = T.preferences(spark, sf).where("profile = 'focused' and category != 'c1'")
-    lost_category = EV.unmatched(events_with_category(spark, sf), given, "category", "no such category")
+    """reactions that find no item in the catalogue, or no probability in a profile, with the reason."""
+    lost_item = EV.unmatched(T.reactions(spark, sf), T.items(spark, sf), "item_id", "no such item")
+    lost_category = EV.unmatched(events_with_category(spark, sf), T.preferences(spark, sf), "category", "no such category")
     return lost_item.select("event_id", "item_id", "reason").unionByName(lost_category.select("event_id", "item_id", "reason"))
 
 
@@ -87,26 +84,29 @@ def q_reward_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*RUN, "total_reward", rnd("avg_reward").alias("avg_reward"), rnd("reward_std").alias("reward_std"))
 
 
-def _observed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).groupBy(*RUN, "category").agg(F.count(F.lit(1)).alias("n"))
+def _observed_counts(spark: SparkSession, sf: str, preferences: DataFrame) -> DataFrame:
+    runs = EV.bernoulli_reward(events_with_category(spark, sf), preferences, SEED)
+    return runs.groupBy(*RUN, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_preference_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """squared-error alignment of observed shares with the profile."""
-    a = EV.alignment_and_diversity(_observed_counts(spark, sf), RUN, T.preferences(spark, sf), F.col("profile"))
+    prefs = T.preferences(spark, sf)
+    a = EV.alignment_and_diversity(_observed_counts(spark, sf, prefs), RUN, prefs, F.col("profile"))
     return a.select(*RUN, rnd("preference_alignment").alias("preference_alignment"))
 
 
 def q_diversity_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """F8: entropy of each user's category shares."""
-    a = EV.alignment_and_diversity(_observed_counts(spark, sf), RUN, T.preferences(spark, sf), F.col("profile"))
-    return a.where(F.col("profile") == "balanced").select("user_id", rnd("diversity_score").alias("diversity_score"))
+    prefs = T.preferences(spark, sf).where("profile = 'balanced'")  # the score doesn't depend on the profile
+    a = EV.alignment_and_diversity(_observed_counts(spark, sf, prefs), RUN, prefs, F.col("profile"))
+    return a.select("user_id", rnd("diversity_score").alias("diversity_score"))
 
 
 def sweep(spark: SparkSession, sf: str, grid: dict) -> DataFrame:
     ev = P.attach_vectors(events_with_category(spark, sf), T.items(spark, sf))
     ev = EV.bernoulli_reward_map(ev, T.preferences(spark, sf), SEED)
-    return SW.sweep_replay(ev, T.preferences(spark, sf), SW.param_grid(grid), SEED)
+    return SW.sweep_replay(ev, T.preferences(spark, sf), SW.grid_frame(spark, grid), SEED)
 
 
 def q_sweep_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,9 +239,8 @@ ORACLES = {
     "item_category_join": _q("SELECT event_id, user_id, item_id, category FROM ev", "ev"),
     "bernoulli_reward": _q("SELECT profile, event_id, category, sim_reward FROM sim", "ev", "sim"),
     "unmatched_reactions": _q(
-        """SELECT event_id, item_id, 'no such item' AS reason FROM reactions WHERE item_id % 7 = 0
-           UNION ALL SELECT event_id, item_id, 'no such category' AS reason FROM ev
-           WHERE category NOT IN (SELECT category FROM preferences WHERE profile = 'focused' AND category <> 'c1')""",
+        """SELECT event_id, item_id, 'no such item' AS reason FROM reactions WHERE item_id NOT IN (SELECT item_id FROM items)
+           UNION ALL SELECT event_id, item_id, 'no such category' AS reason FROM ev WHERE category NOT IN (SELECT category FROM preferences)""",
         "ev",
     ),
     "validate_profile_keys": T.with_views(

@@ -13,6 +13,7 @@ K_L2 = 10
 K_UNSEEN = 3
 K_CANDIDATES = 10
 GAMMA_C1 = 0.28
+CELLS = 16  # so that the given catalogues, which fit one block, are partitioned too
 
 
 def q_knn_l2(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +22,12 @@ def q_knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return res.select("user_id", "item_id", "rank", rnd("score").alias("sq_dist"))
 
 
+def q_knn_l2_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 through pivot cells: the same neighbours, with cells that can't hold a nearer item left out."""
+    res = knn.block_topk(liked_queries(spark, sf), T.items(spark, sf), K_L2, metric="l2", cells=CELLS)
+    return res.select("user_id", "item_id", "rank", rnd("score").alias("sq_dist"))
+
+
 def q_knn_unseen_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The 3 nearest items each user has never reacted to."""
     res = knn.knn_unseen_exact(liked_queries(spark, sf), T.items(spark, sf), T.seen(spark, sf), K_UNSEEN)
@@ -140,8 +147,11 @@ ORACLES = {
     ),
 }
 
+ORACLES["knn_l2_cells"] = ORACLES["knn_l2"]
+
 QUERIES = {
     "knn_l2": q_knn_l2,
+    "knn_l2_cells": q_knn_l2_cells,
     "knn_unseen_exact": q_knn_unseen_exact,
     "knn_cosine": q_knn_cosine,
     "knn_unseen": q_knn_unseen,
