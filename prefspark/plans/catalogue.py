@@ -2,18 +2,80 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions import vectors as V
 from prefspark.operators import features as FE
 from prefspark.operators import mapview as MV
+from prefspark.operators import moments as MO
+from prefspark.operators import profile as P
 from prefspark.plans import profiles as PP
 from prefspark.plans.common import LIKED_QUERIES_SQL, liked_queries, rnd
+from prefspark.plans.foldsql import fold_ctes
 from prefspark.session import materialize
 from prefspark.sources import tables as T
 
 N_COMPONENTS = 16
+FIRST = F.col("category").isin("c0", "c1", "c2", "c3", "c4")  # the items of the first fit; the others come later
+SMALL = P.FoldParams(alpha=0.2, gamma=0.28, beta=2.0, max_embeddings=2, min_samples=3)
+
+
+def grown_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of a first part of the catalogue, stored, then merged with the state of the later items."""
+    items = T.items(spark, sf)
+    stored = materialize(MO.moments(items.where(FIRST)), "moments")
+    return materialize(MO.merge(stored, MO.moments(items.where(~FIRST))), "moments")
+
+
+def nested_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Items on all principal axes of the grown fit; every reduced catalogue is its first columns."""
+    return MO.project(T.items(spark, sf), MO.solve(grown_state(spark, sf)))
+
+
+def q_moments_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """B3 incremental: mean and covariance of every pair of dimensions, from merged states of two parts."""
+    state = grown_state(spark, sf).select("dim", "n", F.posexplode("scatter").alias("dim_j", "s"), "means")
+    return state.select(
+        F.col("dim").cast("long").alias("dim_i"), F.col("dim_j").cast("long").alias("dim_j"), "n",
+        (rnd(F.col("means")[F.col("dim")]) + F.lit(0.0)).alias("mean"), (rnd(F.col("s") / F.col("n")) + F.lit(0.0)).alias("covariance"),
+    )
+
+
+def q_standardise_new(spark: SparkSession, sf: str) -> DataFrame:
+    """B2: all items, those that came later too, by the mean and scale of the first part's stored state."""
+    items = T.items(spark, sf)
+    fit = MO.solve(materialize(MO.moments(items.where(FIRST)), "moments"))
+    z = MO.standardise(items.select("item_id", "embedding"), fit)
+    return z.select("item_id", F.posexplode("embedding").alias("dim", "z")).select("item_id", F.col("dim").cast("long").alias("dim"), (rnd("z") + F.lit(0.0)).alias("z"))
+
+
+def q_pca_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Trace of the solved matrix, variance that all axes and the projected items hold, largest
+    departure of the axes from orthonormal, and largest residual of an axis."""
+    fit = MO.solve(grown_state(spark, sf))
+    lengths = MO.project(T.items(spark, sf), fit).agg((F.sum(V.dot("embedding", "embedding")) / F.count(F.lit(1))).alias("projected"))
+    departure = abs(fit.axes.T @ fit.axes - np.eye(len(fit.mean))).max()
+    residual = abs(fit.correlation @ fit.axes - fit.axes * fit.variances).max()
+    values = {"n": F.lit(fit.n).cast("long"), "trace": F.lit(float(np.trace(fit.correlation))), "variances": F.lit(float(fit.variances.sum())), "projected": F.col("projected"),
+              "departure": F.lit(float(departure)), "residual": F.lit(float(residual))}
+    return lengths.select(*[(c if k == "n" else rnd(c)).alias(k) for k, c in values.items()])
+
+
+def q_catalogue_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner product of each item with the next one in the catalogue of all components."""
+    cat = MO.reduced(nested_catalogue(spark, sf).select("item_id", "embedding"), 1 << 20)
+    following = cat.select((F.col("item_id") - 1).alias("item_id"), F.col("embedding").alias("following"))
+    return cat.join(following, "item_id").select("item_id", (rnd(V.dot("embedding", "following")) + F.lit(0.0)).alias("product"))
+
+
+def q_project_2d_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances on the map of profiles folded to at most three slots, which a plane holds exactly."""
+    xy = FE.project_2d(materialize(PP.folded(spark, sf, SMALL), "small-profiles"))
+    other = xy.select("user_id", F.col("slot").alias("slot_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
+    d = F.sqrt((F.col("x") - F.col("x_b")) ** 2 + (F.col("y") - F.col("y_b")) ** 2)
+    return xy.join(other, "user_id").where("slot < slot_b").select("user_id", F.col("slot").alias("slot_a"), "slot_b", rnd(d, 4).alias("distance"))
 
 
 def q_standardise_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +149,42 @@ def q_map_legend(spark: SparkSession, sf: str) -> DataFrame:
                     rnd("legend_max").alias("legend_max"), "total_embeddings", "similarity_threshold", "min_samples")
 
 
+_ENTRIES = """SELECT item_id, category, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM items"""
+_FIRST_SQL = "category IN ('c0', 'c1', 'c2', 'c3', 'c4')"
+
+
+def _scaled_sql(where: str) -> str:
+    """Entries by the mean and population deviation (1 where it is 0) of the rows under ``where``."""
+    return f"""SELECT e.item_id, e.dim, (e.x - s.m) / CASE WHEN s.d = 0 THEN 1 ELSE s.d END AS z, s.d FROM entries e
+        JOIN (SELECT dim, avg(x) AS m, stddev_pop(x) AS d FROM entries WHERE {where} GROUP BY dim) s USING (dim)"""
+
+
 ORACLES = {
+    "moments_merge": T.with_views(
+        """SELECT CAST(a.dim AS BIGINT) AS dim_i, CAST(b.dim AS BIGINT) AS dim_j, count(*) AS n, round(avg(a.x), 6) + 0.0 AS mean,
+                  round(covar_pop(a.x, b.x), 6) + 0.0 AS covariance
+           FROM entries a JOIN entries b USING (item_id) GROUP BY a.dim, b.dim""",
+        "items", extra={"entries": _ENTRIES},
+    ),
+    "standardise_new": T.with_views(
+        "SELECT item_id, CAST(dim AS BIGINT) AS dim, round(z, 6) + 0.0 AS z FROM scaled", "items", extra={"entries": _ENTRIES, "scaled": _scaled_sql(_FIRST_SQL)}
+    ),
+    "pca_invariants": T.with_views(
+        """SELECT (SELECT count(*) FROM items) AS n, round(CAST(count(*) AS DOUBLE), 6) AS trace, round(CAST(count(*) AS DOUBLE), 6) AS variances,
+                  round(sum(v), 6) AS projected, CAST(0 AS DOUBLE) AS departure, CAST(0 AS DOUBLE) AS residual
+           FROM (SELECT dim, var_pop(z) AS v FROM scaled WHERE d > 0 GROUP BY dim)""",
+        "items", extra={"entries": _ENTRIES, "scaled": _scaled_sql("true")},
+    ),
+    "catalogue_products": T.with_views(
+        """SELECT a.item_id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS product FROM rows_ a JOIN rows_ b ON b.item_id = a.item_id + 1""",
+        "items", extra={"entries": _ENTRIES, "scaled": _scaled_sql("true"), "rows_": "SELECT item_id, list(z ORDER BY dim) AS v FROM scaled GROUP BY item_id"},
+    ),
+    "project_2d_distances": T.with_views(
+        """SELECT a.user_id, a.slot AS slot_a, b.slot AS slot_b, round(list_distance(i.embedding::DOUBLE[], j.embedding::DOUBLE[]), 4) AS distance
+           FROM fold_slots a JOIN fold_slots b ON a.user_id = b.user_id AND a.slot < b.slot
+           JOIN items i ON i.item_id = a.item_id JOIN items j ON j.item_id = b.item_id""",
+        "items", "reactions", extra=fold_ctes(SMALL),
+    ),
     "standardise_fit": """SELECT CAST(i - 1 AS BIGINT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
         FROM (SELECT unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY i""",
     "catalogue_build": T.with_views(
@@ -127,6 +224,11 @@ ORACLES = {
 }
 
 QUERIES = {
+    "moments_merge": q_moments_merge,
+    "standardise_new": q_standardise_new,
+    "pca_invariants": q_pca_invariants,
+    "catalogue_products": q_catalogue_products,
+    "project_2d_distances": q_project_2d_distances,
     "standardise_fit": q_standardise_fit,
     "catalogue_build": q_catalogue_build,
     "pca_fit": q_pca_fit,

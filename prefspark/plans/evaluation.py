@@ -15,8 +15,10 @@ from prefspark.functions.draws import sql_uniform
 from prefspark.operators import evaluate as EV
 from prefspark.operators import profile as P
 from prefspark.operators import sweep as SW
+from prefspark.plans.catalogue import nested_catalogue
 from prefspark.plans.common import rnd
 from prefspark.plans.foldsql import replay_ctes
+from prefspark.session import materialize
 from prefspark.sources import tables as T
 from prefspark.sources.profiles import NEWSGROUP_PROFILES, preferences_from_dict, preferences_sql
 
@@ -29,6 +31,7 @@ GRID = {
     "exp_rate": [0.2, 1.0],
     "n_components": [64],
 }
+COMPONENTS_GRID = {**GRID, "alpha": [0.2], "beta": [2.0], "exp_rate": [0.2], "n_components": [8, 16, 32, 64]}
 RUN = ["profile", "user_id"]
 
 
@@ -117,6 +120,19 @@ def q_sweep_replay(spark: SparkSession, sf: str) -> DataFrame:
                     F.map_values("result_preferences").alias("category_counts"), "n_accepted", "n_events", "error")
 
 
+def q_sweep_components(spark: SparkSession, sf: str) -> DataFrame:
+    """F10 over reduced catalogues (B6): one projection, of which each configuration reads its first components.
+
+    Rows-only: principal axes are beyond SQL; tests compare with runs one by one.
+    """
+    cat = materialize(nested_catalogue(spark, sf), "nested-catalogue")
+    ev = P.attach_vectors(events_with_category(spark, sf), cat)
+    ev = EV.bernoulli_reward_map(ev, T.preferences(spark, sf), SEED)
+    r = SW.sweep_replay(ev, T.preferences(spark, sf), SW.grid_frame(spark, COMPONENTS_GRID), SEED)
+    flat = EV.flatten_results(r)
+    return flat.select(*[rnd(c).alias(c) if c in ("avg_reward", "reward_std", "preference_alignment", "diversity_score") else c for c in _FLAT_COLS])
+
+
 _FLAT_COLS = ["config_id", *SW.PARAM_ORDER, "preference_type", "total_reward", "avg_reward", "reward_std",
               "preference_alignment", "diversity_score", "n_accepted", "n_events"]
 
@@ -331,6 +347,7 @@ QUERIES = {
     "preference_alignment": q_preference_alignment,
     "diversity_entropy": q_diversity_entropy,
     "sweep_replay": q_sweep_replay,
+    "sweep_components": q_sweep_components,
     "flatten_results": q_flatten_results,
     "best_config": q_best_config,
     "param_impact": q_param_impact,

@@ -20,6 +20,7 @@ from prefspark.sources import ingest as I
 from prefspark.sources import tables as T
 
 EMBED_DIM = 64
+DIM = 64  # of the catalogue's vectors
 SEED = 42
 
 
@@ -59,6 +60,30 @@ def q_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_csv_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: items whose CSV has rows and vectors of every fault, read back: the reason of each row, null for the good ones."""
+    i, head = F.col("item_id"), F.slice("embedding", 1, DIM - 1).cast("array<string>")
+    vector = (
+        F.when(i % 11 == 3, F.lit("no vector")).when(i % 11 == 5, F.to_json(F.slice("embedding", 1, DIM - 1)))
+        .when(i % 11 == 7, F.concat(F.lit("["), F.array_join(head, ","), F.lit(",null]")))
+        .when(i % 11 == 9, F.concat(F.lit("["), F.array_join(head, ","), F.lit(",NaN]"))).otherwise(F.to_json("embedding"))
+    )
+    faulty = T.items(spark, sf).select(
+        F.when(i % 13 == 1, F.concat(F.lit("x"), i)).otherwise(i.cast("string")).alias("item_id"), "item_key", "category", vector.alias("embedding")
+    )
+    path = scratch_path(spark, "faulty-csv")
+    faulty.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    good, bad = I.read_quarantined(spark, path, _ITEM_CSV_SCHEMA, "embedding", DIM)
+    return good.select("item_key", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("item_key", "reason"))
+
+
+def q_input_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and rows of every input table, one that isn't there, and one without a required column."""
+    root = sf.rstrip("/")
+    inputs = {t: (f"{root}/{t}.parquet", ()) for t in T.TABLES} | {"absent": (f"{root}/absent.parquet", ()), "untitled": (f"{root}/documents.parquet", ("doc_id", "title"))}
+    return I.input_status(spark, inputs)
+
+
 def q_csv_union_strings(spark: SparkSession, sf: str) -> DataFrame:
     """A5 + A7: two CSV files with different column sets, read as strings, aligned by name."""
     items = T.items(spark, sf)
@@ -103,6 +128,14 @@ def q_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 _KEY = "source || '/' || CAST(doc_id AS VARCHAR) || '.' || lang || '.txt'"
 
 ORACLES = {
+    "csv_quarantine": T.with_views(
+        """SELECT item_key, CASE WHEN item_id % 13 = 1 THEN 'malformed row' WHEN item_id % 11 = 3 THEN 'malformed vector'
+                  WHEN item_id % 11 = 5 THEN 'wrong length' WHEN item_id % 11 = 7 THEN 'null element'
+                  WHEN item_id % 11 = 9 THEN 'non-finite element' END AS reason FROM items""",
+        "items",
+    ),
+    "input_status": " UNION ALL ".join(f"SELECT '{t}' AS name, 'ok' AS status, count(*) AS n_rows FROM {t}" for t in T.TABLES)
+    + " UNION ALL SELECT 'absent', 'missing', NULL UNION ALL SELECT 'untitled', 'no column title', count(*) FROM documents",
     "corpus_scan": f"SELECT doc_id, {_KEY} AS item_key, source AS category, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
     "embed_corpus": f"""WITH tok AS (
             SELECT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{I.TOKEN_SPLIT}')) AS t
@@ -137,6 +170,8 @@ QUERIES = {
     "embed_corpus": q_embed_corpus,
     "category_from_path": q_category_from_path,
     "csv_round_trip": q_csv_round_trip,
+    "csv_quarantine": q_csv_quarantine,
+    "input_status": q_input_status,
     "csv_union_strings": q_csv_union_strings,
     "seeded_shuffle": q_seeded_shuffle,
     "assign_item_id": q_assign_item_id,

@@ -14,8 +14,9 @@ from prefspark.operators import profile as P
 from prefspark.operators.scan import ordered_scan
 from prefspark.plans.common import rnd
 from prefspark.plans.foldsql import fold_ctes
-from prefspark.session import materialize
+from prefspark.session import materialize, scratch_path
 from prefspark.sources import tables as T
+from prefspark.sources.store import StateStore
 
 # Settings under which the fold's slots are SQL-derivable (FIXTURES.md section 3).
 EXACT = P.FoldParams(alpha=0.2, gamma=0.999, beta=2.0, max_embeddings=100, min_samples=10)
@@ -58,6 +59,27 @@ def q_profile_fold_resume(spark: SparkSession, sf: str) -> DataFrame:
     return _slot_cols(P.resume_profiles(snap, second, EVICTING))
 
 
+def add_reactions(store: StateStore, reactions: DataFrame, params: P.FoldParams) -> int:
+    """D9 over a store: fold new reactions into their users' stored profiles; the new version."""
+    stored = store.read_keys(reactions)
+    folded_now = P.fold_profiles(reactions, params) if stored is None else P.resume_profiles(stored, reactions, params)
+    return store.update(materialize(folded_now, "profile-increment"))
+
+
+def q_profile_store_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """All reactions in three increments by time, each folded into a versioned store; the last version."""
+    r = reactions_with_vec(spark, sf)
+    edges = T.table(spark, sf, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cuts = [edges["a"] + (edges["b"] - edges["a"]) * k / 3 for k in (1, 2)] if edges["a"] is not None else []
+    store = StateStore(spark, scratch_path(spark, "profile-store"))
+    part = sum((F.col("ts") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    for k in range(3):
+        add_reactions(store, r.where(part == k), EVICTING)
+    return _slot_cols(store.read())
+
+
+
+
 def q_profile_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Totals per user from the fold at the recommender's defaults."""
     snap = folded(spark, sf, DEFAULT)
@@ -158,6 +180,7 @@ def fold_sql(body: str, params: P.FoldParams) -> str:
 ORACLES = {
     "profile_fold": fold_sql(_SLOTS_SQL, EXACT),
     "profile_fold_resume": fold_sql(_SLOTS_SQL, EVICTING),
+    "profile_store_increments": fold_sql(_SLOTS_SQL, EVICTING),
     "profile_fold_evicting": fold_sql(
         """SELECT user_id, slot, item_id, round(preference, 6) AS preference, rewards_received, total_rewards,
                   round(reward_average, 6) AS reward_average, matches, evictions FROM fold_slots""",
@@ -217,6 +240,7 @@ ORACLES = {
 QUERIES = {
     "profile_fold": q_profile_fold,
     "profile_fold_resume": q_profile_fold_resume,
+    "profile_store_increments": q_profile_store_increments,
     "profile_stats": q_profile_stats,
     "profile_fold_evicting": q_profile_fold_evicting,
     "profile_step": q_profile_step,

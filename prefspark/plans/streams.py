@@ -25,18 +25,18 @@ def q_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The streamed fold's current profiles, with matching and eviction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "profiles-out"), scratch_path(spark, "profiles-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    S.write_time_slices(staged, src, "ts", SLICES)
-    S.run_profile_stream(spark, src, sink, ck, PP.EVICTING)
+    S.arrive_in_slices(staged, src, "ts", SLICES, lambda: S.run_profile_stream(spark, src, sink, ck, PP.EVICTING))
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
 def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
-    """D10 in strict event-time order (watermark, delay 0): the profiles folded from every
-    row the final watermark covers; a user's rows newer than it stay buffered in state."""
+    """D10 in strict event-time order (watermark, delay 0); a closing heartbeat lets the watermark pass the last reaction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "strict-out"), scratch_path(spark, "strict-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    S.write_time_slices(staged, src, "ts", SLICES)
-    S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING)
+    run = lambda: S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING)
+    S.arrive_in_slices(staged, src, "ts", SLICES, run)
+    S.write_heartbeat(spark, src, T.table(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"])
+    run()
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
@@ -45,23 +45,19 @@ def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
     snapshot = materialize(T.sql_profile(spark, sf), "snapshot")
     first_seen = T.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("ts"))
     req, sink, ck = scratch_path(spark, "requests-in"), scratch_path(spark, "recs-out"), scratch_path(spark, "recs-ck")
-    S.write_time_slices(first_seen, req, "ts", 2)
     items, seen, n_items, dim = T.items(spark, sf), T.seen(spark, sf), T.n_items(spark, sf), RP.catalogue_dim(spark, sf)
 
     def recommend(batch: DataFrame) -> DataFrame:
         return R.recommend_batch(batch.select("user_id"), snapshot, items, seen, n_items, dim, RP.BETA, RP.EXP_RATE,
                                  RP.SEED, RP.STEP, K_CANDIDATES, RP.TEMPERATURE)
 
-    S.run_recommend_stream(spark, req, sink, ck, recommend)
+    S.arrive_in_slices(first_seen, req, "ts", 2, lambda: S.run_recommend_stream(spark, req, sink, ck, recommend))
     return spark.read.parquet(sink).select("user_id", "mode", "slot", "item_id", "fallback")
 
 
-# Rows the final watermark covers: event time at or below max(ts) truncated to milliseconds.
-_COVERED_EVENTS = "(SELECT * FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 FROM events))"
-
 ORACLES = {
     "profile_stream": PP.ORACLES["profile_fold_resume"],
-    "profile_stream_strict": PP.ORACLES["profile_fold_resume"].replace(" FROM events", f" FROM {_COVERED_EVENTS}", 1),
+    "profile_stream_strict": PP.ORACLES["profile_fold_resume"],
     "recommend_stream": RP.ORACLES["recommend_batch"],
 }
 

@@ -8,7 +8,9 @@ per-partition offsets (no single-partition window).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # -- A1 -----------------------------------------------------------------------
 
-def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_text_files(spark: SparkSession, root: str, keep_content: bool = False) -> DataFrame:
     """A1: every file under ``root`` as ``(item_key, text)``; bad UTF-8 bytes become U+FFFD.
 
     ``item_key`` is the path relative to ``root``.
@@ -35,6 +37,8 @@ def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
     qualified = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hp).toString().rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.col("path").substr(F.lit(len(qualified) + 2), F.lit(1 << 30))
+    if keep_content:
+        return df.select(rel.alias("item_key"), "content")
     return df.select(rel.alias("item_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
@@ -59,14 +63,18 @@ def token_bucket(token: Column, dim: int) -> Column:
 def hashing_embed(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A2 default encoder: token counts hashed into ``dim`` buckets, L2-normalised.
 
-    Long form ``(id, bucket, weight)``; tokens of the whole text are exploded and
-    counted with a partial aggregate, so a 20,000-word document is one group of at
-    most ``dim`` rows after the map-side combine.
+    Long form ``(id, bucket, weight)``. A text is one row, so its counts are array
+    functions on that row: no shuffle, and the scan's columns go straight to the result.
     """
-    tok = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    counts = tok.groupBy(id_col, token_bucket(F.col("token"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
-    w = Window.partitionBy(id_col)
-    return counts.select(id_col, "bucket", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w))).alias("weight"))
+    buckets = docs.select(id_col, F.array_sort(F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))).alias("all"))
+    firsts = buckets.select(id_col, "all", F.array_distinct("all").alias("met"))
+    firsts = firsts.select(id_col, "met", F.size("all").alias("n"), F.transform("met", lambda b: F.array_position("all", b)).alias("at"))
+    ends = F.concat(F.slice("at", 2, dim), F.array((F.col("n") + 1).cast("long")))
+    counts = firsts.select(id_col, "met", F.zip_with(ends, "at", lambda e, s: e - s).alias("tf")).where(F.size("met") > 0)
+    squares = F.aggregate("tf", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
+    return counts.select(id_col, F.sqrt(squares).alias("_norm"), F.explode(F.arrays_zip("met", "tf")).alias("_c")).select(
+        id_col, F.col("_c.met").alias("bucket"), (F.col("_c.tf") / F.col("_norm")).alias("weight")
+    )
 
 
 def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE, ids: DataFrame | None = None) -> DataFrame:
@@ -83,8 +91,9 @@ def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_ty
 
 def embed_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A2 pluggable encoder: ``make_encoder()`` runs once per partition; a failing
-    document goes to the ``error`` column instead of stopping the job."""
+    """A2 pluggable encoder: ``make_encoder()`` runs once per partition and encodes a batch of texts
+    at a time; if that fails, each text of the batch by itself, and a failing document goes to
+    the ``error`` column instead of stopping the job."""
     schema = Ty.StructType([
         Ty.StructField(id_col, Ty.LongType()),
         Ty.StructField("embedding", Ty.ArrayType(Ty.FloatType())),
@@ -94,8 +103,17 @@ def embed_with(docs: DataFrame, make_encoder: Callable[[], Callable[[list[str]],
     def run(batches):
         enc = make_encoder()
         for pdf in batches:
+            texts = pdf[text_col].tolist()
+            try:
+                whole = np.asarray(enc(texts), dtype=np.float32)
+                if whole.shape != (len(texts), dim):
+                    raise ValueError(f"encoder returned shape {whole.shape}")
+                yield pd.DataFrame({id_col: pdf[id_col].astype("int64"), "embedding": list(whole), "error": [None] * len(texts)})
+                continue
+            except Exception:  # noqa: BLE001 - found out text by text below
+                pass
             out_vec, out_err = [], []
-            for t in pdf[text_col]:
+            for t in texts:
                 try:
                     v = np.asarray(enc([t])[0], dtype=np.float32)
                     if v.shape != (dim,):
@@ -125,21 +143,57 @@ def read_item_csv(spark: SparkSession, path, schema: Ty.StructType, multi_line:
     return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
+def data_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that paths stand for: a folder's own, but for names that begin with ``_`` or a dot."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        statuses = hp.getFileSystem(conf).listStatus(hp)
+        out += sorted(s.getPath().toString() for s in statuses if s.isFile() and (not s.getPath().getName().startswith(("_", ".")) or len(statuses) == 1))
+    return out
+
+
+def csv_headers(spark: SparkSession, files: list[str], threads: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line (read alone, not the file). An empty file has no columns."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def header(path: str) -> tuple[str, ...]:
+        hp = jvm.org.apache.hadoop.fs.Path(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(hp.getFileSystem(conf).open(hp), "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for path, names in zip(files, pool.map(header, files), strict=True):
+            found.setdefault(names, []).append(path)
+    return found
+
+
 def read_csv_strings(spark: SparkSession, paths: list[str], columns: list[str], multi_line: bool = True) -> DataFrame:
     """A5 + A7: every column as string, missing values as ``''``, files aligned by column name.
 
-    Each path is read with its own header, then ``unionByName`` aligns columns
-    that come in different orders or are missing in some files.
+    Files with the same header are one scan, so thousands of files of a few layouts are a
+    handful of scans; ``unionByName`` aligns columns that come in different orders or are
+    missing in some layouts. A column that no file has is empty.
     """
     frames = []
-    for p in paths:
-        header = spark.read.option("header", True).csv(p).columns
+    for header, files in csv_headers(spark, data_files(spark, paths)).items():
+        if not header:
+            continue
         schema = Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in header])
-        frames.append(spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(p))
+        read = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(files)
+        frames.append(read.select(*[F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in columns]))
+    if not frames:
+        return spark.createDataFrame([], Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in columns]))
     out = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out.select(*[F.col(c) for c in columns]).na.fill("")
+        out = out.unionByName(f)
+    return out.na.fill("")
 
 
 # -- A6 -------------------------------------------------------------------------
@@ -171,6 +225,47 @@ def validate_inputs(spark: SparkSession, paths: list[str], df: DataFrame | None
             raise KeyError(f"Column(s) {missing} not found")
 
 
+def input_status(spark: SparkSession, inputs: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """A8 as data: ``name, status, n_rows`` of Parquet inputs (name -> path, required columns).
+
+    ``status`` is ``ok``, ``missing`` (no such path), ``unreadable``, or ``no column`` with the
+    required ones that are not there; ``n_rows`` is null unless the input can be read.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    frames = []
+    for name, (path, required) in inputs.items():
+        hp = jvm.org.apache.hadoop.fs.Path(path)
+        status, rows = "missing", None
+        if hp.getFileSystem(conf).exists(hp):
+            try:
+                df = spark.read.parquet(path)
+            except Exception:  # noqa: BLE001 - reported as data
+                status = "unreadable"
+            else:
+                lost = sorted(set(required) - set(df.columns))
+                status, rows = f"no column {', '.join(lost)}" if lost else "ok", df
+        n = F.lit(None).cast("long") if rows is None else F.count(F.lit(1))
+        frames.append((spark.range(1) if rows is None else rows).select(F.lit(name).alias("name"), F.lit(status).alias("status"), n.alias("n_rows")) if rows is None
+                      else rows.agg(n.alias("n_rows")).select(F.lit(name).alias("name"), F.lit(status).alias("status"), "n_rows"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def text_file_status(spark: SparkSession, root: str, expected: DataFrame | None = None) -> DataFrame:
+    """A1 and A8 for files: ``item_key, status`` with ``ok``, ``repaired`` (bytes that are no UTF-8) and, for keys
+    of ``expected`` (item_key) without a file, ``missing``. A file of no bytes has no row in Spark's scan, so it is missing."""
+    found = scan_text_files(spark, root, keep_content=True)
+    repaired = ~F.is_valid_utf8(F.col("content").cast("string"))
+    status = F.when(repaired, "repaired").otherwise("ok")
+    found = found.select("item_key", status.alias("status"))
+    if expected is None:
+        return found
+    lost = expected.select("item_key").distinct().join(found, "item_key", "left_anti")
+    return found.unionByName(lost.select("item_key", F.lit("missing").alias("status")))
+
+
 # -- A9, A12 -----------------------------------------------------------------------
 
 def assign_positions(df: DataFrame, order: list[Column], name: str = "position", partitions: int | None = None) -> DataFrame:
@@ -221,6 +316,29 @@ def split_valid_vectors(df: DataFrame, col: str, dim: int | None = None):
     return good, bad
 
 
+def read_quarantined(spark: SparkSession, path, schema: Ty.StructType, col: str, dim: int, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A4 + A10: a typed CSV read that keeps both sides: (rows with a valid vector, the others with ``reason`` and ``record``).
+
+    Reasons: ``malformed row`` (a field that its type can't hold, too few or too many fields),
+    ``malformed vector`` (no list of numbers, or none at all), ``wrong length``, ``null element``,
+    ``non-finite element``. ``record`` is the text of a malformed row.
+    """
+    typed = Ty.StructType([*schema.fields, Ty.StructField("_record", Ty.StringType())])
+    read = spark.read.schema(typed).option("header", True).option("multiLine", multi_line).option("escape", '"')
+    rows = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").csv(path)
+    rows = rows.withColumn("_vec", F.from_json(F.col(col), "array<double>"))
+    finite = F.forall("_vec", lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    # Spark parses the columns that a plan needs only; a row is malformed by any of them, so all are needed.
+    parsed = F.xxhash64(*schema.fieldNames()) >= F.lit(-(1 << 63))
+    reason = (
+        F.when(F.col("_record").isNotNull() & parsed, "malformed row").when(F.col("_vec").isNull(), "malformed vector")
+        .when(F.exists("_vec", lambda x: x.isNull()), "null element").when(F.size("_vec") != dim, "wrong length").when(~finite, "non-finite element")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").withColumn(col, F.col("_vec").cast(VECTOR_TYPE)).drop("_vec", "_record", "reason")
+    return good, rows.where("reason is not null").drop("_vec").withColumnRenamed("_record", "record")
+
+
 # -- A11 -------------------------------------------------------------------------
 
 def item_key_lookup(items: DataFrame, key: str = "item_key", value: str = "category", pos: str = "item_id") -> DataFrame:

@@ -16,7 +16,8 @@ E7: requests arrive as files; ``foreachBatch`` runs the batch recommendation
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 from typing import Any
 
 import numpy as np
@@ -119,10 +120,16 @@ def profile_stream(reactions: DataFrame, p: FoldParams) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, schema: Ty.StructType, source_dir: str, files_per_trigger: int | None) -> DataFrame:
+    """New files of a folder, all that are there in one batch unless their number is bounded."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(source_dir)
+
+
 def run_profile_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                       files_per_trigger: int = 1) -> None:
-    """Run D10 over every file in ``source_dir`` until caught up (``availableNow``)."""
-    src = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+                       files_per_trigger: int | None = None) -> None:
+    """Run D10 over every new file in ``source_dir`` until caught up (``availableNow``)."""
+    src = _files(spark, REACTION_SCHEMA, source_dir, files_per_trigger)
     q = (
         profile_stream(src, p).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir)
@@ -137,10 +144,12 @@ def latest_snapshot(versions: DataFrame) -> DataFrame:
     return tagged.where(F.col("total_rewards") == F.col("_latest")).drop("_latest")
 
 
-def write_time_slices(df: DataFrame, path: str, ts_col: str, slices: int) -> None:
-    """Stage ``df`` as ``slices`` files in time order (one write per slice, in order),
-    so a file stream reads them oldest first.  Slice bounds are approximate
-    quantiles; every row lands in exactly one slice."""
+def arrive_in_slices(df: DataFrame, path: str, ts_col: str, slices: int, catch_up: Callable[[], object]) -> None:
+    """Let ``df`` arrive at ``path`` in ``slices`` parts by time, oldest first, and call ``catch_up`` after each.
+
+    A part is written by all tasks, as files by range of time. Its bounds are approximate
+    quantiles; every row is in exactly one part.
+    """
     t = F.col(ts_col).cast("timestamp").cast("double") if dict(df.dtypes)[ts_col].startswith("timestamp") else F.col(ts_col).cast("double")
     bounds = df.select(t.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.001)
     edges = [None, *bounds, None]
@@ -150,7 +159,14 @@ def write_time_slices(df: DataFrame, path: str, ts_col: str, slices: int) -> Non
             cond = cond & (t >= F.lit(edges[i]))
         if edges[i + 1] is not None:
             cond = cond & (t < F.lit(edges[i + 1]))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        df.where(cond).repartitionByRange(ts_col).write.mode("append").parquet(path)
+        catch_up()
+
+
+def write_heartbeat(spark: SparkSession, path: str, after) -> None:
+    """A reaction of nobody, a second later than ``after``: it moves the watermark on and is never folded."""
+    row = spark.createDataFrame([(None, after + timedelta(seconds=1), None, None, None, None)], REACTION_SCHEMA)
+    row.write.mode("append").parquet(path)
 
 
 # ---------------------------------------------------------------------------
@@ -158,11 +174,11 @@ def write_time_slices(df: DataFrame, path: str, ts_col: str, slices: int) -> Non
 # ---------------------------------------------------------------------------
 
 def run_recommend_stream(spark: SparkSession, requests_dir: str, sink_dir: str, checkpoint_dir: str, recommend,
-                         files_per_trigger: int = 1) -> None:
+                         files_per_trigger: int | None = None) -> None:
     """Each micro-batch of ``(user_id)`` requests is answered by ``recommend(batch_df)``
     (the batch plan over the current snapshot) and appended to ``sink_dir``."""
     schema = Ty.StructType([Ty.StructField("user_id", Ty.LongType())])
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(requests_dir)
+    src = _files(spark, schema, requests_dir, files_per_trigger)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         # One folder per batch, overwritten on retry, so a re-run batch is not appended twice.
@@ -202,6 +218,8 @@ def _strict_fold_fn(p: FoldParams):
             for pdf in batches:
                 ts_us = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
                 for t, e, it, r, v in zip(ts_us, pdf["event_id"], pdf["item_id"], pdf["reward"], pdf["vec"]):
+                    if e is None or e != e:
+                        continue  # a heartbeat
                     if last is not None and (int(t), int(e)) < last:
                         dropped += 1  # behind what was already folded: counted, not applied
                     else:
@@ -258,10 +276,10 @@ def profile_stream_strict(reactions: DataFrame, p: FoldParams, delay: str = "0 s
 
 
 def run_profile_stream_strict(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                              delay: str = "0 seconds", files_per_trigger: int = 1) -> int:
+                              delay: str = "0 seconds", files_per_trigger: int | None = None) -> int:
     """Run strict D10 until caught up; returns the rows Spark dropped as behind the
     watermark (its standard late-data rule, applied before the state function)."""
-    src = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    src = _files(spark, REACTION_SCHEMA, source_dir, files_per_trigger)
     q = (
         profile_stream_strict(src, p, delay).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir)
