@@ -18,7 +18,7 @@ from prefspark.session import materialize
 from prefspark.sources import tables as T
 
 N_COMPONENTS = 16
-FIRST = F.col("category").isin("c0", "c1", "c2", "c3", "c4")  # the items of the first fit; the others come later
+FIRST = "category in ('c0', 'c1', 'c2', 'c3', 'c4')"  # the items of the first fit; the others come later
 SMALL = P.FoldParams(alpha=0.2, gamma=0.28, beta=2.0, max_embeddings=2, min_samples=3)
 
 
@@ -26,7 +26,7 @@ def grown_state(spark: SparkSession, sf: str) -> DataFrame:
     """The state of a first part of the catalogue, stored, then merged with the state of the later items."""
     items = T.items(spark, sf)
     stored = materialize(MO.moments(items.where(FIRST)), "moments")
-    return materialize(MO.merge(stored, MO.moments(items.where(~FIRST))), "moments")
+    return materialize(MO.merge(stored, MO.moments(items.where(f"not ({FIRST})"))), "moments")
 
 
 def nested_catalogue(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +150,6 @@ def q_map_legend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ENTRIES = """SELECT item_id, category, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM items"""
-_FIRST_SQL = "category IN ('c0', 'c1', 'c2', 'c3', 'c4')"
 
 
 def _scaled_sql(where: str) -> str:
@@ -167,7 +166,7 @@ ORACLES = {
         "items", extra={"entries": _ENTRIES},
     ),
     "standardise_new": T.with_views(
-        "SELECT item_id, CAST(dim AS BIGINT) AS dim, round(z, 6) + 0.0 AS z FROM scaled", "items", extra={"entries": _ENTRIES, "scaled": _scaled_sql(_FIRST_SQL)}
+        "SELECT item_id, CAST(dim AS BIGINT) AS dim, round(z, 6) + 0.0 AS z FROM scaled", "items", extra={"entries": _ENTRIES, "scaled": _scaled_sql(FIRST)}
     ),
     "pca_invariants": T.with_views(
         """SELECT (SELECT count(*) FROM items) AS n, round(CAST(count(*) AS DOUBLE), 6) AS trace, round(CAST(count(*) AS DOUBLE), 6) AS variances,

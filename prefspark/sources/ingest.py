@@ -66,15 +66,15 @@ def hashing_embed(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_c
     Long form ``(id, bucket, weight)``. A text is one row, so its counts are array
     functions on that row: no shuffle, and the scan's columns go straight to the result.
     """
-    buckets = docs.select(id_col, F.array_sort(F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))).alias("all"))
+    buckets = docs.select(id_col, F.sort_array(F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))).alias("all"))
     firsts = buckets.select(id_col, "all", F.array_distinct("all").alias("met"))
     firsts = firsts.select(id_col, "met", F.size("all").alias("n"), F.transform("met", lambda b: F.array_position("all", b)).alias("at"))
     ends = F.concat(F.slice("at", 2, dim), F.array((F.col("n") + 1).cast("long")))
-    counts = firsts.select(id_col, "met", F.zip_with(ends, "at", lambda e, s: e - s).alias("tf")).where(F.size("met") > 0)
+    counts = firsts.select(id_col, "met", F.zip_with(ends, "at", lambda e, s: e - s).alias("tf"))
     squares = F.aggregate("tf", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
-    return counts.select(id_col, F.sqrt(squares).alias("_norm"), F.explode(F.arrays_zip("met", "tf")).alias("_c")).select(
-        id_col, F.col("_c.met").alias("bucket"), (F.col("_c.tf") / F.col("_norm")).alias("weight")
-    )
+    # Outer, then filtered: a filter on the arrays themselves would go below the projection and count twice.
+    cells = counts.select(id_col, F.sqrt(squares).alias("_norm"), F.explode_outer(F.arrays_zip("met", "tf")).alias("_c"))
+    return cells.where("_c is not null").select(id_col, F.col("_c.met").alias("bucket"), (F.col("_c.tf") / F.col("_norm")).alias("weight"))
 
 
 def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE, ids: DataFrame | None = None) -> DataFrame:
