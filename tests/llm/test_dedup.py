@@ -298,9 +298,19 @@ def test_passages_within_lines(spark):
 # --- 7: lines ------------------------------------------------------------------------------------
 
 
+def word_set(text: str) -> frozenset:
+    """Words numbered by occurrence."""
+    met: dict = defaultdict(int)
+    out = []
+    for word in text.split():
+        met[word] += 1
+        out.append((word, met[word]))
+    return frozenset(out)
+
+
 def line_decisions(rows) -> dict:
     order = sorted({(i is None, i or 0, text_hash(t or ""), t or "") for i, t in rows if t is not None})
-    lines = [((unnamed, i, digest, n), shingle_set(x)) for unnamed, i, digest, t in order for n, x in enumerate(t.split("\n")) if x.split()]
+    lines = [((unnamed, i, digest, n), word_set(x)) for unnamed, i, digest, t in order for n, x in enumerate(t.split("\n")) if x.split()]
     first = {}
     for place, s in lines:
         first.setdefault(s, place)
@@ -312,6 +322,34 @@ def line_decisions(rows) -> dict:
     return {place: (len(links[s]), place != first[s] or any(first[o] < first[s] for o in links[s])) for place, s in lines}
 
 
+@pytest.mark.parametrize("scan", [4096, 1])
+def test_filters_keep_every_similar_pair(monkeypatch, scan):
+    monkeypatch.setattr(line_dedup, "SCAN", scan)
+    draw = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    for _ in range(300):
+        base = [draw.choice(vocabulary) for _ in range(draw.randint(4, 25))]
+        other = [draw.choice(vocabulary) if draw.random() < 0.08 else x for x in base]
+        if draw.random() < 0.3:
+            other.insert(draw.randrange(len(other)), draw.choice(vocabulary))
+        a, b = word_set(" ".join(base)), word_set(" ".join(other))
+        w = next(shingles.words(pa.array([" ".join(base) + "\n" + " ".join(other)])))
+        h, starts, _, keys, word = line_dedup._token_sets(w, np.arange(1 << 20, dtype=np.uint64).astype(np.uint8) & 127)
+        sets = np.split(h, starts[1:])
+        assert [len(s) for s in sets] == [len(a), len(b)] and len(np.intersect1d(*sets)) == len(a & b)
+        assert (keys[0] == keys[1]).all() == (a == b) and set(word.tolist()) == set(w.hashes.tolist())
+        if a == b or len(a & b) < 0.8 * len(a | b):
+            continue
+        prefix = [s[: len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1].tolist() for s in sets]
+        token = next(t for t in sets[0].tolist() if t in set(sets[1].tolist()))
+        assert token in prefix[0] and token in prefix[1]
+        size, place = np.array([len(a), len(b)]), np.array([p.index(token) for p in prefix])
+        order = np.argsort(size, kind="stable")
+        parity = line_dedup._parity(h, starts)
+        before = np.array([int(s[max(0, k - 1)]) >> 32 for s, k in zip(sets, place, strict=True)], "<u4")
+        assert line_dedup.with_partner(line_dedup.Entries(np.zeros(2, np.uint64), size[order], place[order], parity[order], before[order])).all()
+
+
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_lines_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(line_dedup, "TILE", tile)
