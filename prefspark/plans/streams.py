@@ -25,7 +25,7 @@ def q_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The streamed fold's current profiles, with matching and eviction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "profiles-out"), scratch_path(spark, "profiles-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    S.arrive_in_slices(staged, src, "ts", SLICES, lambda: S.run_profile_stream(spark, src, sink, ck, PP.EVICTING))
+    S.arrive_in_slices(staged, src, "ts", SLICES, lambda: S.run_profile_stream(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None))
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
@@ -33,7 +33,7 @@ def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
     """D10 in strict event-time order (watermark, delay 0); a closing heartbeat lets the watermark pass the last reaction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "strict-out"), scratch_path(spark, "strict-ck")
     staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    run = lambda: S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING)
+    run = lambda: S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None)
     S.arrive_in_slices(staged, src, "ts", SLICES, run)
     S.write_heartbeat(spark, src, T.table(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"])
     run()
@@ -51,7 +51,7 @@ def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
         return R.recommend_batch(batch.select("user_id"), snapshot, items, seen, n_items, dim, RP.BETA, RP.EXP_RATE,
                                  RP.SEED, RP.STEP, K_CANDIDATES, RP.TEMPERATURE)
 
-    S.arrive_in_slices(first_seen, req, "ts", 2, lambda: S.run_recommend_stream(spark, req, sink, ck, recommend))
+    S.arrive_in_slices(first_seen, req, "ts", 2, lambda: S.run_recommend_stream(spark, req, sink, ck, recommend, files_per_trigger=None))
     return spark.read.parquet(sink).select("user_id", "mode", "slot", "item_id", "fallback")
 
 

@@ -74,7 +74,7 @@ def hashing_embed(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_c
     squares = F.aggregate("tf", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
     # Outer, then filtered: a filter on the arrays themselves would go below the projection and count twice.
     cells = counts.select(id_col, F.sqrt(squares).alias("_norm"), F.explode_outer(F.arrays_zip("met", "tf")).alias("_c"))
-    return cells.where("_c is not null").select(id_col, F.col("_c.met").alias("bucket"), (F.col("_c.tf") / F.col("_norm")).alias("weight"))
+    return cells.where("_c.met is not null").select(id_col, F.col("_c.met").alias("bucket"), (F.col("_c.tf") / F.col("_norm")).alias("weight"))
 
 
 def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "doc_id", vector_type: str = VECTOR_TYPE, ids: DataFrame | None = None) -> DataFrame:

@@ -127,7 +127,7 @@ def _files(spark: SparkSession, schema: Ty.StructType, source_dir: str, files_pe
 
 
 def run_profile_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                       files_per_trigger: int | None = None) -> None:
+                       files_per_trigger: int | None = 1) -> None:
     """Run D10 over every new file in ``source_dir`` until caught up (``availableNow``)."""
     src = _files(spark, REACTION_SCHEMA, source_dir, files_per_trigger)
     q = (
@@ -174,7 +174,7 @@ def write_heartbeat(spark: SparkSession, path: str, after) -> None:
 # ---------------------------------------------------------------------------
 
 def run_recommend_stream(spark: SparkSession, requests_dir: str, sink_dir: str, checkpoint_dir: str, recommend,
-                         files_per_trigger: int | None = None) -> None:
+                         files_per_trigger: int | None = 1) -> None:
     """Each micro-batch of ``(user_id)`` requests is answered by ``recommend(batch_df)``
     (the batch plan over the current snapshot) and appended to ``sink_dir``."""
     schema = Ty.StructType([Ty.StructField("user_id", Ty.LongType())])
@@ -276,7 +276,7 @@ def profile_stream_strict(reactions: DataFrame, p: FoldParams, delay: str = "0 s
 
 
 def run_profile_stream_strict(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                              delay: str = "0 seconds", files_per_trigger: int | None = None) -> int:
+                              delay: str = "0 seconds", files_per_trigger: int | None = 1) -> int:
     """Run strict D10 until caught up; returns the rows Spark dropped as behind the
     watermark (its standard late-data rule, applied before the state function)."""
     src = _files(spark, REACTION_SCHEMA, source_dir, files_per_trigger)
