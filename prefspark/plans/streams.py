@@ -7,6 +7,8 @@ result tables are read back.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from prefspark.plans.retrieval import K_CANDIDATES
 from prefspark.session import materialize, scratch_path
 from prefspark.sources import tables as T
 from prefspark.streaming import profiles as S
+from prefspark.streaming import timers as ST
 
 SLICES = 3
 
@@ -40,6 +43,28 @@ def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
+def _timers_run(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Sink and checkpoint of the timer stream over all reactions and a heartbeat past the last bucket."""
+    src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "timers-out"), scratch_path(spark, "timers-ck")
+    staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
+    run = lambda: ST.run_profile_stream_timers(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None)
+    S.arrive_in_slices(staged, src, "ts", SLICES, run)
+    last = T.table(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"]
+    S.write_heartbeat(spark, src, last + timedelta(milliseconds=2 * ST.BUCKET_MS))
+    run()
+    return sink, ck
+
+
+def q_profile_stream_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """D10 in event-time order by timers over separate state variables: the current profiles from the sink."""
+    return PP._slot_cols(S.latest_snapshot(spark.read.parquet(_timers_run(spark, sf)[0])))
+
+
+def q_profile_state_reader(spark: SparkSession, sf: str) -> DataFrame:
+    """The same profiles, read back from the stopped stream's state."""
+    return PP._slot_cols(materialize(ST.stored_profiles(spark, _timers_run(spark, sf)[1]), "state-read"))
+
+
 def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Per-request recommendations from a stored snapshot, answered batch by batch."""
     snapshot = materialize(T.sql_profile(spark, sf), "snapshot")
@@ -58,11 +83,15 @@ def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES = {
     "profile_stream": PP.ORACLES["profile_fold_resume"],
     "profile_stream_strict": PP.ORACLES["profile_fold_resume"],
+    "profile_stream_timers": PP.ORACLES["profile_fold_resume"],
+    "profile_state_reader": PP.ORACLES["profile_fold_resume"],
     "recommend_stream": RP.ORACLES["recommend_batch"],
 }
 
 QUERIES = {
     "profile_stream": q_profile_stream,
     "profile_stream_strict": q_profile_stream_strict,
+    "profile_stream_timers": q_profile_stream_timers,
+    "profile_state_reader": q_profile_state_reader,
     "recommend_stream": q_recommend_stream,
 }
