@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.operators import knn_cells
+from prefspark.operators import seen as seen_sets
 from prefspark.session import materialize, ship_package
 
 BLOCK_BYTES = 64 << 20  # memory budget of one item block (float64 matrix); query blocks get a quarter
@@ -37,6 +38,7 @@ def _block_fn(metric: str, qid_cols: list[str]):
             raise ValueError("query and item vectors differ in dimension")
         kq = np.minimum(qpdf["k"].to_numpy(dtype=np.int64), len(ids))
         excl = qpdf["ex_ids"].to_numpy() if "ex_ids" in qpdf.columns else None
+        bits = qpdf["ex_bits"].to_numpy() if "ex_bits" in qpdf.columns else None
         xx = np.einsum("ij,ij->i", X, X)
         out_rows, out_ids, out_scores = [], [], []
         for start in range(0, len(Q), _CHUNK):
@@ -51,9 +53,14 @@ def _block_fn(metric: str, qid_cols: list[str]):
                 if k <= 0:
                     continue
                 row = key[r]
+                gone = None
                 if excl is not None and excl[start + r] is not None and len(excl[start + r]):
+                    gone = np.isin(ids, np.asarray(excl[start + r], dtype=np.int64))
+                elif bits is not None and bits[start + r] is not None:
+                    gone = seen_sets.contains([b["block"] for b in bits[start + r]], [b["bitmap"] for b in bits[start + r]], ids)
+                if gone is not None:
                     row = row.copy()
-                    row[np.isin(ids, np.asarray(excl[start + r], dtype=np.int64))] = np.inf  # seen: never chosen
+                    row[gone] = np.inf  # seen: never chosen
                     k = min(k, int(np.count_nonzero(np.isfinite(row))))
                     if k <= 0:
                         continue
@@ -97,6 +104,7 @@ def block_topk(
     block_bytes: int = BLOCK_BYTES,
     cells: int | None = None,
     written: bool = False,
+    exclude_bitmaps: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top-``k`` items per query row.
 
@@ -105,7 +113,10 @@ def block_topk(
     ``queries`` (per-query k).  ``exclude`` (``qid_cols + [item_id]``) removes pairs
     before ranking: each query row carries its excluded ids *of the item block that it
     meets* (at most the block size), so exclusion is exact and bounded even for a
-    query that excludes most of the catalogue.  ``cells`` asks for so many pivot cells
+    query that excludes most of the catalogue.  ``exclude_bitmaps`` is the same as bitmaps
+    (``user_id, block, bitmap`` of ``operators.seen``): a query row carries its user's
+    bitmaps, and query blocks shrink by their size; pivot cells, whose ids are spread, get
+    ids in their place.  ``cells`` asks for so many pivot cells
     whatever the number of items; ``written`` says that ``queries`` is already a stored
     table.  Returns ``qid_cols + [item_id, score, rank]``.
     """
@@ -124,16 +135,24 @@ def block_topk(
     query_block = query_block or max(256, block_bytes // 4 // (dim * 8))
     if cells is None and ni > item_block:
         cells = knn_cells.cells_for(ni, item_block)
+    if exclude_bitmaps is not None and cells and ni:
+        exclude, exclude_bitmaps = seen_sets.seen_pairs(exclude_bitmaps), None
     if cells and ni:
         built, placed = knn_cells.build(it, cells, item_block, metric)
         return knn_cells.topk(q, built, placed, _block_fn(metric, qid_cols), metric, qid_cols, query_block, exclude)
     # One item block: it is copied to each query block, and a query's candidates are its answer.
+    if exclude_bitmaps is not None:
+        carried = seen_sets.BITMAP_BYTES * math.ceil(ni / seen_sets.BLOCK_ITEMS)
+        query_block = max(256, query_block * dim * 8 // (dim * 8 + carried))
     bq = max(1, math.ceil(nq / query_block))
     q_rep = q.select("*", F.pmod(F.xxhash64(*qid_cols), F.lit(bq)).alias("qb"))
     i_rep = it.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))).alias("qb"))
     if exclude is not None:
         ex = exclude.select(*qid_cols, "item_id").groupBy(*qid_cols).agg(F.collect_list("item_id").alias("ex_ids"))
         q_rep = q_rep.join(ex, qid_cols, "left")
+    if exclude_bitmaps is not None:
+        ex = exclude_bitmaps.groupBy("user_id").agg(F.collect_list(F.struct("block", "bitmap")).alias("ex_bits"))  # a row for each 32,768 items
+        q_rep = q_rep.join(ex, "user_id", "left")
     schema_fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*qid_cols).schema.fields]
     schema = ", ".join(schema_fields + ["item_id long", "score double"])
     cand = q_rep.groupBy("qb").cogroup(i_rep.groupBy("qb")).applyInPandas(_block_fn(metric, qid_cols), schema)
@@ -187,6 +206,11 @@ def knn_unseen_exact(queries: DataFrame, items: DataFrame, seen: DataFrame, k: i
     return block_topk(queries, items, k, metric=metric, exclude=seen)
 
 
+def knn_unseen_bitmaps(queries: DataFrame, items: DataFrame, bitmaps: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """C6 over seen sets that are bitmaps."""
+    return block_topk(queries, items, k, metric=metric, exclude_bitmaps=bitmaps)
+
+
 def knn_cosine(queries: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
     """Best available item by inner product; strict ``> -1``, lowest id wins ties."""
     best = knn_unseen_exact(queries, items, seen, 1, metric="dot")

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.draws import sql_normal, sql_uniform
 from prefspark.operators import recommend as R
+from prefspark.operators import seen as SB
 from prefspark.plans.common import rnd
 from prefspark.plans.retrieval import K_CANDIDATES, sql_knn_unseen, sql_knn_unseen_ctes
+from prefspark.session import materialize, scratch_path
 from prefspark.sources import tables as T
+from prefspark.sources.store import StateStore
 
 SEED = 42
 STEP = 0
@@ -72,6 +75,16 @@ def q_mark_consumed(spark: SparkSession, sf: str) -> DataFrame:
     return after.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
 
 
+def q_mark_consumed_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """E6 over stored bitmaps: the step's recommendations are applied twice, as after a retry, and count once."""
+    store = StateStore(spark, scratch_path(spark, "seen-store"))
+    store.update(SB.seen_bitmaps(T.reactions(spark, sf)))
+    answers = materialize(recommend_sql_profile(spark, sf), "answers")
+    for _ in range(2):
+        store.update(materialize(SB.mark_consumed(store.read_keys(answers), answers), "seen-increment"))
+    return SB.sizes(store.read())
+
+
 # ---------------------------------------------------------------------------
 
 _U_SLOT = sql_uniform(str(SEED), "user_id", str(STEP), "'slot'")
@@ -128,6 +141,8 @@ ORACLES = {
     ),
 }
 
+ORACLES["mark_consumed_bitmaps"] = ORACLES["mark_consumed"]
+
 QUERIES = {
     "slot_probabilities": q_slot_probabilities,
     "sample_slot": q_sample_slot,
@@ -135,4 +150,5 @@ QUERIES = {
     "random_unit_vector": q_random_unit_vector,
     "recommend_batch": q_recommend_batch,
     "mark_consumed": q_mark_consumed,
+    "mark_consumed_bitmaps": q_mark_consumed_bitmaps,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.operators import knn
+from prefspark.operators import knn, seen
 from prefspark.plans.common import LIKED_QUERIES_SQL, liked_queries, rnd
 from prefspark.sources import tables as T
 
@@ -56,6 +56,20 @@ def q_available_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_available_items_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """C4 over seen sets that are bitmaps, built from the reactions as they are."""
+    sets = seen.seen_bitmaps(T.reactions(spark, sf))
+    return seen.available_items(sets, T.n_items(spark, sf)).select(
+        "user_id", "n_seen", F.col("n_available").cast("long").alias("n_available"), "first_available",
+    )
+
+
+def q_knn_unseen_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """C6 over seen sets that are bitmaps: each query row carries its user's."""
+    res = knn.knn_unseen_bitmaps(liked_queries(spark, sf), T.items(spark, sf), seen.seen_bitmaps(T.reactions(spark, sf)), K_UNSEEN)
+    return res.select("user_id", "item_id", "rank", rnd("score").alias("sq_dist"))
+
+
 def q_first_similar_slot(spark: SparkSession, sf: str) -> DataFrame:
     """Each reaction against its user's profile: first slot with cosine >= gamma."""
     ev = T.reactions(spark, sf).join(
@@ -148,6 +162,8 @@ ORACLES = {
 }
 
 ORACLES["knn_l2_cells"] = ORACLES["knn_l2"]
+ORACLES["available_items_bitmaps"] = ORACLES["available_items"]
+ORACLES["knn_unseen_bitmaps"] = ORACLES["knn_unseen_exact"]
 
 QUERIES = {
     "knn_l2": q_knn_l2,
@@ -156,5 +172,7 @@ QUERIES = {
     "knn_cosine": q_knn_cosine,
     "knn_unseen": q_knn_unseen,
     "available_items": q_available_items,
+    "available_items_bitmaps": q_available_items_bitmaps,
+    "knn_unseen_bitmaps": q_knn_unseen_bitmaps,
     "first_similar_slot": q_first_similar_slot,
 }
