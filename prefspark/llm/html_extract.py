@@ -8,7 +8,10 @@ begins and dive to nothing where it ends; each stretch between a surge and the n
 highest sum reaches the threshold is kept, from its first to its last weighted line.
 
 If a page has an article or main element with text, only the lines inside weigh, and any
-weighted stretch is kept. Elsewhere the threshold is a share of the page's highest sum.
+weighted stretch is kept; but if one stretch outside weighs more than CARD_TIMES all of them,
+they are cards beside the story, and only the lines outside weigh. There, and without such an
+element, the threshold is a share of the page's highest sum. A class or id counts as a name of
+surroundings if all its parts do or are words for boxes: related-posts does, related-work doesn't.
 
 Edge cases: null or empty html, or a page without such text, gives an empty text; unclosed
 elements end with the page, a page cut off inside a tag loses that tag only; rows repeat as
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 SURGE_SHARE = 0.2  # of the highest window sum, on pages without an article element
 SURGE_CHARS = 80  # and at most so many characters
+CARD_TIMES = 3  # articles are cards beside the story if one stretch outside weighs over so many times all of them
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -53,11 +57,30 @@ AROUND_NAMES = frozenset(
     "breadcrumbs footer comment comments disqus cookie cookies consent gdpr notice newsletter subscribe signup login popup modal "
     "overlay share sharing social related recommended pagination pager widget widgets toolbar masthead".split()
 )
+# Parts that may stand beside these in a name; any other part makes it the name of something else (related-work, ad-free).
+BESIDE_NAMES = frozenset(
+    "a after all app area article articles author bar before block body bottom box btn button buttons card center col column "
+    "compact component container content contents count dark default desktop element end entries entry feed fixed float "
+    "floating footer form full global grid group head header heading holder horizontal icon icons id in inline inner input "
+    "item items js layout left light link links list lower main meta middle mobile more nested news outer page panel post "
+    "posts primary reader region respond right row secondary section side site sites slot small space spot sticky stories story "
+    "target text thread title to top ul unit up upper user vertical view wrap wrapper zone".split()
+)
+# Beside these a header is the article's own.
+ARTICLE_WORDS = frozenset("article articles entry post story".split())
 # Parts after which the rest of a class is a state of the element (no-sidebar, has-comments), and elements no name makes surroundings.
 STATE_WORDS = frozenset("no not non has have with without hide hides hidden show shows".split())
 NEVER_BY_NAME = frozenset("html body main article".split())
 
 
+def _around_name(parts: set[str], in_article: bool) -> bool:
+    """Whether a class or id of these parts names surroundings of the article: all its parts speak of them or of a box."""
+    if parts - AROUND_NAMES - BESIDE_NAMES:
+        return False
+    header = "header" in parts and not in_article and not parts & ARTICLE_WORDS
+    return bool(parts & AROUND_NAMES) or "side" in parts and "bar" in parts or header
+
+
 def _around(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in AROUND or tag == "header" and not in_article:
         return True
@@ -67,8 +90,7 @@ def _around(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             for token in value.split() if tag not in NEVER_BY_NAME else ():
-                parts = set(takewhile(lambda part: part not in STATE_WORDS, _NAME_PART.findall(token)))
-                if parts & AROUND_NAMES or "side" in parts and "bar" in parts or not in_article and "header" in parts:
+                if _around_name(set(takewhile(lambda part: part not in STATE_WORDS, _NAME_PART.findall(token))), in_article):
                     return True
         elif name == "role" and value in AROUND_ROLES:
             return True
@@ -168,14 +190,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text, joined by an empty line."""
-    lines = [line for line in lines_of(html or "") if line[0]]  # nested blocks leave empty lines
-    has_article = any(inside and weight for _, weight, inside in lines)
-    weights = [weight if inside or not has_article else 0 for _, weight, inside in lines]
+def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, highest window sum) between each surge of the window sums and the next dive."""
     sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights) + WINDOW - 1)]
-    threshold = 1 if has_article else max(1, min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0)))
-    kept, i = [], 0
+    found, i = [], 0
     while i < len(sums):
         if not sums[i]:
             i += 1
@@ -183,8 +201,21 @@ def main_text(html: str | None) -> str:
         surge = i  # from nothing to something: the window's last line is the stretch's first
         while i < len(sums) and sums[i]:
             i += 1
-        if max(sums[surge:i]) >= threshold:  # it dived at i: no window up to there has text
-            kept += [text for (text, _, _), weight in zip(lines[surge:i], weights[surge:i], strict=False) if weight and text]
+        found.append((surge, min(i, len(weights)), max(sums[surge:i])))  # it dived at i: no window up to there has text
+    return found
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the main text, joined by an empty line."""
+    lines = [line for line in lines_of(html or "") if line[0]]  # nested blocks leave empty lines
+    inside = [weight if within else 0 for _, weight, within in lines]
+    outside = [0 if within else weight for _, weight, within in lines]
+    parts, threshold = stretches(inside), 1
+    beside = stretches(outside)
+    if max((sum(outside[first:end]) for first, end, _ in beside), default=0) > CARD_TIMES * sum(inside):
+        parts, inside = beside, outside
+        threshold = max(1, min(SURGE_CHARS, SURGE_SHARE * max(highest for _, _, highest in beside)))
+    kept = [lines[i][0] for first, end, highest in parts if highest >= threshold for i in range(first, end) if inside[i]]
     return "\n\n".join(kept)
 
 

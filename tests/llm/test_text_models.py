@@ -265,6 +265,35 @@ def test_names_of_states_and_nested_blocks_lose_no_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><div class='ad-free content'><p>{LONG}</p></div></article>", LONG.strip()),
+        (f"<div class='topic social-science'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p><section id='related-work'><p>Others did it.</p></section></article>", f"{LONG.strip()}\n\nOthers did it."),
+        (f"<article><p>{LONG}</p><p class='share-price'>It fell.</p></article>", f"{LONG.strip()}\n\nIt fell."),
+        (f"<div class='entry-header'><h1>Title</h1></div><div><p>{LONG}</p></div>", f"Title\n\n{LONG.strip()}"),
+        (f"<div><p>{LONG}</p></div><article><p>A small card.</p></article>", LONG.strip()),
+        (f"<article><p>Short.</p></article><div class='related-posts'><p>{LONG}</p></div><div id='comments-area'><p>{LONG}</p></div>", "Short."),
+        (f"<div class='site-header'><p>{LONG}</p></div><article><p>Story.</p></article><div class='newsletter-signup-box'>{LONG}</div>", "Story."),
+        (f"<article><p>{LONG}</p></article><div>A line of nobody's.</div>", LONG.strip()),
+    ],
+)
+def test_names_and_cards_lose_no_text(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_stretches_against_brute_force():
+    draw = random.Random(2)
+    for _ in range(300):
+        weights = [draw.choice([0, 0, 0, 0, 1, 5, 90]) for _ in range(draw.randrange(30))]
+        windows = [sum(weights[j] for j in range(i - html_extract.WINDOW + 1, i + 1) if 0 <= j < len(weights)) for i in range(len(weights) + html_extract.WINDOW)]
+        runs, want = "".join("x" if w else " " for w in windows), []
+        for m in re.finditer("x+", runs):
+            want.append((m.start(), min(m.end(), len(weights)), max(windows[m.start() : m.end()])))
+        assert html_extract.stretches(weights) == want
+
+
 def test_main_text_keeps_rows(spark):
     pages = spark.createDataFrame([(1, None, "<p>a</p>", "x"), (1, None, "<p>a</p>", "x"), (None, "u", None, "y")], "page_id bigint, url string, html string, text string")
     assert sorted(r.text for r in html_extract.extract(pages).collect()) == ["", "a", "a"]
