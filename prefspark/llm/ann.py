@@ -35,6 +35,8 @@ from prefspark.session import materialize
 SAMPLE = 4000
 GRAPH = 10  # neighbours in the graph
 PART_ROWS = 2000  # aimed at
+MIN_PARTS = 16  # whenever they get LEAST_ROWS rows each; fewer vectors are one part
+LEAST_ROWS = 20
 MAX_PARTS = 64
 HIDDEN = 128
 RECALL = 0.985  # on the sample; the table's own recall is measured in the tests
@@ -219,7 +221,7 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", v
     entries = materialize(entries, "ann-entries")
     n = entries.count()
     drawn = entries.orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").toPandas()  # ``sample`` vectors at most
-    parts = 1 << max(0, round(np.log2(max(1, n / part_rows))))
+    parts = max(1 << max(0, round(np.log2(max(1, n / part_rows)))), MIN_PARTS if n >= MIN_PARTS * LEAST_ROWS else 1)
     held = spark.sparkContext.broadcast(fit(_matrix(drawn["vector"]), min(parts, MAX_PARTS)))
     route = _placed(lambda: held.value)
     placed = materialize(entries.select("vector", "key", "ids").mapInArrow(route, "vector array<double>, key bigint, ids array<bigint>, part int, routes array<int>"), "ann-placed")

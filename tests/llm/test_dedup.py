@@ -390,13 +390,14 @@ def brute_neighbours(rows, every, k):
     return out
 
 
-def test_recall_against_brute_force(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize(("sf", "settings"), [("sf0.1", {"part_rows": 100}), ("sf0.1", {}), ("sf0.01", {})])
+def test_recall_against_brute_force(spark, sf, settings):
+    """With parts of 100 rows, where the routing has to choose among many, and with the registered settings."""
+    sf = f"/root/testdata/{sf}"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     expected = brute_neighbours(rows, 50, 5)
     got = defaultdict(list)
-    # Parts of 100 rows: the routing has to choose among many.
-    for r in ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), 50, part_rows=100).collect():
+    for r in ann.search(spark.read.parquet(f"{sf}/embeddings.parquet"), 50, **settings).collect():
         got[r.query_id].append(r)
     assert set(got) == set(expected)
     hit = 0
@@ -404,6 +405,7 @@ def test_recall_against_brute_force(spark):
         found.sort(key=lambda r: r["rank"])
         assert [r["rank"] for r in found] == list(range(1, 6)) and found == sorted(found, key=lambda r: (-r.score, r.vec_id))
         hit += len({r.vec_id for r in found} & {i for _, i in expected[q]})
+    print("recall", sf, settings, hit / sum(map(len, expected.values())))
     assert hit >= 0.9 * sum(map(len, expected.values()))
 
 
