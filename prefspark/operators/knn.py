@@ -23,7 +23,49 @@ from prefspark.operators import seen as seen_sets
 from prefspark.session import materialize, ship_package
 
 BLOCK_BYTES = 64 << 20  # memory budget of one item block (float64 matrix); query blocks get a quarter
-_CHUNK = 256  # query rows per matrix product inside a block (bounds the score matrix)
+TILE = 16384  # items of a block that are compared at a time
+SCORE_BYTES = 16 << 20  # of the scores that are held at once: some query rows against a tile
+QUERY_ROWS = 4096  # of a group while the whole catalogue is one block, so that many tasks share the queries
+TIE = 1e-9  # of the lengths involved: items this near to the cut are ranked by their exact scores
+
+
+def _excluded(qpdf: pd.DataFrame, ids: np.ndarray):
+    """Query row -> places of the items that it must not get, or None."""
+    if "ex_ids" in qpdf.columns:
+        lists = qpdf["ex_ids"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        ordered = ids[by_id]
+
+        def places(row: int) -> np.ndarray | None:
+            if lists[row] is None or not len(lists[row]):
+                return None
+            gone = np.asarray(lists[row], dtype=np.int64)
+            first, last = np.searchsorted(ordered, gone, "left"), np.searchsorted(ordered, gone, "right")
+            while (last > first + 1).any():  # an id that several items have
+                more = np.flatnonzero(last > first + 1)
+                first, last = np.concatenate([first, first[more] + 1]), np.concatenate([np.where(last > first + 1, first + 1, last), last[more]])
+            return by_id[first[last > first]]
+
+        return places
+    if "ex_bits" in qpdf.columns:
+        bits = qpdf["ex_bits"].to_numpy()
+        return lambda row: None if bits[row] is None else np.flatnonzero(seen_sets.contains([b["block"] for b in bits[row]], [b["bitmap"] for b in bits[row]], ids))
+    return lambda row: None
+
+
+def _nearest(key: np.ndarray, k: np.ndarray, cut: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the entries that can be among a row's ``k`` smallest; ``cut``, up to which they can, falls in place."""
+    near = key <= (cut + slack)[:, None]
+    many = near.sum(axis=1) > 4 * k + 16
+    for some in np.unique(k[many]):
+        rows = np.flatnonzero(many & (k == some))
+        if some < key.shape[1]:
+            part = key if len(rows) == len(key) else key[rows]
+            cut[rows] = np.fmin(cut[rows], np.partition(part, some - 1, axis=1)[:, some - 1])
+            near[rows] = part <= (cut[rows] + slack[rows])[:, None]
+    row, place = np.nonzero(near)
+    kept = ~np.isposinf(key[row, place])
+    return row[kept], place[kept]
 
 
 def _block_fn(metric: str, qid_cols: list[str]):
@@ -31,60 +73,48 @@ def _block_fn(metric: str, qid_cols: list[str]):
         cols = qid_cols + ["item_id", "score"]
         if len(qpdf) == 0 or len(ipdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
-        X = np.stack(ipdf["ivec"].to_numpy()).astype(np.float64)
-        ids = ipdf["item_id"].to_numpy(dtype=np.int64)
-        Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        if Q.shape[1] != X.shape[1]:
+        ivec, qvec = ipdf["ivec"].to_numpy(), qpdf["qvec"].to_numpy()
+        if {len(v) for v in qvec} != {len(v) for v in ivec}:
             raise ValueError("query and item vectors differ in dimension")
-        kq = np.minimum(qpdf["k"].to_numpy(dtype=np.int64), len(ids))
-        excl = qpdf["ex_ids"].to_numpy() if "ex_ids" in qpdf.columns else None
-        bits = qpdf["ex_bits"].to_numpy() if "ex_bits" in qpdf.columns else None
-        xx = np.einsum("ij,ij->i", X, X)
-        out_rows, out_ids, out_scores = [], [], []
-        for start in range(0, len(Q), _CHUNK):
-            q = Q[start : start + _CHUNK]
-            dots = q @ X.T
-            if metric == "l2":
-                key = xx[None, :] - 2.0 * dots  # + |q|^2, constant per row
-            else:
-                key = -dots
-            for r in range(len(q)):
-                k = int(kq[start + r])
-                if k <= 0:
-                    continue
-                row = key[r]
-                gone = None
-                if excl is not None and excl[start + r] is not None and len(excl[start + r]):
-                    gone = np.isin(ids, np.asarray(excl[start + r], dtype=np.int64))
-                elif bits is not None and bits[start + r] is not None:
-                    gone = seen_sets.contains([b["block"] for b in bits[start + r]], [b["bitmap"] for b in bits[start + r]], ids)
-                if gone is not None:
-                    row = row.copy()
-                    row[gone] = np.inf  # seen: never chosen
-                    k = min(k, int(np.count_nonzero(np.isfinite(row))))
-                    if k <= 0:
-                        continue
-                if k < len(row):
-                    thr = np.partition(row, k - 1)[k - 1]
-                    cand = np.nonzero(row <= thr)[0]  # keeps every tie at the cut
-                else:
-                    cand = np.arange(len(row))
-                order = np.lexsort((ids[cand], row[cand]))[:k]
-                sel = cand[order]
+        k = qpdf["k"].to_numpy(dtype=np.int64)
+        asked = np.flatnonzero(k > 0)
+        cut = np.full(len(k), np.inf)  # of each query: no item beyond is among its nearest
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # row, item, score
+        for at in range(0, len(ivec), TILE):
+            X = np.stack(ivec[at : at + TILE]).astype(np.float64)
+            ids = ipdf["item_id"].to_numpy(dtype=np.int64)[at : at + TILE]
+            excluded = _excluded(qpdf, ids)
+            xx = np.einsum("ij,ij->i", X, X)
+            longest = np.sqrt(np.nanmax(xx))
+            step = max(1, SCORE_BYTES // (8 * len(ids)))
+            for start in range(0, len(asked), step):
+                rows = asked[start : start + step]
+                q = np.stack(qvec[rows]).astype(np.float64)
+                key = q @ X.T
+                key *= -2.0 if metric == "l2" else -1.0
+                if metric == "l2":
+                    key += xx[None, :]  # + |q|^2, constant per row
+                for r, whole in enumerate(rows.tolist()):
+                    gone = excluded(whole)
+                    if gone is not None:
+                        key[r, gone] = np.inf  # seen: never chosen
+                slack = TIE * (np.sqrt(np.einsum("ij,ij->i", q, q)) + longest) ** 2
+                limit = cut[rows]
+                row, sel = _nearest(key, k[rows], limit, np.where(np.isfinite(slack), slack, 0.0))
+                cut[rows] = limit
                 if metric == "l2":
-                    diff = X[sel] - q[r]
+                    diff = X[sel] - q[row]
                     score = np.einsum("ij,ij->i", diff, diff)
                 else:
-                    score = dots[r, sel]
-                out_rows.append(np.full(len(sel), start + r))
-                out_ids.append(ids[sel])
-                out_scores.append(score)
-        if not out_rows:
-            return pd.DataFrame({c: [] for c in cols})
-        pos = np.concatenate(out_rows)
-        res = qpdf.iloc[pos][qid_cols].reset_index(drop=True)
-        res["item_id"] = np.concatenate(out_ids)
-        res["score"] = np.concatenate(out_scores)
+                    score = np.einsum("ij,ij->i", X[sel], q[row])
+                found.append((rows[row], ids[sel], score))
+        row, item, score = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.lexsort((item, score if metric == "l2" else -score, row))
+        row = row[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k[row]  # rows are in order: places from where each begins
+        res = qpdf[qid_cols].iloc[row[best]].reset_index(drop=True)
+        res["item_id"] = item[order[best]]
+        res["score"] = score[order[best]]
         return res
 
     return run
@@ -132,7 +162,7 @@ def block_topk(
     stats = it.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ivec")).alias("d")).first()
     ni, dim = int(stats["n"] or 0), max(int(stats["d"] or 1), 1)
     item_block = item_block or max(1024, block_bytes // (dim * 8))
-    query_block = query_block or max(256, block_bytes // 4 // (dim * 8))
+    asked, query_block = query_block, query_block or max(256, block_bytes // 4 // (dim * 8))
     if cells is None and ni > item_block:
         cells = knn_cells.cells_for(ni, item_block)
     if exclude_bitmaps is not None and cells and ni:
@@ -141,8 +171,10 @@ def block_topk(
         built, placed = knn_cells.build(it, cells, item_block, metric)
         return knn_cells.topk(q, built, placed, _block_fn(metric, qid_cols), metric, qid_cols, query_block, exclude)
     # One item block: it is copied to each query block, and a query's candidates are its answer.
+    query_block = asked or min(query_block, QUERY_ROWS)
     if exclude_bitmaps is not None:
-        carried = seen_sets.BITMAP_BYTES * math.ceil(ni / seen_sets.BLOCK_ITEMS)
+        exclude_bitmaps = materialize(exclude_bitmaps.select("user_id", "block", "bitmap"), "knn-bitmaps")
+        carried = (exclude_bitmaps.agg(F.sum(F.length("bitmap")).alias("n")).first()["n"] or 0) // max(nq, 1)
         query_block = max(256, query_block * dim * 8 // (dim * 8 + carried))
     bq = max(1, math.ceil(nq / query_block))
     q_rep = q.select("*", F.pmod(F.xxhash64(*qid_cols), F.lit(bq)).alias("qb"))
