@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +67,14 @@ def py_uniform_text(text: str) -> float:
     return (int.from_bytes(hashlib.md5(text.encode("utf-8")).digest()[:7], "big") >> 4) / TWO_POW_52
 
 
+def py_uniforms(texts: list[str]) -> np.ndarray:
+    """``py_uniform_text`` of many keys."""
+    if not texts:
+        return np.zeros(0)
+    digests = b"".join([hashlib.md5(t.encode("utf-8")).digest() for t in texts])
+    return (np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(12)).astype(np.float64) / TWO_POW_52
+
+
 def py_normal(seed, *parts) -> float:
     u1 = 1.0 - py_uniform(seed, *parts, "n1")
     u2 = py_uniform(seed, *parts, "n2")

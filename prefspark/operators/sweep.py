@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefspark.operators.evaluate import MAX_LOOKUP_ROWS, checked_broadcast
-from prefspark.operators.replay import PARAMS, Replay
+from prefspark.operators.replay import PARAMS, Lanes, Replay
 from prefspark.session import ship_package
 
 PARAM_ORDER = PARAMS
@@ -37,6 +37,9 @@ MIN_SAMPLES = 10  # the evaluation fixes min_samples_before_removal at 10
 CONFIGS_PER_TASK = 512
 STEPS_PER_TASK = 20_000_000  # of an event under one configuration
 HELD_CONFIGS = 65_536  # configurations whose sums a task collects before it gives them out
+LANE_EVENTS = 512  # a user with more is replayed as its events come, the others many at a time
+LANE_RUNS = 8192  # runs that are stepped together
+LANE_PLACES = 65_536  # users x events of the longest of them that are held for it
 _WHOLE = ("max_embeddings", "n_components")
 
 
@@ -80,7 +83,7 @@ class _Held:
     def __init__(self, ids: list[int]):
         self.ids, self.sums, self.errors = ids, {}, {}
 
-    def add(self, replay: Replay) -> None:
+    def add(self, replay: Replay | Lanes) -> None:
         for key, part in replay.sums().items():
             self.sums[key] = self.sums.get(key, 0.0) + part
         for key, error in replay.failures().items():
@@ -98,34 +101,91 @@ class _Held:
         return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in _CELLS.split(", ")])
 
 
+class _Task:
+    """The replays of a task: users with few events wait until enough of them can be stepped together."""
+
+    def __init__(self, seed: int, min_samples: int):
+        self.seed, self.min_samples = seed, min_samples
+        self.held: dict[tuple[int, int], _Held] = {}
+        self.size = 0
+        self.ids: list[int] = []
+        self.waiting: list[tuple[int, list[tuple]]] = []
+        self.longest = 0
+        self.user, self.events, self.replay = 0, [], None
+
+    def begin(self, configs: list[dict], user: int) -> Iterator[pd.DataFrame]:
+        """A user's events follow, under these configurations; what was collected, if that has become too much."""
+        self.end()
+        ids = [int(c["config_id"]) for c in configs]
+        if ids != self.ids:
+            self.play()
+            self.ids, self.params = ids, np.array([[c[p] for p in PARAMS] for c in configs], np.float64)
+        block = ids[0], len(ids)  # blocks are runs of the grid
+        if block not in self.held:
+            self.size += len(ids)
+            if self.size > HELD_CONFIGS:
+                yield from self.rows()
+                self.held, self.size = {}, len(ids)
+            self.held[block] = _Held(ids)
+        self.here, self.user = self.held[block], user
+
+    def event(self, *event) -> None:
+        if self.replay:
+            self.replay.step(*event)
+            return
+        self.events.append(event)
+        if len(self.events) > LANE_EVENTS:
+            self._alone()
+
+    def _prefix(self, user: int) -> list[str]:
+        return [f"{self.seed}:{i}:{user}:" for i in self.ids]
+
+    def _alone(self) -> None:
+        self.replay = Replay(self.ids, self.params, self._prefix(self.user), self.min_samples)
+        for event in self.events:
+            self.replay.step(*event)
+        self.events = []
+
+    def end(self) -> None:
+        """The user has no more events."""
+        if self.events and len({np.shape(vec) for vec, *_ in self.events}) > 1:
+            self._alone()  # which reports what doesn't fit
+        if self.replay:
+            self.here.add(self.replay)
+        elif self.events:
+            self.waiting.append((self.user, self.events))
+            profiles = {name for _, events in self.waiting[:1] for *_, rewards in events for name in rewards}
+            self.longest = max(self.longest, len(self.events))
+            if len(self.waiting) * len(self.ids) * max(1, len(profiles)) >= LANE_RUNS or len(self.waiting) * self.longest >= LANE_PLACES:
+                self.play()
+        self.events, self.replay = [], None
+
+    def play(self) -> None:
+        if self.waiting:
+            self.here.add(Lanes(self.ids, self.params, [self._prefix(u) for u, _ in self.waiting], [events for _, events in self.waiting], self.min_samples))
+            self.waiting, self.longest = [], 0
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        return (h.rows() for h in self.held.values())
+
+
 def _replays(seed: int, min_samples: int):
     """Rows sorted by (block, user, configurations first, time): every user's replay, summed up over the task's users."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, replay, held, size = None, None, {}, 0
+        task, group = _Task(seed, min_samples), None
         for pdf in batches:
             blocks, users = pdf["cfg_block"].to_numpy(), pdf["user_id"].to_numpy()
             columns = [pdf[c].to_numpy() for c in ("configs", "vec", "event_id", "category", "rewards")]
             for j, (configs, vec, event_id, category, rewards) in enumerate(zip(*columns, strict=True)):
-                if (blocks[j], users[j]) == group:
-                    replay.step(np.asarray(vec, np.float64), int(event_id), category, dict(rewards))
-                    continue
-                if replay:
-                    here.add(replay)
-                group = (blocks[j], users[j])
-                ids = [int(c["config_id"]) for c in configs]
-                if (ids[0], len(ids)) not in held:  # blocks are runs of the grid
-                    size += len(ids)
-                    if size > HELD_CONFIGS:
-                        yield from (h.rows() for h in held.values())
-                        held, size = {}, len(ids)
-                    held[ids[0], len(ids)] = _Held(ids)
-                here = held[ids[0], len(ids)]
-                params = np.array([[c[p] for p in PARAM_ORDER] for c in configs], np.float64)
-                replay = Replay(ids, params, [f"{seed}:{i}:{int(users[j])}:" for i in ids], min_samples)
-        if replay:
-            here.add(replay)
-        yield from (h.rows() for h in held.values())
+                if (blocks[j], users[j]) != group:
+                    group = (blocks[j], users[j])
+                    yield from task.begin(configs, int(users[j]))
+                else:
+                    task.event(np.asarray(vec, np.float64), int(event_id), category, dict(rewards))
+        task.end()
+        task.play()
+        yield from task.rows()
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from prefspark.functions.draws import py_uniform_text
 from prefspark.operators import knn, knn_cells
 from prefspark.operators import sweep as SW
 from prefspark.operators.profile import FoldParams, ProfileState
-from prefspark.operators.replay import PARAMS, Replay
+from prefspark.operators.replay import PARAMS, Lanes, Replay
 
 
 def clustered(n: int, d: int = 6, clusters: int = 12, seed: int = 0) -> np.ndarray:
@@ -148,6 +149,49 @@ def test_replay_equals_runs_one_by_one(monkeypatch, slack):
     assert replay.n_stored <= 2 * replay.m.sum() + slack + 1
 
 
+def test_users_side_by_side_equal_runs_one_by_one():
+    draw = np.random.default_rng(8)
+    grid = list(itertools.product([0.1, 0.5], [0.2, 0.99], [2.0], [0, 1, 6], [0.0, 0.3, 1.0], [0, 2, 5]))
+    vectors = np.concatenate([draw.standard_normal((25, 5)), np.zeros((1, 5))])
+    users = {u: [(vectors[draw.integers(26)], k, f"c{k % 3}" if k % 5 else None, {"p": float(draw.choice([10, -10])), **({"q": float(draw.choice([1, -3]))} if k % 4 else {})})
+                 for k in range(n)] for u, n in {4: 1, 7: 40, 9: 17, 11: 40, 12: 2}.items()}
+    lanes = Lanes(list(range(len(grid))), np.array(grid), [[f"9:{i}:{u}:" for i in range(len(grid))] for u in users], list(users.values()), 3)
+    assert not lanes.failures()
+    want = {}
+    for user, events in users.items():
+        for key, cell in one_by_one(list(enumerate(grid)), events, user, 9, 3).items():
+            want[key] = [a + b for a, b in zip(want.get(key, [0] * 4), cell, strict=True)]
+    got = all_cells(lanes)
+    assert set(got) == set(want)
+    for key, cell in want.items():
+        assert got[key] == pytest.approx(cell, abs=1e-9), key
+    steps = Lanes([0, 1], np.array([[1e308, 0.5, 2, 3, 1.0, 0], [0.2, 0.5, 2, 3, 1.0, 0]]), [["1:0:1:", "1:1:1:"]], [[(np.array([1.0, k]), k, "c", {"p": 10.0 * (-1) ** k}) for k in range(6)]], 10)
+    assert set(steps.failures()) == {("p", 0)} and all_cells(steps)[1, "p", "c"][1] == 6
+
+
+def test_a_task_steps_users_together_and_long_histories_alone(monkeypatch):
+    """The sums are the same whether users are replayed one by one or side by side."""
+    from prefspark.plans import evaluation as EP
+
+    together = []
+    monkeypatch.setattr(SW, "Lanes", lambda *a: together.append(len(a[3])) or Lanes(*a))
+    draw = np.random.default_rng(2)
+    grid = EP.GRID | {"alpha": [0.2]}
+    configs = SW.param_grid(grid)
+    rows = []
+    for user in range(30):
+        head = {"cfg_block": 0, "user_id": user, "configs": configs, "vec": None, "event_id": None, "category": None, "rewards": None}
+        rows += [head, *({**head, "configs": None, "vec": draw.standard_normal(4), "event_id": 100 * user + k, "category": f"c{k % 2}", "rewards": {"p": 10.0}} for k in range(1 + user))]
+    pdf = pd.DataFrame(rows)
+    cells = lambda: pd.concat(list(SW._replays(1, 3)(iter([pdf[:100], pdf[100:]])))).sort_values(["config_id", "category"]).reset_index(drop=True)
+    side_by_side = cells()
+    assert max(together) > 10
+    together.clear()
+    monkeypatch.setattr(SW, "LANE_EVENTS", 0)
+    pd.testing.assert_frame_equal(side_by_side, cells())
+    assert not together
+
+
 def test_runs_that_overflow_are_reported():
     replay = Replay([0, 1], np.array([[1e308, 0.5, 2, 3, 1.0, 0], [0.2, 0.5, 2, 3, 1.0, 0]]), ["1:0:1:", "1:1:1:"], 10)
     for k in range(6):
