@@ -1,11 +1,14 @@
 """Profile maintenance with separate state variables and timers.
 
-``transformWithState`` keeps four variables a user: ``totals`` (one row), ``slots`` (a list,
-at most ``max_embeddings + 1`` rows), ``sizes`` (rows that wait, by time bucket) and
-``waiting`` (those rows, by bucket and place).  A reaction that arrives is one added row in
-``waiting``; nothing that waits is read or written again.  The user's one timer stands at the
-end of the first bucket that waits.  When the watermark has passed it, the buckets that ended
-are folded in order, each sorted by ``(ts, event_id)``: memory holds one bucket of one user.
+``transformWithState`` keeps three variables a user: ``totals`` (one row, with a list of the
+chunks that wait), ``slots`` (a list, at most ``max_embeddings + 1`` rows) and ``waiting`` (the
+rows that wait, in chunks).  What a batch brings for a user is a few chunks of at most
+``CHUNK_ROWS`` rows in ``(ts, event_id)`` order, so the calls of the state store go with users
+and batches, not with rows.  A chunk is written once and removed when its last row is folded;
+between these it is read by each timer that ends one of its buckets.  The user's one timer stands
+at the end of the first bucket that waits.  When the watermark has passed it, the rows of all
+buckets that ended are folded in ``(ts, event_id)`` order by merging chunks: a chunk is read when
+the merge comes to its first row, so memory holds the chunks that overlap in time.
 
 Equal to the batch fold whatever the order of arrival within the watermark's delay.  Rows with
 a null user (heartbeats), time, id, item, reward or vector only move the watermark.  Rows behind
@@ -16,6 +19,7 @@ snapshot yet.  The state can be read back at any time as a table (``stored_profi
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -34,9 +38,31 @@ BUCKET_MS = 3_600_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-TOTALS = "avg double, total bigint, matches bigint, evictions bigint, folded_to bigint, late bigint"
+CHUNK_ROWS = 512
+
+CHUNKS = "array<struct<chunk: bigint, first: bigint, last: bigint>>"  # with the first and last bucket of each
+TOTALS = f"avg double, total bigint, matches bigint, evictions bigint, folded_to bigint, late bigint, next_chunk bigint, wakes_at bigint, chunks {CHUNKS}"
 SLOTS = "slot bigint, item_id bigint, embedding array<float>, preference double, rewards_received bigint"
-WAITING = "ts bigint, event_id bigint, item_id bigint, reward double, vec array<float>"
+# Buckets ascending and how many rows each has; the rows' columns one after another, as little-endian numbers.
+WAITING = "buckets array<bigint>, counts array<bigint>, sizes array<int>, columns binary"
+NEVER = -(1 << 62)
+
+
+def _packed(ts: np.ndarray, event_id: np.ndarray, item: np.ndarray, reward: np.ndarray, vecs: list[np.ndarray], bucket_us: int) -> tuple:
+    """A chunk as a WAITING row."""
+    buckets, counts = np.unique(ts // bucket_us, return_counts=True)
+    columns = [ts.astype("<i8"), event_id.astype("<i8"), item.astype("<i8"), reward.astype("<f8"), *(v.astype("<f4") for v in vecs)]
+    return buckets.tolist(), counts.tolist(), [len(v) for v in vecs], b"".join(c.tobytes() for c in columns)
+
+
+def _unpacked(chunk: tuple) -> Iterator[tuple[int, int, int, float, np.ndarray]]:
+    """ts, event_id, item_id, reward, vec of a chunk's rows."""
+    _, _, sizes, columns = chunk
+    n, columns = len(sizes), bytes(columns)
+    ts, event_id, item = np.frombuffer(columns, "<i8", 3 * n).reshape(3, n).tolist()
+    reward = np.frombuffer(columns, "<f8", n, 24 * n).tolist()
+    vecs = np.split(np.frombuffer(columns, "<f4", offset=32 * n), np.cumsum(sizes)[:-1])
+    return zip(ts, event_id, item, reward, vecs, strict=True)
 
 
 class ProfileProcessor(StatefulProcessor):
@@ -49,82 +75,109 @@ class ProfileProcessor(StatefulProcessor):
         self.handle = handle
         self.totals = handle.getValueState("totals", TOTALS)
         self.slots = handle.getListState("slots", SLOTS)
-        self.sizes = handle.getMapState("sizes", "bucket bigint", "n bigint")
-        self.waiting = handle.getMapState("waiting", "bucket bigint, place bigint", WAITING)
+        self.waiting = handle.getMapState("waiting", "chunk bigint", WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        avg, total, matches, evictions, folded_to, late = self._totals()
-        was_late, sizes = late, {}  # new sizes of the buckets that this call adds to
+        if key[0] is None or key[0] != key[0]:
+            return iter(())
+        *sums, folded_to, late, next_chunk, wakes_at, chunks = self._totals()
+        before = late, next_chunk
+        bucket_us = 1000 * self.bucket_ms
         for pdf in rows:
-            pdf = pdf[pdf["user_id"].notna()].dropna(subset=["ts", "event_id", "item_id", "reward", "vec"])
-            ts = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            for t, e, item, r, v in zip(ts, pdf["event_id"], pdf["item_id"], pdf["reward"], pdf["vec"], strict=True):
-                bucket = int(t) // (1000 * self.bucket_ms)
-                if bucket < folded_to:
-                    late += 1
-                    continue
-                if bucket not in sizes:
-                    sizes[bucket] = self._size(bucket)
-                self.waiting.updateValue((bucket, sizes[bucket]), (int(t), int(e), int(item), float(r), np.asarray(v, dtype=np.float32).tolist()))
-                sizes[bucket] += 1
-        for bucket, n in sizes.items():
-            self.sizes.updateValue((bucket,), (n,))
-        if late != was_late:
-            self.totals.update((avg, total, matches, evictions, folded_to, late))
-        if sizes:
-            self._wake_at((min(sizes) + 1) * self.bucket_ms)
+            columns = [pdf[c].to_numpy() for c in ("ts", "event_id", "item_id", "reward", "vec")]
+            whole = np.flatnonzero(~np.any([pd.isna(c) for c in columns[:4]] + [[v is None for v in columns[4]]], axis=0))
+            ts = columns[0][whole].astype("datetime64[us]").astype(np.int64)
+            on_time = ts // bucket_us >= folded_to
+            late += int((~on_time).sum())
+            ts, whole = ts[on_time], whole[on_time]
+            event_id = columns[1][whole].astype(np.int64)
+            order = np.lexsort((event_id, ts))
+            for at in range(0, len(order), CHUNK_ROWS):
+                some = order[at : at + CHUNK_ROWS]
+                places = whole[some]
+                vecs = [np.asarray(v, dtype=np.float32) for v in columns[4][places]]
+                chunk = _packed(ts[some], event_id[some], columns[2][places].astype(np.int64), columns[3][places].astype(np.float64), vecs, bucket_us)
+                self.waiting.updateValue((next_chunk,), chunk)
+                chunks.append((next_chunk, chunk[0][0], chunk[0][-1]))
+                next_chunk += 1
+        if (late, next_chunk) != before:
+            wakes_at = self._wake_at(chunks, folded_to, wakes_at)
+            self.totals.update((*sums, folded_to, late, next_chunk, wakes_at, chunks))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(int(bucket) for (bucket,) in self.sizes.keys())
-        ended = [bucket for bucket in waiting if (bucket + 1) * self.bucket_ms <= watermark]
+        ended = timerValues.getCurrentWatermarkInMs() // self.bucket_ms  # the first bucket that hasn't
+        avg, total, matches, evictions, folded_to, late, next_chunk, _, chunks = self._totals()
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        if len(ended) < len(waiting):
-            self._wake_at((waiting[len(ended)] + 1) * self.bucket_ms)
-        if ended:
-            yield self._fold(int(key[0]), ended)
-
-    def _totals(self) -> tuple[float, int, int, int, int, int]:
-        if not self.totals.exists():
-            return 0.0, 0, 0, 0, -(1 << 62), 0
-        avg, *counts = self.totals.get()
-        return float(avg), *map(int, counts)
-
-    def _size(self, bucket: int) -> int:
-        return int(self.sizes.getValue((bucket,))[0]) if self.sizes.containsKey((bucket,)) else 0
-
-    def _wake_at(self, due_ms: int) -> None:
-        """One timer a user, at the earliest time asked for."""
-        timers = list(self.handle.listTimers())
-        if timers and min(timers) <= due_ms:
-            return
-        for timer in timers:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due_ms)
-
-    def _fold(self, user: int, buckets: list[int]) -> pd.DataFrame:
-        avg, total, matches, evictions, _, late = self._totals()
         st = ProfileState(self.params)
-        if self.slots.exists():
+        if total:
             for _, item, vec, pref, count in sorted(self.slots.get(), key=lambda row: row[0]):
                 st.restore_slot(vec, item, pref, count)
-        if total:
             st.avg, st.total, st.matches, st.evictions = avg, total, matches, evictions
-        for bucket in buckets:
-            rows = []
-            for place in range(self._size(bucket)):
-                rows.append(self.waiting.getValue((bucket, place)))
-                self.waiting.removeKey((bucket, place))
-            self.sizes.removeKey((bucket,))
-            for _, _, item, reward, vec in sorted(rows, key=lambda row: (row[0], row[1])):
-                st.react(np.asarray(vec, dtype=np.float32), float(reward), item)
+        left: dict[int, int] = {}  # chunks that have been read and wait on: their first bucket that does
+        now = folded_to
+        for ts, _, item, reward, vec in self._merged(chunks, folded_to, ended, left):
+            st.react(vec, reward, item)
+            now = ts // (1000 * self.bucket_ms) + 1
+        chunks = [(c, left.get(c, first), last) for c, first, last in chunks if last >= ended]
+        wakes_at = self._wake_at(chunks, now, NEVER)
+        sums = float(st.avg), int(st.total), int(st.matches), int(st.evictions)
+        self.totals.update((*sums, now, late, next_chunk, wakes_at, chunks))
+        if st.total > total:
+            yield self._snapshot(int(key[0]), st, late)
+
+    def _totals(self) -> tuple:
+        row = self.totals.get()
+        if row is None:
+            return 0.0, 0, 0, 0, NEVER, 0, 0, NEVER, []
+        avg, *counts, chunks = row
+        return float(avg), *map(int, counts), [tuple(int(v) for v in c) for c in chunks]
+
+    def _wake_at(self, chunks: list[tuple[int, int, int]], folded_to: int, wakes_at: int) -> int:
+        """One timer a user, at the end of the first bucket that waits; when it is due."""
+        if not chunks:
+            return NEVER
+        due_ms = (max(folded_to, min(first for _, first, _ in chunks)) + 1) * self.bucket_ms
+        if wakes_at == NEVER or due_ms < wakes_at:
+            if wakes_at != NEVER:
+                self.handle.deleteTimer(wakes_at)
+            self.handle.registerTimer(due_ms)
+            return due_ms
+        return wakes_at
+
+    def _merged(self, chunks: list[tuple[int, int, int]], folded_to: int, ended: int, left: dict[int, int]) -> Iterator[tuple]:
+        """Rows of the buckets from ``folded_to`` to ``ended``, in ``(ts, event_id)`` order; chunks whose buckets all ended are removed."""
+        bucket_us = 1000 * self.bucket_ms
+        unread = sorted((max(first, folded_to), chunk, last) for chunk, first, last in chunks if first < ended)[::-1]
+        heads: list[tuple] = []  # the next row of each chunk that has been read
+        while unread or heads:
+            while unread and (not heads or unread[-1][0] * bucket_us <= heads[0][0]):
+                _, chunk, last = unread.pop()
+                value = self.waiting.getValue((chunk,))
+                if last < ended:
+                    self.waiting.removeKey((chunk,))
+                else:
+                    left[chunk] = next(int(b) for b in value[0] if b >= ended)
+                rows = (row for row in _unpacked(value) if folded_to <= row[0] // bucket_us < ended)
+                row = next(rows, None)
+                if row is not None:
+                    heapq.heappush(heads, (row[0], row[1], chunk, row, rows))
+            if heads:
+                _, _, chunk, row, rows = heads[0]
+                yield row
+                row = next(rows, None)
+                if row is None:
+                    heapq.heappop(heads)
+                else:
+                    heapq.heapreplace(heads, (row[0], row[1], chunk, row, rows))
+
+    def _snapshot(self, user: int, st: ProfileState, late: int) -> pd.DataFrame:
+        """The profile, stored and as rows of the output."""
         slots = [
             (i, int(item), np.asarray(vec, dtype=np.float32).tolist(), float(pref), int(count))
             for i, (item, vec, pref, count) in enumerate(zip(st.item_ids, st.vecs, st.prefs, st.counts, strict=True))
         ]
         self.slots.put(slots)
-        self.totals.update((float(st.avg), int(st.total), int(st.matches), int(st.evictions), buckets[-1] + 1, late))
         out = pd.DataFrame(slots, columns=["slot", "item_id", "embedding", "preference", "rewards_received"])
         out.insert(0, "user_id", user)
         return out.assign(total_rewards=int(st.total), reward_average=float(st.avg), matches=int(st.matches), evictions=int(st.evictions), late_events=late)
@@ -171,4 +224,7 @@ def stored_profiles(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
 
 def still_waiting(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     """user_id, bucket and n of the rows that wait for the watermark."""
-    return _state(spark, checkpoint_dir, "sizes").select("key.user_id", F.col("user_map_key.bucket").alias("bucket"), F.col("user_map_value.n").alias("n"))
+    folded = _state(spark, checkpoint_dir, "totals").select("key.user_id", "value.folded_to")
+    chunks = _state(spark, checkpoint_dir, "waiting").select("key.user_id", F.explode(F.arrays_zip("user_map_value.buckets", "user_map_value.counts")).alias("b"))
+    rows = chunks.join(folded, "user_id").select("user_id", F.col("b.buckets").alias("bucket"), F.col("b.counts").alias("n"), "folded_to")
+    return rows.where("bucket >= folded_to").groupBy("user_id", "bucket").agg(F.sum("n").alias("n"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
+
 from prefspark.operators import profile as P
 from prefspark.streaming import profiles as S
 from prefspark.streaming import timers as ST
@@ -70,3 +73,83 @@ def test_buckets_end_one_by_one(spark, tmp_path):
     S.write_heartbeat(spark, src, START + timedelta(hours=30))
     run()
     assert _rows(ST.stored_profiles(spark, ck)) == _rows(P.fold_profiles(spark.createDataFrame(rows, S.REACTION_SCHEMA), PARAMS))
+
+
+class _Store:
+    """A user's state variables, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.entries = 0, None, {}
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    put = update
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.entries[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.stores, self.timers, self.now = {}, [], 0
+
+    def _store(self, name, *_):
+        return self.stores.setdefault(name, _Store())
+
+    getValueState = getListState = getMapState = _store
+
+    def registerTimer(self, due):
+        self.timers.append(due)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def test_calls_of_the_store_go_with_batches_and_chunks_are_merged(monkeypatch):
+    """A batch of 60 rows in 60 buckets costs a few calls; small chunks that overlap are folded in order, also in part."""
+    rng = random.Random(9)
+    rows = [(7, START + timedelta(minutes=rng.randrange(6000)), i, i % 9, float(i % 3 - 1), [rng.gauss(0, 1) for _ in range(3)]) for i in range(240)]
+    state = P.ProfileState(PARAMS)
+    for _, _, _, item, reward, vec in sorted(rows, key=lambda r: r[1:3]):
+        state.react(np.asarray(vec, np.float32), reward, item)
+    for chunk_rows, most in ((512, 60), (7, None)):
+        monkeypatch.setattr(ST, "CHUNK_ROWS", chunk_rows)
+        handle, out = _Handle(), []
+        processor = ST.ProfileProcessor(PARAMS)
+        processor.init(handle)
+        for part in range(4):
+            pdf = pd.DataFrame(rows[part::4], columns=["user_id", "ts", "event_id", "item_id", "reward", "vec"])
+            processor.handleInputRows((7,), iter([pdf]), handle)
+            assert len(handle.timers) == 1
+        for hours in (30, 31, 70, 101):
+            handle.now = int((START - datetime(1970, 1, 1) + timedelta(hours=hours)).total_seconds() * 1000)
+            while handle.timers and handle.timers[0] <= handle.now:
+                out += list(processor.handleExpiredTimer((7,), handle, handle))
+        got = out[-1]
+        assert (got.item_id.tolist(), got.rewards_received.tolist(), got.total_rewards[0]) == (state.item_ids, state.counts, 240)
+        assert got.preference.tolist() == state.prefs and not handle.timers and not handle.stores["waiting"].entries
+        assert most is None or sum(s.calls for s in handle.stores.values()) <= most
