@@ -33,24 +33,27 @@ def _excluded(qpdf: pd.DataFrame, ids: np.ndarray):
     """Query row -> places of the items that it must not get, or None."""
     if "ex_ids" in qpdf.columns:
         lists = qpdf["ex_ids"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        ordered = ids[by_id]
-
-        def places(row: int) -> np.ndarray | None:
-            if lists[row] is None or not len(lists[row]):
-                return None
-            gone = np.asarray(lists[row], dtype=np.int64)
-            first, last = np.searchsorted(ordered, gone, "left"), np.searchsorted(ordered, gone, "right")
-            while (last > first + 1).any():  # an id that several items have
-                more = np.flatnonzero(last > first + 1)
-                first, last = np.concatenate([first, first[more] + 1]), np.concatenate([np.where(last > first + 1, first + 1, last), last[more]])
-            return by_id[first[last > first]]
-
-        return places
-    if "ex_bits" in qpdf.columns:
+        seen = lambda row: lists[row]
+    elif "ex_bits" in qpdf.columns:
         bits = qpdf["ex_bits"].to_numpy()
-        return lambda row: None if bits[row] is None else np.flatnonzero(seen_sets.contains([b["block"] for b in bits[row]], [b["bitmap"] for b in bits[row]], ids))
-    return lambda row: None
+        seen = lambda row: None if bits[row] is None else seen_sets.items_of([b["block"] for b in bits[row]], [bytes(b["bitmap"]) for b in bits[row]])[1]
+    else:
+        return lambda row: None
+    by_id = np.argsort(ids, kind="stable")
+    ordered = ids[by_id]
+
+    def places(row: int) -> np.ndarray | None:
+        gone = seen(row)
+        if gone is None or not len(gone):
+            return None
+        gone = np.asarray(gone, dtype=np.int64)
+        first, last = np.searchsorted(ordered, gone, "left"), np.searchsorted(ordered, gone, "right")
+        while (last > first + 1).any():  # an id that several items have
+            more = np.flatnonzero(last > first + 1)
+            first, last = np.concatenate([first, first[more] + 1]), np.concatenate([np.where(last > first + 1, first + 1, last), last[more]])
+        return by_id[first[last > first]]
+
+    return places
 
 
 def _nearest(key: np.ndarray, k: np.ndarray, cut: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

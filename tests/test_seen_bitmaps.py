@@ -85,3 +85,13 @@ def test_search_without_seen_items(spark):
     bitmaps = seen.seen_bitmaps(pairs)
     assert rows(knn.knn_unseen_bitmaps(queries, items, bitmaps, 6)) == want == rows(knn.knn_unseen_exact(queries, items, pairs, 6))
     assert rows(knn.block_topk(queries, items, 6, cells=8, exclude_bitmaps=bitmaps)) == want
+
+
+def test_a_set_of_few_items_is_a_few_bytes(spark):
+    """Ten bytes a word of 64 items that holds any, whatever the block; every bit of a word counts."""
+    few = [0, 63, 64, 20000, 5 * seen.BLOCK_ITEMS + 1]
+    rows = [(1, i) for i in few] + [(2, i) for i in range(63)] + [(3, i) for i in range(128)]
+    bitmaps = seen.seen_bitmaps(spark.createDataFrame(rows, PAIR)).cache()
+    assert {(r.user_id, r.block): len(r.bitmap) for r in bitmaps.collect()} == {(1, 1): 30, (1, 6): 10, (2, 1): 10, (3, 1): 20}
+    found = {r.user_id: (r.n_seen, r.first_available) for r in seen.available_items(bitmaps, F.lit(N)).collect()}
+    assert found == {1: (5, 1), 2: (63, 63), 3: (128, 128)}
