@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from prefspark.operators.evaluate import MAX_LOOKUP_ROWS, checked_broadcast
 from prefspark.operators.replay import PARAMS, Lanes, Replay
-from prefspark.session import ship_package
+from prefspark.session import materialize, ship_package
 
 PARAM_ORDER = PARAMS
 MIN_SAMPLES = 10  # the evaluation fixes min_samples_before_removal at 10
@@ -212,9 +212,12 @@ def sweep_replay(
     # Configurations per task, per user: a user with many events gets fewer per task
     # (down to one), so a hot user's replay is spread over up to one task per
     # configuration; ordinary users keep ``configs_per_task`` and are replicated less.
-    per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Users with fewer are listed by themselves, so that the events, which carry the
+    # vectors, meet a small table and are shuffled once only.
+    per_user = events.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     cpt = F.greatest(F.lit(1), F.least(F.lit(configs_per_task), (F.lit(steps_per_task) / F.col("_n")).cast("int")))
-    sized = per_user.select("user_id", cpt.alias("_cpt"))
+    sized = materialize(per_user.select("user_id", cpt.alias("_cpt")), "sweep-users")
+    hot = checked_broadcast(sized.where(F.col("_cpt") < configs_per_task))
     placed = grid.withColumn("_at", F.row_number().over(Window.orderBy("config_id")) - 1)  # the grid is configuration, not data
     # One row for each block of each block size that occurs, with its (at most ``configs_per_task``) configurations.
     blocks = sized.select("_cpt").distinct().crossJoin(placed).groupBy("_cpt", F.floor(F.col("_at") / F.col("_cpt")).cast("int").alias("cfg_block"))
@@ -223,8 +226,10 @@ def sweep_replay(
     event_cols = ["ts", "event_id", "vec", "category", "rewards"]
     kinds = {f.name: f.dataType for f in events.select(*event_cols).schema.fields}
     heads = by_user.select("cfg_block", "user_id", F.lit(0).alias("kind"), "configs", *[F.lit(None).cast(kinds[c]).alias(c) for c in event_cols])
-    steps = events.join(by_user.select("user_id", "cfg_block"), "user_id").select(
-        "cfg_block", "user_id", F.lit(1).alias("kind"), F.lit(None).cast(heads.schema["configs"].dataType).alias("configs"), *event_cols,
+    n_blocks = F.ceil(F.lit(grid.count()) / F.coalesce("_cpt", F.lit(configs_per_task))).cast("int")
+    each = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1))
+    steps = events.where(F.col("user_id").isNotNull()).join(hot, "user_id", "left").select(
+        F.explode(each).alias("cfg_block"), "user_id", F.lit(1).alias("kind"), F.lit(None).cast(heads.schema["configs"].dataType).alias("configs"), *event_cols,
     )
     ordered = heads.unionByName(steps).repartition(n, "cfg_block", "user_id").sortWithinPartitions("cfg_block", "user_id", "kind", "ts", "event_id")
     return summarise(ordered.mapInPandas(_replays(seed, min_samples), _CELLS), preferences, grid)
