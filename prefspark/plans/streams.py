@@ -32,12 +32,17 @@ def q_profile_stream(spark: SparkSession, sf: str) -> DataFrame:
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
 
 
+def _bare_reactions(spark: SparkSession, sf: str) -> DataFrame:
+    """What arrives of a reaction; the stream looks the item's vector up."""
+    return T.reactions(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward")
+
+
 def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
     """D10 in strict event-time order (watermark, delay 0); a closing heartbeat lets the watermark pass the last reaction."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "strict-out"), scratch_path(spark, "strict-ck")
-    staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    run = lambda: S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None)
-    S.arrive_in_slices(staged, src, "ts", SLICES, run)
+    items = T.items(spark, sf)
+    run = lambda: S.run_profile_stream_strict(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None, items=items)
+    S.arrive_in_slices(_bare_reactions(spark, sf), src, "ts", SLICES, run)
     S.write_heartbeat(spark, src, T.table(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"])
     run()
     return PP._slot_cols(S.latest_snapshot(spark.read.parquet(sink)))
