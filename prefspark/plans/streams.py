@@ -67,7 +67,7 @@ def q_profile_stream_timers(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_profile_state_reader(spark: SparkSession, sf: str) -> DataFrame:
     """The same profiles, read back from the stopped stream's state."""
-    return PP._slot_cols(materialize(ST.stored_profiles(spark, _timers_run(spark, sf)[1]), "state-read"))
+    return materialize(PP._slot_cols(ST.stored_profiles(spark, _timers_run(spark, sf)[1])), "state-read")
 
 
 def q_recommend_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Profile maintenance with separate state variables and timers.
 
-``transformWithState`` keeps three variables a user: ``totals`` (one row, with a list of the
-chunks that wait), ``slots`` (a list, at most ``max_embeddings + 1`` rows) and ``waiting`` (the
-rows that wait, in chunks).  What a batch brings for a user is a few chunks of at most
-``CHUNK_ROWS`` rows in ``(ts, event_id)`` order, so the calls of the state store go with users
-and batches, not with rows.  A chunk is written once and removed when its last row is folded;
-between these it is read by each timer that ends one of its buckets.  The user's one timer stands
-at the end of the first bucket that waits.  When the watermark has passed it, the rows of all
-buckets that ended are folded in ``(ts, event_id)`` order by merging chunks: a chunk is read when
-the merge comes to its first row, so memory holds the chunks that overlap in time.
+``transformWithState`` keeps three variables a group of users (``packed.by_group``): ``totals``
+(one row, with a list of the chunks that wait and each user's first bucket that isn't folded),
+``slots`` (a list, the profile of a user a row) and ``waiting`` (the rows that wait, in chunks).
+What a batch brings for a group is a few chunks of at most ``CHUNK_ROWS`` rows in ``(ts,
+event_id)`` order, so the calls of the state store go with groups and batches, not with users or
+rows.  A chunk is written once and removed when its last row is folded; between these it is read
+by each timer that ends one of its buckets.  The group's one timer stands at the end of the first
+bucket that waits.  When the watermark has passed it, the rows of all buckets that ended are
+folded in ``(ts, event_id)`` order by merging chunks: a chunk is read when the merge comes to its
+first row, so memory holds the chunks that overlap in time.
 
 Equal to the batch fold whatever the order of arrival within the watermark's delay.  Rows with
 a null user (heartbeats), time, id, item, reward or vector only move the watermark.  Rows behind
@@ -20,6 +21,7 @@ snapshot yet.  The state can be read back at any time as a table (``stored_profi
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -27,46 +29,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from prefspark.operators.profile import FoldParams, ProfileState
 from prefspark.session import ship_package
-from prefspark.streaming.profiles import OUTPUT_SCHEMA, REACTION_SCHEMA, _files
+from prefspark.streaming import packed as K
+from prefspark.streaming.profiles import BARE_SCHEMA, OUTPUT_SCHEMA, REACTION_SCHEMA, _files, event_timed, stored_on_disk
 
 BUCKET_MS = 3_600_000
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 CHUNK_ROWS = 512
 
-CHUNKS = "array<struct<chunk: bigint, first: bigint, last: bigint>>"  # with the first and last bucket of each
-TOTALS = f"avg double, total bigint, matches bigint, evictions bigint, folded_to bigint, late bigint, next_chunk bigint, wakes_at bigint, chunks {CHUNKS}"
-SLOTS = "slot bigint, item_id bigint, embedding array<float>, preference double, rewards_received bigint"
-# Buckets ascending and how many rows each has; the rows' columns one after another, as little-endian numbers.
-WAITING = "buckets array<bigint>, counts array<bigint>, sizes array<int>, columns binary"
+# ``chunks``: number, first and last bucket that waits of each; ``users``: id and first bucket not folded of each that has a profile.
+TOTALS = "next_chunk bigint, wakes_at bigint, bucket_ms bigint, chunks binary, users binary"
+WAITING = "n bigint, columns binary"
 NEVER = -(1 << 62)
 
 
-def _packed(ts: np.ndarray, event_id: np.ndarray, item: np.ndarray, reward: np.ndarray, vecs: list[np.ndarray], bucket_us: int) -> tuple:
-    """A chunk as a WAITING row."""
-    buckets, counts = np.unique(ts // bucket_us, return_counts=True)
-    columns = [ts.astype("<i8"), event_id.astype("<i8"), item.astype("<i8"), reward.astype("<f8"), *(v.astype("<f4") for v in vecs)]
-    return buckets.tolist(), counts.tolist(), [len(v) for v in vecs], b"".join(c.tobytes() for c in columns)
+def _packed(rows: list[tuple], width: int) -> bytes:
+    return np.array(rows, "<i8").reshape(-1, width).tobytes()
 
 
-def _unpacked(chunk: tuple) -> Iterator[tuple[int, int, int, float, np.ndarray]]:
-    """ts, event_id, item_id, reward, vec of a chunk's rows."""
-    _, _, sizes, columns = chunk
-    n, columns = len(sizes), bytes(columns)
-    ts, event_id, item = np.frombuffer(columns, "<i8", 3 * n).reshape(3, n).tolist()
-    reward = np.frombuffer(columns, "<f8", n, 24 * n).tolist()
-    vecs = np.split(np.frombuffer(columns, "<f4", offset=32 * n), np.cumsum(sizes)[:-1])
-    return zip(ts, event_id, item, reward, vecs, strict=True)
+def _unpacked(packed: bytes, width: int) -> list[list[int]]:
+    return np.frombuffer(bytes(packed), "<i8").reshape(-1, width).tolist()
+
+
+def _folded_to(users: np.ndarray, folded: dict[int, int]) -> np.ndarray:
+    """The first bucket not folded, for each of the rows' users."""
+    if not folded:
+        return np.full(len(users), NEVER)
+    known, at = np.unique(users, return_inverse=True)
+    return np.array([folded.get(u, NEVER) for u in known.tolist()], np.int64)[at]
 
 
 class ProfileProcessor(StatefulProcessor):
-    """Folds a user's reactions bucket by bucket as the watermark passes them."""
+    """Folds a group's reactions bucket by bucket as the watermark passes them."""
 
     def __init__(self, params: FoldParams, bucket_ms: int = BUCKET_MS) -> None:
         self.params, self.bucket_ms = params, bucket_ms
@@ -74,70 +71,70 @@ class ProfileProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getValueState("totals", TOTALS)
-        self.slots = handle.getListState("slots", SLOTS)
+        self.slots = handle.getListState("slots", K.PROFILE)
         self.waiting = handle.getMapState("waiting", "chunk bigint", WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if key[0] is None or key[0] != key[0]:
+        if K.no_group(key):
+            for _ in rows:
+                pass
             return iter(())
-        *sums, folded_to, late, next_chunk, wakes_at, chunks = self._totals()
-        before = late, next_chunk
+        next_chunk, wakes_at, chunks, folded = self._totals()
+        before, late = next_chunk, Counter()
         bucket_us = 1000 * self.bucket_ms
         for pdf in rows:
-            columns = [pdf[c].to_numpy() for c in ("ts", "event_id", "item_id", "reward", "vec")]
-            whole = np.flatnonzero(~np.any([pd.isna(c) for c in columns[:4]] + [[v is None for v in columns[4]]], axis=0))
-            ts = columns[0][whole].astype("datetime64[us]").astype(np.int64)
-            on_time = ts // bucket_us >= folded_to
-            late += int((~on_time).sum())
-            ts, whole = ts[on_time], whole[on_time]
-            event_id = columns[1][whole].astype(np.int64)
-            order = np.lexsort((event_id, ts))
-            for at in range(0, len(order), CHUNK_ROWS):
-                some = order[at : at + CHUNK_ROWS]
-                places = whole[some]
-                vecs = [np.asarray(v, dtype=np.float32) for v in columns[4][places]]
-                chunk = _packed(ts[some], event_id[some], columns[2][places].astype(np.int64), columns[3][places].astype(np.float64), vecs, bucket_us)
-                self.waiting.updateValue((next_chunk,), chunk)
-                chunks.append((next_chunk, chunk[0][0], chunk[0][-1]))
+            lacks = [pd.isna(pdf[c].to_numpy()) for c in ("user_id", "ts", "event_id", "item_id", "reward")] + [[v is None for v in pdf["vec"]]]
+            new = K.Rows.of(pdf, np.flatnonzero(~np.any(lacks, axis=0)))
+            on_time = new.ts // bucket_us >= _folded_to(new.user, folded)
+            late.update(new.user[~on_time].tolist())
+            new = new.at(np.flatnonzero(on_time)).ordered()
+            for at in range(0, len(new), CHUNK_ROWS):
+                chunk = new.at(np.arange(at, min(at + CHUNK_ROWS, len(new))))
+                self.waiting.updateValue((next_chunk,), (len(chunk), chunk.packed()))
+                chunks.append((next_chunk, int(chunk.ts[0]) // bucket_us, int(chunk.ts[-1]) // bucket_us))
                 next_chunk += 1
-        if (late, next_chunk) != before:
-            wakes_at = self._wake_at(chunks, folded_to, wakes_at)
-            self.totals.update((*sums, folded_to, late, next_chunk, wakes_at, chunks))
+        if late:  # their users have profiles
+            self.slots.put([(*p[:5], int(p[5]) + late[p[0]], *p[6:]) for p in self.slots.get()])
+        if next_chunk != before:
+            self._put_totals(next_chunk, self._wake_at(chunks, wakes_at), chunks, folded)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         ended = timerValues.getCurrentWatermarkInMs() // self.bucket_ms  # the first bucket that hasn't
-        avg, total, matches, evictions, folded_to, late, next_chunk, _, chunks = self._totals()
+        next_chunk, _, chunks, folded = self._totals()
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        st = ProfileState(self.params)
-        if total:
-            for _, item, vec, pref, count in sorted(self.slots.get(), key=lambda row: row[0]):
-                st.restore_slot(vec, item, pref, count)
-            st.avg, st.total, st.matches, st.evictions = avg, total, matches, evictions
+        profiles = {int(p[0]): p for p in self.slots.get()} if folded else {}
+        states: dict[int, ProfileState] = {}
         left: dict[int, int] = {}  # chunks that have been read and wait on: their first bucket that does
-        now = folded_to
-        for ts, _, item, reward, vec in self._merged(chunks, folded_to, ended, left):
-            st.react(vec, reward, item)
-            now = ts // (1000 * self.bucket_ms) + 1
+        now = dict(folded)
+        for ts, _, user, item, reward, vec, unit in self._merged(chunks, folded, ended, left):
+            st = states.get(user)
+            if st is None:
+                st = states[user] = K.restored(self.params, profiles.get(user))
+            st.react(vec, reward, item, unit)
+            now[user] = ts // (1000 * self.bucket_ms) + 1
         chunks = [(c, left.get(c, first), last) for c, first, last in chunks if last >= ended]
-        wakes_at = self._wake_at(chunks, now, NEVER)
-        sums = float(st.avg), int(st.total), int(st.matches), int(st.evictions)
-        self.totals.update((*sums, now, late, next_chunk, wakes_at, chunks))
-        if st.total > total:
-            yield self._snapshot(int(key[0]), st, late)
+        self._put_totals(next_chunk, self._wake_at(chunks, NEVER), chunks, now)
+        if states:
+            profiles |= {user: K.packed_profile(user, st, profiles[user][5] if user in profiles else 0) for user, st in states.items()}
+            self.slots.put(list(profiles.values()))
+            yield K.snapshots(profiles[user] for user in states)
 
-    def _totals(self) -> tuple:
+    def _totals(self) -> tuple[int, int, list, dict[int, int]]:
         row = self.totals.get()
         if row is None:
-            return 0.0, 0, 0, 0, NEVER, 0, 0, NEVER, []
-        avg, *counts, chunks = row
-        return float(avg), *map(int, counts), [tuple(int(v) for v in c) for c in chunks]
+            return 0, NEVER, [], {}
+        next_chunk, wakes_at, _, chunks, users = row
+        return int(next_chunk), int(wakes_at), _unpacked(chunks, 3), dict(_unpacked(users, 2))
 
-    def _wake_at(self, chunks: list[tuple[int, int, int]], folded_to: int, wakes_at: int) -> int:
-        """One timer a user, at the end of the first bucket that waits; when it is due."""
+    def _put_totals(self, next_chunk: int, wakes_at: int, chunks: list, folded: dict[int, int]) -> None:
+        self.totals.update((next_chunk, wakes_at, self.bucket_ms, _packed(chunks, 3), _packed(list(folded.items()), 2)))
+
+    def _wake_at(self, chunks: list, wakes_at: int) -> int:
+        """One timer a group, at the end of the first bucket that waits; when it is due."""
         if not chunks:
             return NEVER
-        due_ms = (max(folded_to, min(first for _, first, _ in chunks)) + 1) * self.bucket_ms
+        due_ms = (min(first for _, first, _ in chunks) + 1) * self.bucket_ms
         if wakes_at == NEVER or due_ms < wakes_at:
             if wakes_at != NEVER:
                 self.handle.deleteTimer(wakes_at)
@@ -145,20 +142,21 @@ class ProfileProcessor(StatefulProcessor):
             return due_ms
         return wakes_at
 
-    def _merged(self, chunks: list[tuple[int, int, int]], folded_to: int, ended: int, left: dict[int, int]) -> Iterator[tuple]:
-        """Rows of the buckets from ``folded_to`` to ``ended``, in ``(ts, event_id)`` order; chunks whose buckets all ended are removed."""
+    def _merged(self, chunks: list, folded: dict[int, int], ended: int, left: dict[int, int]) -> Iterator[tuple]:
+        """Rows that wait of the buckets to ``ended``, in ``(ts, event_id)`` order; chunks whose buckets all ended are removed."""
         bucket_us = 1000 * self.bucket_ms
-        unread = sorted((max(first, folded_to), chunk, last) for chunk, first, last in chunks if first < ended)[::-1]
+        unread = sorted((first, chunk, last) for chunk, first, last in chunks if first < ended)[::-1]
         heads: list[tuple] = []  # the next row of each chunk that has been read
         while unread or heads:
             while unread and (not heads or unread[-1][0] * bucket_us <= heads[0][0]):
                 _, chunk, last = unread.pop()
-                value = self.waiting.getValue((chunk,))
+                value = K.Rows.unpacked(*self.waiting.getValue((chunk,)))
+                buckets = value.ts // bucket_us
                 if last < ended:
                     self.waiting.removeKey((chunk,))
                 else:
-                    left[chunk] = next(int(b) for b in value[0] if b >= ended)
-                rows = (row for row in _unpacked(value) if folded_to <= row[0] // bucket_us < ended)
+                    left[chunk] = int(buckets[np.searchsorted(buckets, ended)])
+                rows = iter(value.at(np.flatnonzero((buckets < ended) & (buckets >= _folded_to(value.user, folded)))).reactions())
                 row = next(rows, None)
                 if row is not None:
                     heapq.heappush(heads, (row[0], row[1], chunk, row, rows))
@@ -171,41 +169,27 @@ class ProfileProcessor(StatefulProcessor):
                 else:
                     heapq.heapreplace(heads, (row[0], row[1], chunk, row, rows))
 
-    def _snapshot(self, user: int, st: ProfileState, late: int) -> pd.DataFrame:
-        """The profile, stored and as rows of the output."""
-        slots = [
-            (i, int(item), np.asarray(vec, dtype=np.float32).tolist(), float(pref), int(count))
-            for i, (item, vec, pref, count) in enumerate(zip(st.item_ids, st.vecs, st.prefs, st.counts, strict=True))
-        ]
-        self.slots.put(slots)
-        out = pd.DataFrame(slots, columns=["slot", "item_id", "embedding", "preference", "rewards_received"])
-        out.insert(0, "user_id", user)
-        return out.assign(total_rewards=int(st.total), reward_average=float(st.avg), matches=int(st.matches), evictions=int(st.evictions), late_events=late)
-
     def close(self) -> None:
         pass
 
 
-def profile_stream_timers(reactions: DataFrame, p: FoldParams, delay: str = "0 seconds", bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Streaming snapshots of the profiles of all users whose buckets ended."""
+def profile_stream_timers(reactions: DataFrame, p: FoldParams, delay: str = "0 seconds", bucket_ms: int = BUCKET_MS, items: DataFrame | None = None) -> DataFrame:
+    """Streaming snapshots of the profiles of all users whose buckets ended; reactions without ``vec`` get it from ``items``."""
     ship_package(reactions.sparkSession)
-    timed = reactions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("user_id").transformWithStateInPandas(ProfileProcessor(p, bucket_ms), OUTPUT_SCHEMA, "append", "EventTime")
+    groups = K.by_group(event_timed(reactions, delay, items)).groupBy(K.GROUP)
+    return groups.transformWithStateInPandas(ProfileProcessor(p, bucket_ms), OUTPUT_SCHEMA, "append", "EventTime")
 
 
 def run_profile_stream_timers(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, p: FoldParams,
-                              delay: str = "0 seconds", files_per_trigger: int | None = 1, bucket_ms: int = BUCKET_MS) -> int:
+                              delay: str = "0 seconds", files_per_trigger: int | None = 1, bucket_ms: int = BUCKET_MS,
+                              items: DataFrame | None = None) -> int:
     """Run until caught up; the number of rows that Spark dropped as behind the watermark."""
-    src = _files(spark, REACTION_SCHEMA, source_dir, files_per_trigger)
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)  # several state variables need this store; a query keeps the setting that it starts with
-    try:
+    src = _files(spark, REACTION_SCHEMA if items is None else BARE_SCHEMA, source_dir, files_per_trigger)
+    with stored_on_disk(spark):  # several state variables need this store
         q = (
-            profile_stream_timers(src, p, delay, bucket_ms).writeStream.format("parquet").outputMode("append")
+            profile_stream_timers(src, p, delay, bucket_ms, items).writeStream.format("parquet").outputMode("append")
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir)
         )
-    finally:
-        spark.conf.set(STORE, before)
     q.awaitTermination()
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for prog in q.recentProgress for op in prog.get("stateOperators", []))
 
@@ -214,17 +198,30 @@ def _state(spark: SparkSession, checkpoint_dir: str, variable: str) -> DataFrame
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint_dir)
 
 
+def _profile_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield K.snapshots(pdf.itertuples(index=False, name=None))
+
+
 def stored_profiles(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     """The profiles as a stopped stream's state has them, one row a slot."""
-    slots = _state(spark, checkpoint_dir, "slots").select("key.user_id", "list_element.*")
-    totals = _state(spark, checkpoint_dir, "totals").select("key.user_id", "value.*")
-    totals = totals.select("user_id", F.col("total").alias("total_rewards"), F.col("avg").alias("reward_average"), "matches", "evictions", F.col("late").alias("late_events"))
-    return slots.join(totals, "user_id")
+    ship_package(spark)
+    return _state(spark, checkpoint_dir, "slots").select("list_element.*").mapInPandas(_profile_rows, OUTPUT_SCHEMA)
+
+
+def _waiting_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for n, columns, bucket_ms, users in zip(pdf["n"], pdf["columns"], pdf["bucket_ms"], pdf["users"], strict=True):
+            rows = K.Rows.unpacked(int(n), columns)
+            bucket = rows.ts // (1000 * int(bucket_ms))
+            waits = bucket >= _folded_to(rows.user, dict(_unpacked(users, 2)))
+            yield pd.DataFrame({"user_id": rows.user[waits], "bucket": bucket[waits]})
 
 
 def still_waiting(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     """user_id, bucket and n of the rows that wait for the watermark."""
-    folded = _state(spark, checkpoint_dir, "totals").select("key.user_id", "value.folded_to")
-    chunks = _state(spark, checkpoint_dir, "waiting").select("key.user_id", F.explode(F.arrays_zip("user_map_value.buckets", "user_map_value.counts")).alias("b"))
-    rows = chunks.join(folded, "user_id").select("user_id", F.col("b.buckets").alias("bucket"), F.col("b.counts").alias("n"), "folded_to")
-    return rows.where("bucket >= folded_to").groupBy("user_id", "bucket").agg(F.sum("n").alias("n"))
+    ship_package(spark)
+    totals = _state(spark, checkpoint_dir, "totals").select(f"key.{K.GROUP}", "value.bucket_ms", "value.users")
+    chunks = _state(spark, checkpoint_dir, "waiting").select(f"key.{K.GROUP}", "user_map_value.n", "user_map_value.columns")
+    rows = chunks.join(totals, K.GROUP).select("n", "columns", "bucket_ms", "users").mapInPandas(_waiting_rows, "user_id bigint, bucket bigint")
+    return rows.groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
