@@ -51,9 +51,9 @@ def q_profile_stream_strict(spark: SparkSession, sf: str) -> DataFrame:
 def _timers_run(spark: SparkSession, sf: str) -> tuple[str, str]:
     """Sink and checkpoint of the timer stream over all reactions and a heartbeat past the last bucket."""
     src, sink, ck = scratch_path(spark, "reactions-in"), scratch_path(spark, "timers-out"), scratch_path(spark, "timers-ck")
-    staged = PP.reactions_with_vec(spark, sf).select("user_id", "ts", "event_id", "item_id", "reward", "vec")
-    run = lambda: ST.run_profile_stream_timers(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None)
-    S.arrive_in_slices(staged, src, "ts", SLICES, run)
+    items = T.items(spark, sf)
+    run = lambda: ST.run_profile_stream_timers(spark, src, sink, ck, PP.EVICTING, files_per_trigger=None, items=items)
+    S.arrive_in_slices(_bare_reactions(spark, sf), src, "ts", SLICES, run)
     last = T.table(spark, sf, "events").agg(F.max("ts").alias("ts")).first()["ts"]
     S.write_heartbeat(spark, src, last + timedelta(milliseconds=2 * ST.BUCKET_MS))
     run()
